@@ -1,0 +1,79 @@
+"""Review results and submissions: J4 J5 A8 W2 F24 F25 Q5 Q6."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from reviewlake import constants as C
+from reviewlake.functions.requests import api_endpoint
+from reviewlake.functions.text import col, or_default, render_review_html
+from reviewlake.operators.common import keys_list
+
+
+def pr_summary_text(owner="owner", repo="repo", number="pr_number", title="title",
+                    file_count="file_count") -> Column:
+    """repo, ``#number``, title and file count; falsy values show the loading text."""
+    n = F.nullif(col(file_count), F.lit(0)).cast("string")
+    return F.concat(
+        F.lit("仓库: "), F.coalesce(col(owner), F.lit("undefined")), F.lit("/"),
+        F.coalesce(col(repo), F.lit("undefined")),
+        F.lit("\nPR编号: #"), F.coalesce(col(number).cast("string"), F.lit("undefined")),
+        F.lit("\n标题: "), or_default(title, C.LOADING_TEXT),
+        F.lit("\n变更文件: "), F.coalesce(n, F.lit(C.LOADING_TEXT)), F.lit("个"))
+
+
+def review_stats_text(reviewed="reviewed_files", additions="additions", deletions="deletions",
+                      tokens="tokens") -> Column:
+    """reviewed file count, ``+a``, ``-d``, tokens (0 or missing shows N/A)."""
+    t = F.coalesce(F.nullif(col(tokens), F.lit(0)).cast("string"), F.lit(C.NOT_AVAILABLE_TEXT))
+    return F.concat(
+        F.lit("审查文件数: "), col(reviewed).cast("string"),
+        F.lit("\n代码增加: +"), col(additions).cast("string"),
+        F.lit("\n代码删除: -"), col(deletions).cast("string"),
+        F.lit("\nToken消耗: "), t)
+
+
+def build_review_result(completions: DataFrame, runs: DataFrame, prs: DataFrame, keys) -> DataFrame:
+    """J4 + A8: completed text with the kept-file count and the PR's own totals.
+
+    ``completions``: request_id, content, tokens. ``runs``: request_id, keys,
+    run_ts, file_count (files left after ignore filtering). ``prs``: keys,
+    additions, deletions, changed_files (unfiltered totals).
+    """
+    k = keys_list(keys)
+    r = runs.select("request_id", *k, "run_ts", F.col("file_count").alias("reviewed_files"))
+    p = prs.select(*k, F.col("changed_files").alias("total_files"), "additions", "deletions")
+    return (completions.join(r, "request_id", "inner").join(p, k, "inner")
+            .select("request_id", *k, "run_ts", F.col("content").alias("review"),
+                    F.coalesce(F.col("reviewed_files"), F.lit(0)).cast("bigint").alias("reviewed_files"),
+                    "total_files", "additions", "deletions", "tokens"))
+
+
+def latest_review(results: DataFrame, keys) -> DataFrame:
+    """The newest result per PR replaces earlier ones."""
+    k = keys_list(keys)
+    w = Window.partitionBy(*k).orderBy(F.col("run_ts").desc(), F.col("request_id").desc())
+    return results.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def build_review_results(completions: DataFrame, runs: DataFrame, prs: DataFrame, keys,
+                         escape_html: bool = False) -> DataFrame:
+    """Q5: latest result per PR with HTML rendering (F10) and the stats text."""
+    res = latest_review(build_review_result(completions, runs, prs, keys), keys)
+    return res.withColumns({
+        "review_html": render_review_html("review", escape=escape_html),
+        "stats_text": review_stats_text(),
+    })
+
+
+def build_submissions(results: DataFrame, prs: DataFrame, keys) -> DataFrame:
+    """J5 + Q6: one outbox row per result: endpoint, body, event, body hash."""
+    k = keys_list(keys)
+    coords = prs.select(*k, *[c for c in ("owner", "repo") if c not in k])
+    return (results.select("request_id", *k, F.col("review").alias("body"))
+            .join(coords, k, "inner")
+            .select("request_id", *k, "owner", "repo",
+                    api_endpoint("submit_review").alias("endpoint"),
+                    "body", F.lit(C.SUBMIT_EVENT).alias("event"),
+                    F.sha2(F.col("body"), 256).alias("body_sha256")))

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from reviewlake import constants as C
 from reviewlake import oracle as O
-from reviewlake.operators import details, feedback as fb, files as fl, prompts, settings as st
+from reviewlake.functions.requests import api_endpoint
+from reviewlake.functions.text import estimate_tokens, file_extension, js_length, preview, render_review_html
+from reviewlake.operators import details, feedback as fb, files as fl, prompts, requests, results, settings as st
+from reviewlake.operators import streams, visits
 from reviewlake.sources import fixtures as fx
 
 KEYS = ["pr_number"]
@@ -64,7 +67,8 @@ Q2_COLUMNS = ["request_id", "pr_number", "tenant", "ai_service", "max_tokens", "
               "file_count", "languages", "prompt", "diff_length", "reviews_length", "total_length"]
 
 
-def _q2_sql(template_mode: str = "safe") -> str:
+def _q2_ctes() -> str:
+    """Oracle CTEs ending in ``t4``: one row per run with its filled prompt (``p4``)."""
     steps = []
     prev = "h"
     for i, (tok, val) in enumerate(zip(C.PLACEHOLDERS, ["files_list", "diffs", "languages", "history"])):
@@ -74,10 +78,11 @@ def _q2_sql(template_mode: str = "safe") -> str:
         prev = cur
     body = f"""
 , settings AS ({O.settings_flat()}),
-rs AS (SELECT r.request_id, r.pr_number, r.tenant,
+rs AS (SELECT r.request_id, r.pr_number, r.tenant, r.run_ts,
          coalesce(nullif(r.temp_ai_service, ''), s.ai_service) AS ai_service,
          coalesce(nullif(r.temp_review_prompt, ''), s.review_prompt) AS review_prompt,
-         s.has_token, s.has_openai_key, s.has_anthropic_key, s.max_tokens, s.ignore_files
+         s.has_token, s.has_openai_key, s.has_anthropic_key, s.max_tokens, s.ignore_files,
+         s.openai_endpoint, s.openai_model, s.anthropic_model
        FROM runs r LEFT JOIN settings s ON r.tenant = s.tenant),
 rs2 AS (SELECT *, CASE WHEN NOT coalesce(has_token, false) THEN 'NO_FORGE_TOKEN'
           WHEN ai_service = 'openai' AND NOT coalesce(has_openai_key, false) THEN 'NO_OPENAI_KEY'
@@ -94,20 +99,28 @@ j AS (SELECT rs2.*, fa.files_list, fa.diffs, fa.languages, fa.file_count, tl.tim
       LEFT JOIN tl ON rs2.pr_number = tl.pr_number),
 h AS (SELECT *, CASE WHEN error_code IS NULL THEN {O.history(f"coalesce(timeline, {O.q(C.NO_FEEDBACK_TEXT)})")} END AS history FROM j),
 {", ".join(steps)}
+"""
+    return fx.derived_cte(["runs", "settings_raw", "changed_files", "feedback"]) + body
+
+
+def _q2_sql() -> str:
+    return _q2_ctes() + f"""
 SELECT request_id, pr_number, tenant, ai_service, max_tokens, error_code, file_count, languages,
   CASE WHEN error_code IS NULL THEN p4 END AS prompt,
   {O.js_length('diffs')} AS diff_length, {O.js_length('history')} AS reviews_length,
   {O.js_length('CASE WHEN error_code IS NULL THEN p4 END')} AS total_length
 FROM t4
 """
-    return fx.derived_cte(["runs", "settings_raw", "changed_files", "feedback"]) + body
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return prompts.build_review_prompts(t.runs, t.settings, t.files, t.unified_feedback("all"), KEYS)
 
 
 @register("q2_review_prompts", _q2_sql())
 def q2_review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    out = prompts.build_review_prompts(t.runs, t.settings, t.files, t.unified_feedback("all"), KEYS)
-    return out.select(*Q2_COLUMNS)
+    return _prompts(spark, sf_dir).select(*Q2_COLUMNS)
 
 
 # ---------------------------------------------------------------- files
@@ -224,3 +237,296 @@ def q1_pr_details(spark, sf_dir):
                     F.size("files").cast("bigint").alias("n_files"),
                     F.array_join(F.transform("files", lambda x: x["name"]), "|").alias("file_names"),
                     "reviews")
+
+
+# ---------------------------------------------------------------- Q3 requests
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.build_requests(_prompts(spark, sf_dir))
+
+
+@register("q3_build_requests", _q2_ctes() + f"""
+, q AS (SELECT *, coalesce(error_code, CASE WHEN coalesce(ai_service IN ('openai', 'anthropic'), false)
+                    THEN NULL ELSE 'UNSUPPORTED_SERVICE' END) AS err FROM t4)
+SELECT request_id, ai_service, err AS error_code,
+  CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN coalesce(nullif(openai_endpoint, ''), {O.q(C.INSTALL_DEFAULTS['openai']['apiEndpoint'])})
+    ELSE {O.q(C.ANTHROPIC_ENDPOINT)} END END AS endpoint,
+  CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN coalesce(nullif(openai_model, ''), {O.q(C.INSTALL_DEFAULTS['openai']['model'])})
+    ELSE anthropic_model END END AS model,
+  CASE WHEN err IS NULL THEN CAST(max_tokens AS BIGINT) END AS body_max_tokens,
+  CASE WHEN err IS NULL THEN {O.q(C.SYSTEM_PROMPT)} END AS body_system,
+  CASE WHEN err IS NULL THEN {O.js_length('p4')} END AS body_prompt_length,
+  CASE WHEN err IS NULL AND ai_service = 'openai' THEN '0.7' END AS body_temperature,
+  CASE WHEN err IS NULL THEN 'true' END AS body_stream,
+  CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN 2 ELSE 1 END END AS n_messages,
+  CASE WHEN ai_service = 'openai' THEN CAST(coalesce(openai_endpoint = {O.q(C.INSTALL_DEFAULTS['openai']['apiEndpoint'])}, false) AS VARCHAR)
+    ELSE 'N/A' END AS use_default_endpoint,
+  coalesce(CASE WHEN ai_service = 'openai' THEN openai_model = {O.q(C.INSTALL_DEFAULTS['openai']['model'])}
+    ELSE anthropic_model = {O.q(C.INSTALL_DEFAULTS['anthropic']['model'])} END, false) AS use_default_model
+FROM q""")
+def q3_build_requests(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    b = F.col("body")
+    last = F.when(F.col("ai_service") == "openai", "$.messages[1].content").otherwise("$.messages[0].content")
+    return r.select(
+        "request_id", "ai_service", "error_code", "endpoint", "model",
+        F.get_json_object(b, "$.max_tokens").cast("bigint").alias("body_max_tokens"),
+        F.when(F.col("ai_service") == "openai", F.get_json_object(b, "$.messages[0].content"))
+        .otherwise(F.get_json_object(b, "$.system")).alias("body_system"),
+        js_length(F.when(F.col("ai_service") == "openai", F.get_json_object(b, "$.messages[1].content"))
+                  .otherwise(F.get_json_object(b, "$.messages[0].content"))).alias("body_prompt_length"),
+        F.get_json_object(b, "$.temperature").alias("body_temperature"),
+        F.get_json_object(b, "$.stream").alias("body_stream"),
+        F.json_array_length(F.get_json_object(b, "$.messages")).alias("n_messages"),
+        "use_default_endpoint", "use_default_model")
+
+
+@register("x1_with_completions")
+def x1_with_completions(spark, sf_dir):
+    """X1 with a deterministic stand-in for the model call (no network)."""
+    def stub(pdf):
+        return "reviewed " + pdf["request_id"] + " by " + pdf["model"].fillna("")
+    r = _requests(spark, sf_dir).where(F.col("body").isNotNull())
+    return requests.with_completions(r, stub)
+
+
+# ---------------------------------------------------------------- Q4 streams
+def _chunks(spark, sf_dir):
+    return fx.stream_chunks(spark, sf_dir).select(*streams.CHUNK_COLUMNS)
+
+
+_RESP_ID = "CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)"
+_SERVICE = "CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END"
+
+
+@register("q4_assemble_responses", f"""
+SELECT {_RESP_ID} AS request_id, {_SERVICE} AS service, text AS content,
+  CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens,
+  CAST(0 AS BIGINT) AS n_malformed, true AS ended
+FROM conversations WHERE role = 'assistant'""")
+def q4_assemble_responses(spark, sf_dir):
+    return streams.assemble_responses(_chunks(spark, sf_dir)).select(
+        "request_id", "service", "content", "tokens", "n_malformed", "ended")
+
+
+_PIECES = f"""
+SELECT {_RESP_ID} AS request_id, conv_id, i, text, substr(text, CAST(i * 16 + 1 AS BIGINT), 16) AS piece
+FROM (SELECT conv_id, turn, text, unnest(range(0, CAST(floor((length(text) - 1) / 16) AS BIGINT) + 1)) AS i
+      FROM conversations WHERE role = 'assistant')"""
+
+
+@register("t2_extract_deltas", f"""
+SELECT request_id, CAST(CASE WHEN conv_id % 2 = 0 THEN 2 * i ELSE 3 * i + 1 END AS BIGINT) AS line_no,
+  piece AS content FROM ({_PIECES}) WHERE piece <> ''""")
+def t2_extract_deltas(spark, sf_dir):
+    return streams.extract_deltas(streams.assemble_lines(_chunks(spark, sf_dir)))
+
+
+@register("w3_running_content", f"""
+SELECT request_id, CAST(CASE WHEN conv_id % 2 = 0 THEN 2 * i ELSE 3 * i + 1 END AS BIGINT) AS line_no,
+  piece AS content, substr(text, 1, CAST((i + 1) * 16 AS BIGINT)) AS shown
+FROM ({_PIECES}) WHERE piece <> ''""")
+def w3_running_content(spark, sf_dir):
+    return streams.running_content(streams.extract_deltas(streams.assemble_lines(_chunks(spark, sf_dir))))
+
+
+@register("t3_route_malformed", """
+SELECT CAST(NULL AS VARCHAR) AS request_id, CAST(NULL AS BIGINT) AS line_no, CAST(NULL AS VARCHAR) AS line
+FROM conversations WHERE false""")
+def t3_route_malformed(spark, sf_dir):
+    return streams.route_malformed(streams.assemble_lines(_chunks(spark, sf_dir)))
+
+
+@register("a9_stream_stats")
+def a9_stream_stats(spark, sf_dir):
+    return streams.stream_status(_chunks(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- Q5 / Q6 results
+def _completions(spark, sf_dir):
+    return streams.assemble_responses(_chunks(spark, sf_dir)).select("request_id", "content", "tokens")
+
+
+def _results(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ok_runs = _prompts(spark, sf_dir).where(F.col("error_code").isNull())
+    return results.build_review_results(_completions(spark, sf_dir), ok_runs, t.pull_requests, KEYS)
+
+
+def _results_sql() -> str:
+    html = ("regexp_replace(regexp_replace(regexp_replace(review, chr(10), '<br>', 'g'), "
+            "'```([^`]+)```', '<pre><code>\\\\1</code></pre>', 'g'), '`([^`]+)`', '<code>\\\\1</code>', 'g')")
+    stats = ("'审查文件数: ' || CAST(reviewed_files AS VARCHAR) || chr(10) || '代码增加: +' || "
+             "CAST(additions AS VARCHAR) || chr(10) || '代码删除: -' || CAST(deletions AS VARCHAR) || "
+             "chr(10) || 'Token消耗: ' || coalesce(CAST(nullif(tokens, 0) AS VARCHAR), 'N/A')")
+    return fx.derived_cte(["runs", "settings_raw", "changed_files", "feedback", "pull_requests"]) + \
+        _q2_ctes()[len(fx.derived_cte(["runs", "settings_raw", "changed_files", "feedback"])):] + f"""
+, resp AS (SELECT {_RESP_ID} AS request_id, text AS review,
+             CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens
+           FROM conversations WHERE role = 'assistant'),
+res AS (SELECT resp.request_id, t4.pr_number, t4.run_ts, resp.review, CAST(t4.file_count AS BIGINT) AS reviewed_files,
+          p.changed_files AS total_files, p.additions, p.deletions, resp.tokens, p.owner, p.repo
+        FROM resp JOIN t4 ON resp.request_id = t4.request_id AND t4.error_code IS NULL
+        JOIN pull_requests p ON p.pr_number = t4.pr_number),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pr_number ORDER BY run_ts DESC, request_id DESC) AS rn
+           FROM res) WHERE rn = 1),
+out AS (SELECT request_id, pr_number, run_ts, review, reviewed_files, total_files, additions, deletions, tokens,
+          {html} AS review_html, {stats} AS stats_text, owner, repo FROM latest)
+"""
+
+
+@register("q5_review_results", _results_sql() + """
+SELECT request_id, pr_number, run_ts, review, reviewed_files, total_files, additions, deletions, tokens,
+  review_html, stats_text FROM out""")
+def q5_review_results(spark, sf_dir):
+    return _results(spark, sf_dir).select(
+        "request_id", "pr_number", "run_ts", "review", "reviewed_files", "total_files", "additions",
+        "deletions", "tokens", "review_html", "stats_text")
+
+
+@register("q6_submissions", _results_sql() + """
+SELECT request_id, pr_number, owner, repo,
+  '/repos/' || owner || '/' || repo || '/pulls/' || CAST(pr_number AS VARCHAR) || '/reviews' AS endpoint,
+  review AS body, 'COMMENT' AS event, sha256(review) AS body_sha256 FROM out""")
+def q6_submissions(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return results.build_submissions(_results(spark, sf_dir), t.pull_requests, KEYS)
+
+
+# ---------------------------------------------------------------- Q7 visits
+_HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@register("p6_parse_pr_url", fx.oracle_with(["page_visits"], f"""
+SELECT tab_id, seq, url, path, string_split(path, '/')[2] AS owner, string_split(path, '/')[3] AS repo,
+  string_split(path, '/')[5] AS pr_number
+FROM (SELECT *, {_PATH} AS path FROM page_visits)"""))
+def p6_parse_pr_url(spark, sf_dir):
+    return visits.parse_pr_url(Tables(spark, sf_dir).page_visits).select(
+        "tab_id", "seq", "url", "path", "owner", "repo", "pr_number")
+
+
+@register("p5_filter_pr_pages", fx.oracle_with(["page_visits"], f"""
+SELECT tab_id, seq, url FROM page_visits WHERE {_HOST} = 'github.com' AND contains({_PATH}, '/pull/')"""))
+def p5_filter_pr_pages(spark, sf_dir):
+    return visits.filter_pr_pages(Tables(spark, sf_dir).page_visits).select("tab_id", "seq", "url")
+
+
+@register("q7_pr_visit_feed", fx.oracle_with(["page_visits"], f"""
+, pr AS (SELECT *, {_PATH} AS path FROM page_visits WHERE {_HOST} = 'github.com' AND contains({_PATH}, '/pull/')),
+l AS (SELECT *, lag(path) OVER (PARTITION BY tab_id, page_load_id ORDER BY ts, seq) AS prev FROM pr)
+SELECT tab_id, page_load_id, seq, ts, url, path, string_split(path, '/')[2] AS owner,
+  string_split(path, '/')[3] AS repo, string_split(path, '/')[5] AS pr_number
+FROM l WHERE prev IS DISTINCT FROM path"""))
+def q7_pr_visit_feed(spark, sf_dir):
+    return visits.pr_visit_feed(Tables(spark, sf_dir).page_visits)
+
+
+# ---------------------------------------------------------------- scalar functions
+@register("f1_file_extension", fx.oracle_with(["changed_files"], f"""
+SELECT pr_number, pos, filename AS name, {O.EXTENSION} AS extension FROM changed_files"""))
+def f1_file_extension(spark, sf_dir):
+    return Tables(spark, sf_dir).files.select("pr_number", "pos", "name",
+                                              file_extension("name").alias("extension"))
+
+
+@register("f10_render_review_html", fx.oracle_with(["review_text"], """
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(content, chr(10), '<br>', 'g'),
+  '```([^`]+)```', '<pre><code>\\1</code></pre>', 'g'), '`([^`]+)`', '<code>\\1</code>', 'g') AS html
+FROM review_text"""))
+def f10_render_review_html(spark, sf_dir):
+    return Tables(spark, sf_dir).review_text.select("doc_id", render_review_html("content").alias("html"))
+
+
+@register("f11_estimate_tokens", f"""
+SELECT doc_id, {O.js_length('text')} AS utf16_length,
+  CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens FROM documents""")
+def f11_estimate_tokens(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    return d.select("doc_id", js_length("text").alias("utf16_length"), estimate_tokens("text").alias("tokens"))
+
+
+@register("o2_preview", f"""
+SELECT doc_id, substr(text, 1, 200) || '...' AS preview_200, substr(text, 1, 2000) || '...' AS preview_2000
+FROM documents""")
+def o2_preview(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    return d.select("doc_id", preview("text", 200).alias("preview_200"),
+                    preview("text", 2000).alias("preview_2000"))
+
+
+@register("f23_api_endpoints", fx.oracle_with(["pull_requests"], """
+SELECT pr_number, '/repos/' || owner || '/' || repo || '/pulls/' || CAST(pr_number AS VARCHAR) AS pull,
+  '/repos/' || owner || '/' || repo || '/pulls/' || CAST(pr_number AS VARCHAR) || '/files' AS files,
+  '/repos/' || owner || '/' || repo || '/pulls/' || CAST(pr_number AS VARCHAR) || '/reviews' AS reviews,
+  '/repos/' || owner || '/' || repo || '/pulls/' || CAST(pr_number AS VARCHAR) || '/comments' AS review_comments,
+  '/repos/' || owner || '/' || repo || '/issues/' || CAST(pr_number AS VARCHAR) || '/comments' AS issue_comments
+FROM pull_requests"""))
+def f23_api_endpoints(spark, sf_dir):
+    p = Tables(spark, sf_dir).pull_requests
+    return p.select("pr_number", *[api_endpoint(k).alias(k) for k in
+                                   ("pull", "files", "reviews", "review_comments", "issue_comments")])
+
+
+@register("f24_pr_summary_text", fx.oracle_with(["pull_requests"], """
+SELECT pr_number, '仓库: ' || owner || '/' || repo || chr(10) || 'PR编号: #' || CAST(pr_number AS VARCHAR)
+  || chr(10) || '标题: ' || coalesce(nullif(title, ''), '加载中...') || chr(10) || '变更文件: '
+  || coalesce(CAST(nullif(changed_files, 0) AS VARCHAR), '加载中...') || '个' AS summary
+FROM pull_requests"""))
+def f24_pr_summary_text(spark, sf_dir):
+    p = Tables(spark, sf_dir).pull_requests
+    return p.select("pr_number", results.pr_summary_text(file_count="changed_files").alias("summary"))
+
+
+# ---------------------------------------------------------------- settings
+def _settings_out(df: DataFrame) -> DataFrame:
+    return df.select("tenant", "has_token", "has_openai_key", "has_anthropic_key", "ai_service",
+                     "openai_endpoint", "openai_model", "anthropic_model", "max_tokens",
+                     F.array_join("ignore_files", "|").alias("ignore_files"),
+                     (F.col("review_prompt") == C.INSTALL_DEFAULTS["review"]["reviewPrompt"])
+                     .alias("default_prompt"))
+
+
+@register("m4_normalize_settings", fx.oracle_with(["settings_raw"], f"""
+, s AS ({O.settings_flat()})
+SELECT tenant, has_token, has_openai_key, has_anthropic_key, ai_service, openai_endpoint, openai_model,
+  anthropic_model, max_tokens, array_to_string(ignore_files, '|') AS ignore_files, true AS default_prompt FROM s"""))
+def m4_normalize_settings(spark, sf_dir):
+    return _settings_out(Tables(spark, sf_dir).settings)
+
+
+@register("j3_resolve_run_settings", fx.oracle_with(["runs", "settings_raw"], f"""
+, s AS ({O.settings_flat()})
+SELECT r.request_id, r.tenant, coalesce(nullif(r.temp_ai_service, ''), s.ai_service) AS ai_service,
+  coalesce(nullif(r.temp_review_prompt, ''), s.review_prompt) AS review_prompt, s.max_tokens
+FROM runs r LEFT JOIN s ON r.tenant = s.tenant"""))
+def j3_resolve_run_settings(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return st.resolve_run_settings(t.runs, t.settings).select(
+        "request_id", "tenant", "ai_service", "review_prompt", "max_tokens")
+
+
+@register("p11_review_eligibility", _q2_ctes() + "\nSELECT request_id, error_code FROM t4")
+def p11_review_eligibility(spark, sf_dir):
+    return _prompts(spark, sf_dir).select("request_id", "error_code")
+
+
+_KEYS_SQL = """
+SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'openai' WHEN 'BUILDING' THEN 'anthropic'
+    WHEN 'FURNITURE' THEN 'openai' WHEN 'HOUSEHOLD' THEN 'anthropic' ELSE 'other' END AS ai_service,
+  concat(CASE WHEN c_custkey % 3 = 0 THEN 'sk-' ELSE '' END, substr(c_name, 1, CAST(c_custkey % 25 AS INT))) AS api_key
+FROM customer"""
+
+
+@register("p12_settings_quality", f"""
+WITH k AS ({_KEYS_SQL})
+SELECT c_custkey, ai_service, length(api_key) > 0 AS has_key, CAST(length(api_key) AS INTEGER) AS key_length,
+  CASE ai_service WHEN 'anthropic' THEN starts_with(api_key, 'sk-') AND length(api_key) >= 20
+    WHEN 'openai' THEN length(api_key) >= 20 ELSE false END AS key_ok,
+  CASE ai_service WHEN 'anthropic' THEN CASE WHEN NOT (starts_with(api_key, 'sk-') AND length(api_key) >= 20) THEN 'INVALID_ANTHROPIC_KEY' END
+    WHEN 'openai' THEN CASE WHEN length(api_key) < 20 THEN 'INVALID_OPENAI_KEY' END
+    ELSE 'UNSUPPORTED_SERVICE' END AS key_error
+FROM k""")
+def p12_settings_quality(spark, sf_dir):
+    keys = fx.spark_sql(spark, sf_dir, _KEYS_SQL)
+    return st.flag_settings_quality(keys)

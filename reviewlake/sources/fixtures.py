@@ -182,3 +182,38 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table as a lazy DataFrame."""
     return spark_sql(spark, sf_dir, derived_cte([name]) + f"\nSELECT * FROM {name}")
+
+
+def stream_chunks_sql(chunk_bytes: int = 37, piece_chars: int = 16) -> str:
+    """Spark-only: assistant turns encoded as response streams and cut by bytes.
+
+    Even conversations use dialect A (``data: {choices..}`` lines and a
+    final ``data: [DONE]``), odd ones dialect B (``event:`` + ``data:`` line
+    pairs, closed by an unrelated ``message_stop`` event). Cuts fall on
+    fixed byte offsets, so multi-byte characters are split across chunks.
+    """
+    return f"""
+WITH pieces AS (
+  SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS service,
+    transform(sequence(0, CAST((length(text) - 1) / {piece_chars} AS INT)),
+              i -> substring(text, i * {piece_chars} + 1, {piece_chars})) AS ps
+  FROM conversations WHERE role = 'assistant'),
+wire AS (
+  SELECT conv_id, turn, service, CASE WHEN service = 'openai' THEN
+    concat(array_join(transform(ps, p -> concat('data: ', to_json(named_struct('choices',
+      array(named_struct('delta', named_struct('content', p))))))), '\\n\\n'), '\\n\\ndata: [DONE]\\n\\n')
+  ELSE
+    concat(array_join(transform(ps, p -> concat('event: content_block_delta\\ndata: ',
+      to_json(named_struct('type', 'content_block_delta', 'delta', named_struct('text', p))))), '\\n\\n'),
+      '\\n\\nevent: message_stop\\ndata: {{"type":"message_stop"}}\\n\\n')
+  END AS w FROM pieces)
+SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS request_id, conv_id, turn, service,
+  CAST(seq AS INT) AS seq, substring(encode(w, 'UTF-8'), seq * {chunk_bytes} + 1, {chunk_bytes}) AS payload,
+  seq = CAST((octet_length(w) - 1) / {chunk_bytes} AS INT) AS is_last
+FROM wire LATERAL VIEW explode(sequence(0, CAST((octet_length(w) - 1) / {chunk_bytes} AS INT))) e AS seq
+"""
+
+
+def stream_chunks(spark: SparkSession, sf_dir: str, chunk_bytes: int = 37,
+                  piece_chars: int = 16) -> DataFrame:
+    return spark_sql(spark, sf_dir, stream_chunks_sql(chunk_bytes, piece_chars))
