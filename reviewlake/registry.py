@@ -18,6 +18,10 @@ from reviewlake.functions.requests import api_endpoint
 from reviewlake.functions.text import estimate_tokens, file_extension, js_length, preview, render_review_html
 from reviewlake.operators import details, feedback as fb, files as fl, prompts, requests, results, settings as st
 from reviewlake.operators import streams, visits
+from reviewlake.session import scratch_path
+from reviewlake.sinks import writers
+from reviewlake.sources import landing, readers
+from reviewlake.streaming import assembly
 from reviewlake.sources import fixtures as fx
 
 KEYS = ["pr_number"]
@@ -530,3 +534,241 @@ FROM k""")
 def p12_settings_quality(spark, sf_dir):
     keys = fx.spark_sql(spark, sf_dir, _KEYS_SQL)
     return st.flag_settings_quality(keys)
+
+
+# ---------------------------------------------------------------- O3, template modes, M3 / M5
+@register("o3_cap_per_pr", fx.oracle_with(["changed_files"], """
+SELECT pr_number, pos, filename AS name FROM changed_files WHERE pos < 3"""))
+def o3_cap_per_pr(spark, sf_dir):
+    return fl.cap_per_pr(Tables(spark, sf_dir).files, KEYS, 3).select("pr_number", "pos", "name")
+
+
+@register("q2_review_prompts_sequential", _q2_sql())
+def q2_review_prompts_sequential(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return prompts.build_review_prompts(t.runs, t.settings, t.files, t.unified_feedback("all"), KEYS,
+                                        mode="sequential").select(*Q2_COLUMNS)
+
+
+@register("m3_settings_with_fallback", fx.oracle_with(["settings_raw"], f"""
+, s AS ({O.settings_flat()})
+SELECT tenant, coalesce(nullif(ai_service, ''), 'openai') AS ai_service, openai_model,
+  coalesce(nullif(anthropic_model, ''), {O.q(C.FORM_DEFAULTS['anthropic']['model'])}) AS anthropic_model,
+  coalesce(nullif(max_tokens, 0), {C.FORM_DEFAULTS['maxTokens']}) AS max_tokens FROM s"""))
+def m3_settings_with_fallback(spark, sf_dir):
+    return st.settings_with_fallback(Tables(spark, sf_dir).settings).select(
+        "tenant", "ai_service", "openai_model", "anthropic_model", "max_tokens")
+
+
+@register("m5_reset_review_settings", fx.oracle_with(["settings_raw"], f"""
+SELECT tenant, ai_service, {C.FORM_DEFAULTS['maxTokens']} AS max_tokens, '' AS ignore_files,
+  true AS form_default_prompt FROM settings_raw"""))
+def m5_reset_review_settings(spark, sf_dir):
+    r = st.reset_review_settings(Tables(spark, sf_dir).settings)
+    return r.select("tenant", "ai_service", "max_tokens",
+                    F.array_join("ignore_files", "|").alias("ignore_files"),
+                    (F.col("review_prompt") == C.FORM_DEFAULTS["reviewPrompt"]).alias("form_default_prompt"))
+
+
+# ---------------------------------------------------------------- Q8 settings migration
+_STORED_SQL = """
+SELECT tenant,
+  CASE tenant WHEN 'automobile' THEN 'install' WHEN 'building' THEN 'update' WHEN 'furniture' THEN 'chrome_update'
+    WHEN 'household' THEN 'update' ELSE 'shared_module_update' END AS reason,
+  map('aiService', ai_service, 'githubToken', CASE WHEN has_token THEN concat('secret-ref:', tenant) ELSE '' END,
+      'theme', 'dark') AS top,
+  map('apiKey', CASE WHEN has_key THEN concat('secret-ref:openai:', tenant) ELSE '' END, 'model', model) AS openai,
+  map('apiKey', CASE WHEN has_key THEN concat('secret-ref:anthropic:', tenant) ELSE '' END) AS anthropic,
+  map('maxTokens', max_tokens, 'ignoreFiles', ignore_files) AS review
+FROM settings_raw"""
+
+
+def _q8_sql() -> str:
+    d = C.INSTALL_DEFAULTS
+    parse_int = "try_cast(regexp_extract(max_tokens, '^\\s*([+-]?\\d+)', 1) AS INTEGER)"
+    ign = ("array_to_string(list_filter(list_transform(string_split(coalesce(ignore_files, ''), chr(10)), "
+           "lambda x: trim(x)), lambda x: x <> ''), '|')")
+    return fx.oracle_with(["settings_raw"], f"""
+, r AS (SELECT *, CASE tenant WHEN 'automobile' THEN 'install' WHEN 'building' THEN 'update'
+          WHEN 'furniture' THEN 'chrome_update' WHEN 'household' THEN 'update' ELSE 'shared_module_update' END AS reason
+        FROM settings_raw)
+SELECT tenant, reason,
+  CASE WHEN reason = 'install' THEN {O.q(d['aiService'])} ELSE ai_service END AS ai_service,
+  has_token,
+  CASE WHEN reason = 'install' THEN false ELSE has_key END AS has_openai_key,
+  CASE WHEN reason = 'install' THEN false ELSE has_key END AS has_anthropic_key,
+  CASE WHEN reason IN ('install', 'update') THEN {O.q(d['openai']['apiEndpoint'])} END AS openai_endpoint,
+  CASE WHEN reason = 'install' THEN {O.q(d['openai']['model'])} ELSE model END AS openai_model,
+  CASE WHEN reason IN ('install', 'update') THEN {O.q(d['anthropic']['model'])} END AS anthropic_model,
+  CASE WHEN reason IN ('install', 'update') THEN true END AS default_prompt,
+  CASE WHEN reason = 'install' THEN {d['review']['maxTokens']} ELSE {parse_int} END AS max_tokens,
+  CASE WHEN reason = 'install' THEN '' ELSE {ign} END AS ignore_files,
+  'dark' AS theme
+FROM r""")
+
+
+def _migrated(spark, sf_dir) -> DataFrame:
+    stored = fx.spark_sql(spark, sf_dir, fx.derived_cte(["settings_raw"]) + _STORED_SQL)
+    return st.merge_settings(stored, "reason")
+
+
+@register("q8_migrate_settings", _q8_sql())
+def q8_migrate_settings(spark, sf_dir):
+    m = _migrated(spark, sf_dir)
+    flat = st.flatten_settings(m)
+    theme = m.select("tenant", "reason", F.try_element_at("top", F.lit("theme")).alias("theme"))
+    return flat.join(theme, "tenant").select(
+        "tenant", "reason", "ai_service", "has_token", "has_openai_key", "has_anthropic_key",
+        "openai_endpoint", "openai_model", "anthropic_model",
+        (F.col("review_prompt") == C.INSTALL_DEFAULTS["review"]["reviewPrompt"]).alias("default_prompt"),
+        "max_tokens", F.array_join("ignore_files", "|").alias("ignore_files"), "theme")
+
+
+@register("k3_write_settings", _q8_sql())
+def k3_write_settings(spark, sf_dir):
+    path = writers.write_settings(q8_migrate_settings(spark, sf_dir), scratch_path(spark, "settings"))
+    return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------- sources S1-S8
+def _landed(spark, sf_dir) -> dict[str, str]:
+    return landing.land_api_exports(spark, sf_dir)
+
+
+@register("s1_read_pull_requests", fx.oracle_with(["pull_requests"], """
+SELECT owner, repo, pr_number, title, body, base_ref, head_ref, author, commits, additions, deletions,
+  changed_files FROM pull_requests"""))
+def s1_read_pull_requests(spark, sf_dir):
+    return readers.read_pull_requests(spark, _landed(spark, sf_dir)["pull_requests"])
+
+
+@register("s2_read_changed_files", fx.oracle_with(["changed_files", "pull_requests"], """
+SELECT p.owner, p.repo, f.pr_number, f.pos, f.filename, f.status, f.additions, f.deletions, f.patch, f.blob_url
+FROM changed_files f JOIN pull_requests p ON f.pr_number = p.pr_number"""))
+def s2_read_changed_files(spark, sf_dir):
+    return readers.read_changed_files(spark, _landed(spark, sf_dir)["changed_files"])
+
+
+_RANKED = "CAST(row_number() OVER (PARTITION BY x.pr_number ORDER BY x.pos) - 1 AS INTEGER) AS pos"
+
+
+@register("s3_read_reviews", fx.oracle_with(["reviews", "pull_requests"], f"""
+SELECT p.owner, p.repo, x.pr_number, {_RANKED}, x.author, x.state, x.body, x.submitted_at
+FROM reviews x JOIN pull_requests p ON x.pr_number = p.pr_number"""))
+def s3_read_reviews(spark, sf_dir):
+    return readers.read_reviews(spark, _landed(spark, sf_dir)["reviews"])
+
+
+@register("s4_read_review_comments", fx.oracle_with(["review_comments", "pull_requests"], f"""
+SELECT p.owner, p.repo, x.pr_number, {_RANKED}, x.author, x.body, x.path, x.line, x.position, x.created_at
+FROM review_comments x JOIN pull_requests p ON x.pr_number = p.pr_number"""))
+def s4_read_review_comments(spark, sf_dir):
+    return readers.read_review_comments(spark, _landed(spark, sf_dir)["review_comments"])
+
+
+@register("s5_read_issue_comments", fx.oracle_with(["issue_comments", "pull_requests"], f"""
+SELECT p.owner, p.repo, x.pr_number, {_RANKED}, x.author, x.body, x.created_at
+FROM issue_comments x JOIN pull_requests p ON x.pr_number = p.pr_number"""))
+def s5_read_issue_comments(spark, sf_dir):
+    return readers.read_issue_comments(spark, _landed(spark, sf_dir)["issue_comments"])
+
+
+@register("s6_read_settings", fx.oracle_with(["settings_raw"], f"""
+, s AS ({O.settings_flat()})
+SELECT tenant, has_token, has_openai_key, has_anthropic_key, ai_service, openai_model, anthropic_model,
+  max_tokens, array_to_string(ignore_files, '|') AS ignore_files FROM s"""))
+def s6_read_settings(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    flat = t.settings
+    docs = flat.select(
+        "tenant", F.when(F.col("has_token"), F.concat(F.lit("tok-"), "tenant")).otherwise(F.lit(""))
+        .alias("githubToken"), F.col("ai_service").alias("aiService"),
+        F.struct(F.when(F.col("has_openai_key"), F.concat(F.lit("key-a-"), "tenant")).alias("apiKey"),
+                 F.col("openai_endpoint").alias("apiEndpoint"), F.col("openai_model").alias("model"))
+        .alias("openaiSettings"),
+        F.struct(F.when(F.col("has_anthropic_key"), F.concat(F.lit("key-b-"), "tenant")).alias("apiKey"),
+                 F.col("anthropic_model").alias("model")).alias("anthropicSettings"),
+        F.struct(F.col("review_prompt").alias("reviewPrompt"), F.col("max_tokens").alias("maxTokens"),
+                 F.col("ignore_files").alias("ignoreFiles")).alias("reviewSettings"))
+    path = scratch_path(spark, "settings-docs")
+    docs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    back = readers.read_settings(spark, path)
+    return back.select("tenant", "has_token", "has_openai_key", "has_anthropic_key", "ai_service",
+                       "openai_model", "anthropic_model", "max_tokens",
+                       F.array_join("ignore_files", "|").alias("ignore_files"))
+
+
+def _land_parquet_in_parts(df: DataFrame, spark, name: str, weights: int = 4,
+                           by_range: list[str] | None = None) -> str:
+    """Write ``df`` as several separately committed file sets (simulated arrival order)."""
+    base = scratch_path(spark, name)
+    if by_range:
+        ranked = df.withColumn("_part", F.ntile(weights).over(
+            __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*by_range)))
+        parts = [ranked.where(F.col("_part") == i + 1).drop("_part") for i in range(weights)]
+    else:
+        parts = df.randomSplit([1.0] * weights, seed=7)
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("overwrite").parquet(f"{base}/batch={i:03d}")
+    return base
+
+
+@register("s7_read_stream_chunks")
+def s7_read_stream_chunks(spark, sf_dir):
+    base = scratch_path(spark, "chunks")
+    _chunks(spark, sf_dir).write.mode("overwrite").parquet(base)
+    return readers.read_stream_chunks(spark, base)
+
+
+@register("s8_read_page_visits", fx.oracle_with(["page_visits"], """
+SELECT tab_id, page_load_id, seq, ts, url FROM page_visits"""))
+def s8_read_page_visits(spark, sf_dir):
+    base = scratch_path(spark, "visits")
+    Tables(spark, sf_dir).page_visits.write.mode("overwrite").parquet(base)
+    return readers.read_page_visits(spark, base)
+
+
+# ---------------------------------------------------------------- sinks K1 / K2
+@register("k1_write_requests", _q2_ctes() + """
+SELECT request_id, ai_service AS service FROM t4
+WHERE error_code IS NULL AND ai_service IN ('openai', 'anthropic')""")
+def k1_write_requests(spark, sf_dir):
+    path = writers.write_requests(_requests(spark, sf_dir), scratch_path(spark, "requests"))
+    back = spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.custom_id").alias("request_id"), "service")
+
+
+@register("k2_write_submissions", ORACLE["q6_submissions"])
+def k2_write_submissions(spark, sf_dir):
+    subs = q6_submissions(spark, sf_dir)
+    outbox = scratch_path(spark, "outbox")
+    writers.write_submissions(spark, subs, outbox)
+    return writers.write_submissions(spark, subs, outbox)  # second run adds nothing
+
+
+# ---------------------------------------------------------------- streaming T1-T6, K4
+def _run_stream(df: DataFrame, spark, name: str) -> DataFrame:
+    out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    q = writers.write_deltas(df, out, ck, available_now=True)
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@register("t1_stream_responses", f"""
+SELECT {_RESP_ID} AS request_id, text AS content,
+  CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens
+FROM conversations WHERE role = 'assistant'""")
+def t1_stream_responses(spark, sf_dir):
+    landed = _land_parquet_in_parts(_chunks(spark, sf_dir), spark, "chunk-arrivals")
+    chunks = readers.read_stream_chunks(spark, landed + "/*", stream=True, max_files_per_trigger=1)
+    deltas = _run_stream(assembly.delta_stream(chunks), spark, "deltas")
+    resp = assembly.responses_from_deltas(deltas)
+    return resp.select("request_id", "content", estimate_tokens("content").alias("tokens"))
+
+
+@register("t6_visits_stream", ORACLE["q7_pr_visit_feed"])
+def t6_visits_stream(spark, sf_dir):
+    v = Tables(spark, sf_dir).page_visits
+    landed = _land_parquet_in_parts(v, spark, "visit-arrivals", by_range=["ts", "seq"])
+    stream = readers.read_page_visits(spark, landed + "/*", stream=True, max_files_per_trigger=1)
+    return _run_stream(assembly.detect_pr_changes_stream(stream), spark, "visit-feed")

@@ -10,6 +10,7 @@ unset (tests, benchmarks).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,13 +43,38 @@ def get_spark(app: str = "reviewlake", master: str | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings every job depends on for correct results."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (pandas UDFs, state functions).
+
+    The package is zipped once per application into the shared checkpoint
+    folder and added with ``addPyFile``, as ``--py-files`` would.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    dest = os.path.join(checkpoint_dir(spark), f"pyfiles-{app}")
+    local = dest[len("file:"):] if dest.startswith("file:") else dest
+    if "://" not in local:
+        os.makedirs(local, exist_ok=True)
+        base = os.path.join(local, "reviewlake")
+        zpath = shutil.make_archive(base, "zip", os.path.dirname(pkg), os.path.basename(pkg))
+        sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 

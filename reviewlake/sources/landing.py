@@ -1,0 +1,66 @@
+"""Land derived tables in the code-hosting API's export shape.
+
+Used to exercise the S1-S5 readers on data Spark derives from the
+driver's tables: each list endpoint becomes one JSON document per PR with
+its items in API order. Files are written below the session's shared
+checkpoint folder, once per data folder and process.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlake.session import scratch_path
+from reviewlake.sources import fixtures as fx
+
+_LANDED: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def _iso(c: str):
+    return F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _as_list(df: DataFrame, coords: DataFrame, item) -> DataFrame:
+    rows = df.join(coords, "pr_number")
+    return (rows.groupBy("owner", "repo", "pr_number")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_p"), item.alias("it"))))
+                 .alias("_s"))
+            .select("owner", "repo", "pr_number", F.transform("_s", lambda x: x["it"]).alias("items")))
+
+
+def land_api_exports(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Write the five API exports for ``sf_dir``; returns name -> path."""
+    ckpt = spark.sparkContext.getCheckpointDir() or ""
+    key = (os.path.abspath(sf_dir), ckpt)
+    if key in _LANDED:
+        return _LANDED[key]
+    base = scratch_path(spark, "api-exports")
+    prs = fx.derived(spark, sf_dir, "pull_requests")
+    coords = prs.select("pr_number", "owner", "repo")
+    user = lambda c="author": F.struct(F.col(c).alias("login"))
+    out = {
+        "pull_requests": prs.select(
+            "owner", "repo", "pr_number", "title", "body",
+            F.struct(F.col("base_ref").alias("ref")).alias("base"),
+            F.struct(F.col("head_ref").alias("ref")).alias("head"), user().alias("user"),
+            "commits", "additions", "deletions", "changed_files"),
+        "changed_files": _as_list(fx.derived(spark, sf_dir, "changed_files"), coords, F.struct(
+            "filename", "status", "additions", "deletions", "patch", "blob_url")),
+        "reviews": _as_list(fx.derived(spark, sf_dir, "reviews"), coords, F.struct(
+            user().alias("user"), "state", "body", _iso("submitted_at").alias("submitted_at"))),
+        "review_comments": _as_list(fx.derived(spark, sf_dir, "review_comments"), coords, F.struct(
+            user().alias("user"), "body", "path", "line", "position",
+            _iso("created_at").alias("created_at"))),
+        "issue_comments": _as_list(fx.derived(spark, sf_dir, "issue_comments"), coords, F.struct(
+            user().alias("user"), "body", _iso("created_at").alias("created_at"))),
+    }
+    paths = {}
+    for name, df in out.items():
+        p = os.path.join(base, name)
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(p)
+        paths[name] = p
+    _LANDED[key] = paths
+    return paths
