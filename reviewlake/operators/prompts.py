@@ -11,7 +11,7 @@ from reviewlake import constants as C
 from reviewlake.functions.feedback import history_section
 from reviewlake.functions.template import fill_template
 from reviewlake.functions.text import js_length
-from reviewlake.operators.common import DEFAULT_BUCKET_ROWS, bounded_broadcast, keys_list
+from reviewlake.operators.common import DEFAULT_BUCKET_ROWS, keys_list
 from reviewlake.operators.feedback import agg_timeline
 from reviewlake.operators.files import agg_file_texts, is_ignored
 from reviewlake.operators.settings import eligibility_error, error_message, resolve_run_settings
@@ -63,24 +63,23 @@ def build_review_prompts(runs: DataFrame, settings: DataFrame, files: DataFrame,
                          bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Q2: one row per run: resolved settings, error code, prompt and stats.
 
-    Plan: J3 (settings broadcast behind a row check) -> P11 checks. Files are
-    paired with the distinct (PR, tenant) of eligible runs, filtered by the
-    tenant's ignore list (P7, a narrow higher-order filter), and aggregated
-    by (PR, tenant) in two levels. The PR-tenant side is broadcast only when
-    proven small; otherwise both sides shuffle on the PR key and an explicit
-    repartition on (PR, tenant, bucket) keeps the first aggregation level
-    salted (and lets AQE split a skewed join partition). Runs then join the
-    file texts on (PR, tenant) and the timeline on the PR key.
+    Plan: J3 (settings broadcast behind a row check: one row per tenant) ->
+    P11 checks. Files are paired with the distinct (PR, tenant) of eligible
+    runs - a PR-sized side, so no hint: AQE turns the join into a broadcast
+    only when the measured side is small, else both sides shuffle on the PR
+    key and AQE splits a skewed PR partition. Files are then filtered by the
+    tenant's ignore list (P7, a narrow higher-order filter) and repartitioned
+    on (PR, tenant, position bucket), so the first aggregation level is
+    salted: a PR with millions of files spreads over many tasks. Runs then
+    join the file texts on (PR, tenant) and the timeline on the PR key.
     """
     k = keys_list(keys)
     rs = resolve_run_settings(runs, settings).withColumn("error_code", eligibility_error())
     pairs = (rs.where(F.col("error_code").isNull())
              .select(*k, "tenant", "ignore_files").dropDuplicates(k + ["tenant"]))
-    pairs, small = bounded_broadcast(pairs)
     joined = files.join(pairs, k, "inner").where(~is_ignored("name", F.col("ignore_files")))
-    if not small:
-        joined = joined.repartition(*[F.col(c) for c in k + ["tenant"]],
-                                    F.floor(F.col("pos") / F.lit(bucket_rows)))
+    joined = joined.repartition(*[F.col(c) for c in k + ["tenant"]],
+                                F.floor(F.col("pos") / F.lit(bucket_rows)))
     fa = agg_file_texts(joined, k + ["tenant"], bucket_rows)
     tl = agg_timeline(feedback, k, feedback_mode).select(*k, "timeline")
     out = (rs.join(fa, k + ["tenant"], "left")
