@@ -1,0 +1,69 @@
+"""Skew and plan shape: hot keys split, one exchange per child, pushdown."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from reviewlake.operators.feedback import agg_timeline, union_feedback
+from reviewlake.operators.files import agg_file_texts, anti_join_ignored, filter_ignored_files
+
+
+def _files(spark, n_hot=5000, n_cold=50):
+    """One hot PR (number 1) with ``n_hot`` files and ``n_cold`` PRs with one file each."""
+    ids = spark.range(n_hot + n_cold)
+    hot = F.col("id") < n_hot
+    df = ids.select(F.when(hot, F.lit(1)).otherwise(F.col("id") - n_hot + 2).cast("long").alias("pr_number"),
+                    F.when(hot, F.col("id")).otherwise(F.lit(0)).cast("int").alias("pos"))
+    return df.select("pr_number", "pos",
+                     F.concat(F.lit("d/f"), F.col("pos").cast("string"),
+                              F.when(F.col("pos") % 3 == 0, F.lit(".py")).otherwise(F.lit(".js")))
+                     .alias("name"),
+                     F.lit("modified").alias("status"), F.lit(1).alias("additions"),
+                     F.lit(0).alias("deletions"), F.lit("@@").alias("patch"))
+
+
+def test_hot_pr_bucketed_equals_unbucketed(spark):
+    files = _files(spark)
+    small = {r["pr_number"]: tuple(r) for r in agg_file_texts(files, ["pr_number"], bucket_rows=97).collect()}
+    whole = {r["pr_number"]: tuple(r) for r in agg_file_texts(files, ["pr_number"], bucket_rows=1 << 30).collect()}
+    assert small == whole
+    hot = small[1]
+    assert hot[4] == 5000 and hot[3] == "py, js"
+    assert hot[1].split("\n")[:2] == ["d/f0.py (modified: +1 -0)", "d/f1.js (modified: +1 -0)"]
+
+
+def test_first_level_groups_by_bucket(spark):
+    plan = agg_file_texts(_files(spark), ["pr_number"], bucket_rows=97)._jdf.queryExecution() \
+        .executedPlan().toString()
+    # two aggregation levels: (key, bucket) then key
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_hot_pr_timeline_split_by_time(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, i, f"u{i % 5}", "APPROVED", f"b{i}", t0 + dt.timedelta(minutes=7 * i)) for i in range(600)]
+    r = spark.createDataFrame(rows, "pr_number long, pos int, author string, state string, body string, "
+                                    "submitted_at timestamp")
+    fb = union_feedback(r, None, None, ["pr_number"])
+    a = agg_timeline(fb, ["pr_number"], bucket_seconds=3600).first()["timeline"]
+    b = agg_timeline(fb, ["pr_number"], bucket_seconds=10 ** 9).first()["timeline"]
+    assert a == b and a.count("批准了PR") == 600
+
+
+def test_p7_equals_j2(spark):
+    # a real tenant column (a literal would be folded away, leaving no equi key)
+    files = _files(spark, 300, 30).withColumn(
+        "tenant", F.when(F.col("pr_number") > 0, F.lit("t")).otherwise(F.lit("u")))
+    pats = spark.createDataFrame([("t", "*.py"), ("t", "d/f1.js")], "tenant string, pattern string")
+    a = filter_ignored_files(files, ["*.py", "d/f1.js"]).select("pr_number", "pos")
+    b = anti_join_ignored(files, pats).select("pr_number", "pos")
+    assert sorted(a.collect()) == sorted(b.collect())
+    plan = anti_join_ignored(files, pats)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_parquet_pushdown(spark):
+    from reviewlake import registry as R
+    df = R.Tables(spark, "/root/testdata/sf0.001").runs
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)" in plan
