@@ -51,7 +51,21 @@ def build_review_result(completions: DataFrame, runs: DataFrame, prs: DataFrame,
 
 
 def latest_review(results: DataFrame, keys) -> DataFrame:
-    """The newest result per PR replaces earlier ones."""
+    """The newest result per PR replaces earlier ones.
+
+    Written as ``max_by`` over (run_ts, request_id) instead of a ranking
+    window: the aggregate combines map-side, so a PR with very many runs
+    never lands whole in one task.
+    """
+    k = keys_list(keys)
+    rest = [c for c in results.columns if c not in k]
+    order = F.struct(F.col("run_ts"), F.col("request_id"))
+    best = F.max_by(F.struct(*rest), order).alias("_best")
+    return results.groupBy(*k).agg(best).select(*k, *[F.col("_best")[c].alias(c) for c in rest])
+
+
+def latest_review_window(results: DataFrame, keys) -> DataFrame:
+    """W2 as the ranking window (same result; kept for comparison)."""
     k = keys_list(keys)
     w = Window.partitionBy(*k).orderBy(F.col("run_ts").desc(), F.col("request_id").desc())
     return results.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

@@ -40,15 +40,35 @@ def parse_pr_url(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def detect_pr_changes(visits: DataFrame, session=SESSION) -> DataFrame:
+def detect_pr_changes(visits: DataFrame, session=SESSION, bucket_seconds: int | None = 3600) -> DataFrame:
     """Keep a PR visit only when its path differs from the last PR path of
     the same page session. Non-PR pages are removed first, so leaving to one
     does not reset the memory.
+
+    Skew-safe segmented scan: the previous path is found inside (session,
+    time bucket) groups; the first visit of a bucket takes the last path of
+    the session's previous non-empty bucket from a per-bucket summary (one
+    row per bucket). A session with a huge number of visits spreads over its
+    buckets. ``bucket_seconds=None`` runs the plain per-session window.
     """
     pr = parse_pr_url(filter_pr_pages(visits))
-    w = Window.partitionBy(*session).orderBy("ts", "seq")
-    return (pr.withColumn("_prev", F.lag("path").over(w))
-            .where(~F.col("path").eqNullSafe(F.col("_prev"))).drop("_prev"))
+    if bucket_seconds is None:
+        w = Window.partitionBy(*session).orderBy("ts", "seq")
+        return (pr.withColumn("_prev", F.lag("path").over(w))
+                .where(~F.col("path").eqNullSafe(F.col("_prev"))).drop("_prev"))
+    b = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
+    pr = pr.withColumn("_b", F.coalesce(b, F.lit(-(1 << 62))))
+    wb = Window.partitionBy(*session, "_b").orderBy("ts", "seq")
+    rows = (pr.withColumn("_prev", F.lag("path").over(wb))
+            .withColumn("_first", F.row_number().over(wb) == 1))
+    summary = (rows.groupBy(*session, "_b")
+               .agg(F.max_by("path", F.struct("ts", "seq")).alias("_last")))
+    ws = Window.partitionBy(*session).orderBy("_b")
+    carry = summary.select(*session, "_b", F.lag("_last").over(ws).alias("_carry"))
+    out = rows.join(carry, [*session, "_b"], "left")
+    prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
+    return (out.where(~F.col("path").eqNullSafe(prev))
+            .drop("_prev", "_first", "_carry", "_b"))
 
 
 def pr_visit_feed(visits: DataFrame, session=SESSION) -> DataFrame:
