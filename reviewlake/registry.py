@@ -265,7 +265,10 @@ SELECT request_id, ai_service, err AS error_code,
   CASE WHEN ai_service = 'openai' THEN CAST(coalesce(openai_endpoint = {O.q(C.INSTALL_DEFAULTS['openai']['apiEndpoint'])}, false) AS VARCHAR)
     ELSE 'N/A' END AS use_default_endpoint,
   coalesce(CASE WHEN ai_service = 'openai' THEN openai_model = {O.q(C.INSTALL_DEFAULTS['openai']['model'])}
-    ELSE anthropic_model = {O.q(C.INSTALL_DEFAULTS['anthropic']['model'])} END, false) AS use_default_model
+    ELSE anthropic_model = {O.q(C.INSTALL_DEFAULTS['anthropic']['model'])} END, false) AS use_default_model,
+  CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN {len(C.OPENAI_HEADER_NAMES)}
+    ELSE {len(C.ANTHROPIC_HEADER_NAMES)} END END AS n_headers,
+  CASE WHEN err IS NULL THEN {O.js_length('p4')} END AS audit_prompt_length
 FROM q""")
 def q3_build_requests(spark, sf_dir):
     r = _requests(spark, sf_dir)
@@ -281,7 +284,9 @@ def q3_build_requests(spark, sf_dir):
         F.get_json_object(b, "$.temperature").alias("body_temperature"),
         F.get_json_object(b, "$.stream").alias("body_stream"),
         F.json_array_length(F.get_json_object(b, "$.messages")).alias("n_messages"),
-        "use_default_endpoint", "use_default_model")
+        "use_default_endpoint", "use_default_model",
+        F.size("header_names").alias("n_headers"),
+        F.element_at("messages_audit", -1)["content_length"].alias("audit_prompt_length"))
 
 
 @register("x1_with_completions")
@@ -678,20 +683,7 @@ def s5_read_issue_comments(spark, sf_dir):
 SELECT tenant, has_token, has_openai_key, has_anthropic_key, ai_service, openai_model, anthropic_model,
   max_tokens, array_to_string(ignore_files, '|') AS ignore_files FROM s"""))
 def s6_read_settings(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    flat = t.settings
-    docs = flat.select(
-        "tenant", F.when(F.col("has_token"), F.concat(F.lit("tok-"), "tenant")).otherwise(F.lit(""))
-        .alias("githubToken"), F.col("ai_service").alias("aiService"),
-        F.struct(F.when(F.col("has_openai_key"), F.concat(F.lit("key-a-"), "tenant")).alias("apiKey"),
-                 F.col("openai_endpoint").alias("apiEndpoint"), F.col("openai_model").alias("model"))
-        .alias("openaiSettings"),
-        F.struct(F.when(F.col("has_anthropic_key"), F.concat(F.lit("key-b-"), "tenant")).alias("apiKey"),
-                 F.col("anthropic_model").alias("model")).alias("anthropicSettings"),
-        F.struct(F.col("review_prompt").alias("reviewPrompt"), F.col("max_tokens").alias("maxTokens"),
-                 F.col("ignore_files").alias("ignoreFiles")).alias("reviewSettings"))
-    path = scratch_path(spark, "settings-docs")
-    docs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    path = landing.land_settings_docs(spark, Tables(spark, sf_dir).settings)
     back = readers.read_settings(spark, path)
     return back.select("tenant", "has_token", "has_openai_key", "has_anthropic_key", "ai_service",
                        "openai_model", "anthropic_model", "max_tokens",

@@ -64,3 +64,20 @@ def land_api_exports(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         paths[name] = p
     _LANDED[key] = paths
     return paths
+
+
+def land_settings_docs(spark: SparkSession, flat: DataFrame) -> str:
+    """Write flat settings back as stored settings documents (secrets as stand-in strings)."""
+    docs = flat.select(
+        "tenant", F.when(F.col("has_token"), F.concat(F.lit("tok-"), "tenant")).otherwise(F.lit(""))
+        .alias("githubToken"), F.col("ai_service").alias("aiService"),
+        F.struct(F.when(F.col("has_openai_key"), F.concat(F.lit("key-a-"), "tenant")).alias("apiKey"),
+                 F.col("openai_endpoint").alias("apiEndpoint"), F.col("openai_model").alias("model"))
+        .alias("openaiSettings"),
+        F.struct(F.when(F.col("has_anthropic_key"), F.concat(F.lit("key-b-"), "tenant")).alias("apiKey"),
+                 F.col("anthropic_model").alias("model")).alias("anthropicSettings"),
+        F.struct(F.col("review_prompt").alias("reviewPrompt"), F.col("max_tokens").alias("maxTokens"),
+                 F.col("ignore_files").alias("ignoreFiles")).alias("reviewSettings"))
+    path = scratch_path(spark, "settings-docs")
+    docs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return path
