@@ -22,17 +22,17 @@ from reviewlake.functions.text import estimate_tokens
 CHUNK_COLUMNS = ["request_id", "seq", "service", "payload", "is_last"]
 
 
-def assemble_lines(chunks: DataFrame, flush_tail: bool = False) -> DataFrame:
-    """T1 batch twin: complete lines per response, numbered in order.
-
-    A trailing piece without a newline is dropped unless ``flush_tail``.
-    Output: request_id, service, line_no, line.
-    """
+def _numbered_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks split on newline bytes, with the count of newlines before each chunk."""
     parts = F.split(F.decode(F.col("payload"), "ISO-8859-1"), "\n", -1)
-    c = chunks.select("request_id", "service", "seq", parts.alias("_parts"))
+    c = chunks.select("request_id", "service", "seq", "is_last",
+                      F.octet_length("payload").alias("_bytes"), parts.alias("_parts"))
     c = c.withColumn("_nl", F.size("_parts") - 1)
     w = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_before", F.coalesce(F.sum("_nl").over(w), F.lit(0)))
+    return c.withColumn("_before", F.coalesce(F.sum("_nl").over(w), F.lit(0)))
+
+
+def _lines(c: DataFrame, flush_tail: bool) -> DataFrame:
     p = c.select("request_id", "service", "seq", "_before", "_nl",
                  F.posexplode("_parts").alias("_k", "_piece"))
     p = p.withColumn("line_no", (F.col("_before") + F.col("_k")).cast("bigint")) \
@@ -48,6 +48,15 @@ def assemble_lines(chunks: DataFrame, flush_tail: bool = False) -> DataFrame:
     return lines.select("request_id", "service", "line_no", text.alias("line"))
 
 
+def assemble_lines(chunks: DataFrame, flush_tail: bool = False) -> DataFrame:
+    """T1 batch twin: complete lines per response, numbered in order.
+
+    A trailing piece without a newline is dropped unless ``flush_tail``.
+    Output: request_id, service, line_no, line.
+    """
+    return _lines(_numbered_chunks(chunks), flush_tail)
+
+
 def classify_lines(lines: DataFrame) -> DataFrame:
     """T2 + T3: tag each line ``skip`` / ``malformed`` / ``data`` and extract its delta."""
     kind = line_kind("service", "line")
@@ -76,26 +85,35 @@ def agg_stream_content(deltas: DataFrame) -> DataFrame:
                     .alias("content"), "n_deltas"))
 
 
-def stream_status(chunks: DataFrame) -> DataFrame:
-    """T4 twin + A9: ended flag (last chunk seen, no gap) and chunk statistics."""
-    return (chunks.groupBy("request_id")
+def _status(c: DataFrame) -> DataFrame:
+    return (c.groupBy("request_id")
             .agg(F.first("service").alias("service"),
                  F.count(F.lit(1)).alias("chunk_count"),
-                 F.sum(F.octet_length("payload")).cast("bigint").alias("total_bytes"),
-                 F.max(F.octet_length("payload")).cast("bigint").alias("max_chunk_bytes"),
+                 F.sum("_bytes").cast("bigint").alias("total_bytes"),
+                 F.max("_bytes").cast("bigint").alias("max_chunk_bytes"),
                  F.max("seq").alias("_max_seq"),
                  F.max(F.col("is_last").cast("int")).alias("_last"))
-            .withColumn("ended", (F.col("_last") == 1) & (F.col("chunk_count") == F.col("_max_seq") + 1))
+            .withColumn("ended", (F.col("_last") == 1)
+                        & (F.col("chunk_count") == F.col("_max_seq") + 1))
             .drop("_max_seq", "_last"))
 
 
+def stream_status(chunks: DataFrame) -> DataFrame:
+    """T4 twin + A9: ended flag (last chunk seen, no gap) and chunk statistics."""
+    c = chunks.select("request_id", "service", "seq", "is_last",
+                      F.octet_length("payload").alias("_bytes"))
+    return _status(c)
+
+
 def assemble_responses(chunks: DataFrame, flush_tail: bool = False) -> DataFrame:
     """Q4 batch twin: final content per response with token estimate and status.
 
     One shuffle on ``request_id`` serves the running newline count, the
-    per-line groups and the per-response aggregates.
+    per-line groups, the per-response aggregates and the chunk statistics
+    (both branches start from the same exchange, which Spark reuses).
     """
-    lines = classify_lines(assemble_lines(chunks, flush_tail))
+    c = _numbered_chunks(chunks)
+    lines = classify_lines(_lines(c, flush_tail))
     per_req = (lines.groupBy("request_id")
                .agg(F.array_sort(F.collect_list(F.when(
                    (F.col("kind") == "data") & (F.col("content") != ""),
@@ -104,8 +122,7 @@ def assemble_responses(chunks: DataFrame, flush_tail: bool = False) -> DataFrame
     content = per_req.select(
         "request_id", F.array_join(F.transform("_d", lambda x: x["content"]), "").alias("content"),
         F.size("_d").cast("bigint").alias("n_deltas"), "n_malformed")
-    status = stream_status(chunks)
-    out = status.join(content, "request_id", "left")
+    out = _status(c).join(content, "request_id", "left")
     return out.select(
         "request_id", "service",
         F.coalesce(F.col("content"), F.lit("")).alias("content"),
