@@ -740,8 +740,19 @@ def k2_write_submissions(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming T1-T6, K4
 def _run_stream(df: DataFrame, spark, name: str) -> DataFrame:
+    """Run a stream to the end of its input; state partitions = default parallelism.
+
+    The state partition count is fixed in the checkpoint when the query
+    starts, so it is set for the start only and the session value restored.
+    """
     out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    q = writers.write_deltas(df, out, ck, available_now=True)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(2, spark.sparkContext.defaultParallelism)))
+    try:
+        q = writers.write_deltas(df, out, ck, available_now=True)
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
