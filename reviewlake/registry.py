@@ -289,7 +289,9 @@ def q3_build_requests(spark, sf_dir):
         F.element_at("messages_audit", -1)["content_length"].alias("audit_prompt_length"))
 
 
-@register("x1_with_completions")
+@register("x1_with_completions", "SELECT request_id, 'reviewed ' || request_id || ' by ' || coalesce(model, '') "
+         "AS completion, CAST(NULL AS VARCHAR) AS error_message FROM (" + ORACLE["q3_build_requests"]
+         + ") q3 WHERE error_code IS NULL")
 def x1_with_completions(spark, sf_dir):
     """X1 with a deterministic stand-in for the model call (no network)."""
     def stub(pdf):
@@ -345,7 +347,29 @@ def t3_route_malformed(spark, sf_dir):
     return streams.route_malformed(streams.assemble_lines(_chunks(spark, sf_dir)))
 
 
-@register("a9_stream_stats")
+# DuckDB twin of the Spark-built response streams (same JSON bytes as Spark's to_json).
+_WIRE_SQL = f"""
+WITH pieces AS (
+  SELECT conv_id, turn, {_SERVICE} AS service,
+    list_transform(range(0, CAST(trunc((length(text) - 1) / 16) AS BIGINT) + 1),
+                   lambda i: substr(text, CAST(i * 16 + 1 AS BIGINT), 16)) AS ps
+  FROM conversations WHERE role = 'assistant'),
+wire AS (
+  SELECT conv_id, turn, service, CASE WHEN service = 'openai' THEN
+    array_to_string(list_transform(ps, lambda p: 'data: ' || to_json({{'choices': [{{'delta': {{'content': p}}}}]}})),
+                    chr(10) || chr(10)) || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)
+  ELSE
+    array_to_string(list_transform(ps, lambda p: 'event: content_block_delta' || chr(10) || 'data: ' ||
+      to_json({{'type': 'content_block_delta', 'delta': {{'text': p}}}})), chr(10) || chr(10))
+      || chr(10) || chr(10) || 'event: message_stop' || chr(10) || 'data: {{"type":"message_stop"}}' || chr(10) || chr(10)
+  END AS w FROM pieces)"""
+
+
+@register("a9_stream_stats", _WIRE_SQL + f"""
+SELECT {_RESP_ID} AS request_id, service, CAST(ceil(strlen(w) / 37) AS BIGINT) AS chunk_count,
+  CAST(strlen(w) AS BIGINT) AS total_bytes, CAST(least(37, strlen(w)) AS BIGINT) AS max_chunk_bytes,
+  true AS ended
+FROM wire""")
 def a9_stream_stats(spark, sf_dir):
     return streams.stream_status(_chunks(spark, sf_dir))
 
@@ -705,11 +729,15 @@ def _land_parquet_in_parts(df: DataFrame, spark, name: str, weights: int = 4,
     return base
 
 
-@register("s7_read_stream_chunks")
+@register("s7_read_stream_chunks", _WIRE_SQL + f"""
+SELECT {_RESP_ID} AS request_id, CAST(seq AS INTEGER) AS seq, service,
+  hex(encode(w)[seq * 37 + 1:seq * 37 + 37]) AS payload_hex, seq = CAST(ceil(strlen(w) / 37) AS BIGINT) - 1 AS is_last
+FROM (SELECT *, unnest(range(0, CAST(ceil(strlen(w) / 37) AS BIGINT))) AS seq FROM wire)""")
 def s7_read_stream_chunks(spark, sf_dir):
     base = scratch_path(spark, "chunks")
     _chunks(spark, sf_dir).write.mode("overwrite").parquet(base)
-    return readers.read_stream_chunks(spark, base)
+    return readers.read_stream_chunks(spark, base).select(
+        "request_id", "seq", "service", F.hex("payload").alias("payload_hex"), "is_last")
 
 
 @register("s8_read_page_visits", fx.oracle_with(["page_visits"], """

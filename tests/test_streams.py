@@ -110,3 +110,24 @@ def test_batch_equals_stream(spark):
     deltas = spark.read.parquet(out)
     streamed = {r["request_id"]: r["content"] for r in responses_from_deltas(deltas).collect()}
     assert streamed == texts
+
+
+def test_strict_json_payloads(spark):
+    from reviewlake.functions.stream import is_strict_json
+    cases = {
+        'garbage': False, '{"a":1}xyz': False, '{"a":1}{"b":2}': False, '{"a":1},{"b":2}': False,
+        '': False, "{'a':1}": False, '{"a":1,}': False, '{"a":01}': False, '{"a":NaN}': False,
+        '{"a":': False, '{"a":1}': True, '[1,2]': True, '"s"': True, '{"choices":[{"delta":{}}]}': True,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    got = dict(df.select("p", is_strict_json("p")).collect())
+    assert got == cases
+
+
+def test_input_order_never_matters(spark):
+    wire = ("\n\n".join(a_line(f"w{i}") for i in range(40)) + "\n").encode()
+    rows = cut("r7", "openai", wire, 3)
+    a = content(spark, rows)["r7"]["content"]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7).sortWithinPartitions(F.rand(1))
+    b = assemble_responses(df).first()["content"]
+    assert a == b == "".join(f"w{i}" for i in range(40))
