@@ -601,9 +601,7 @@ def m5_reset_review_settings(spark, sf_dir):
 
 # ---------------------------------------------------------------- Q8 settings migration
 _STORED_SQL = """
-SELECT tenant,
-  CASE tenant WHEN 'automobile' THEN 'install' WHEN 'building' THEN 'update' WHEN 'furniture' THEN 'chrome_update'
-    WHEN 'household' THEN 'update' ELSE 'shared_module_update' END AS reason,
+SELECT tenant, reason,
   map('aiService', ai_service, 'githubToken', CASE WHEN has_token THEN concat('secret-ref:', tenant) ELSE '' END,
       'theme', 'dark') AS top,
   map('apiKey', CASE WHEN has_key THEN concat('secret-ref:openai:', tenant) ELSE '' END, 'model', model) AS openai,
@@ -618,9 +616,7 @@ def _q8_sql() -> str:
     ign = ("array_to_string(list_filter(list_transform(string_split(coalesce(ignore_files, ''), chr(10)), "
            "lambda x: trim(x)), lambda x: x <> ''), '|')")
     return fx.oracle_with(["settings_raw"], f"""
-, r AS (SELECT *, CASE tenant WHEN 'automobile' THEN 'install' WHEN 'building' THEN 'update'
-          WHEN 'furniture' THEN 'chrome_update' WHEN 'household' THEN 'update' ELSE 'shared_module_update' END AS reason
-        FROM settings_raw)
+, r AS (SELECT * FROM settings_raw)
 SELECT tenant, reason,
   CASE WHEN reason = 'install' THEN {O.q(d['aiService'])} ELSE ai_service END AS ai_service,
   has_token,

@@ -101,14 +101,24 @@ SELECT doc_id, concat('Intro ', chr(96), 'x', CAST(doc_id AS STRING), chr(96), c
 FROM documents
 """
 
+# Stored settings, one record per user (customer): service by market segment,
+# the other fields by rules over the customer row, so every kind of stored
+# value occurs (blank / missing model, unparsable and out-of-range token caps,
+# multi-line ignore lists with blanks and padding, missing secrets) and the
+# table grows with the data. ``reason`` is the trigger of the next migration.
 DERIVED["settings_raw"] = """
-SELECT * FROM (VALUES
-  ('automobile', 'openai',    'gpt-4o', '1000',  concat('*.test.js', chr(10), ' *.min.js ', chr(10), chr(10), 'package-lock.json'), true,  true),
-  ('building',   'anthropic', '',       '12abc', '',                   true,  true),
-  ('furniture',  'openai',    NULL,     '50',    '*.css',              true,  false),
-  ('household',  'anthropic', 'm-b',    '99999', 'package-lock.json',  false, true),
-  ('machinery',  'other',     'm-x',    'x',     '*.js',               true,  true)
-) AS t(tenant, ai_service, model, max_tokens, ignore_files, has_token, has_key)
+SELECT concat('u', CAST(c_custkey AS STRING)) AS tenant,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'openai' WHEN 'BUILDING' THEN 'anthropic'
+    WHEN 'FURNITURE' THEN 'openai' WHEN 'HOUSEHOLD' THEN 'anthropic' ELSE 'other' END AS ai_service,
+  CASE c_custkey % 4 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'm-b' END AS model,
+  CASE c_custkey % 6 WHEN 0 THEN '1000' WHEN 1 THEN '12abc' WHEN 2 THEN '50' WHEN 3 THEN '99999'
+    WHEN 4 THEN 'x' ELSE CAST(c_nationkey * 100 AS STRING) END AS max_tokens,
+  CASE c_nationkey % 5 WHEN 0 THEN concat('*.test.js', chr(10), ' *.min.js ', chr(10), chr(10), 'package-lock.json')
+    WHEN 1 THEN '' WHEN 2 THEN '*.css' WHEN 3 THEN 'package-lock.json' ELSE '*.js' END AS ignore_files,
+  c_custkey % 7 <> 3 AS has_token, c_custkey % 9 <> 4 AS has_key,
+  CASE c_custkey % 5 WHEN 0 THEN 'install' WHEN 1 THEN 'update' WHEN 2 THEN 'chrome_update'
+    WHEN 3 THEN 'update' ELSE 'shared_module_update' END AS reason
+FROM customer
 """
 
 # Review runs: one per PR (turn 1), and a second one (turn 3) for urgent PRs.
@@ -116,7 +126,7 @@ SELECT * FROM (VALUES
 # own template (placeholders reordered and repeated) or an empty one.
 DERIVED["runs"] = """
 SELECT concat(CAST(o_orderkey AS STRING), '-', CAST(turn AS STRING)) AS request_id,
-  o_orderkey AS pr_number, lower(c_mktsegment) AS tenant,
+  o_orderkey AS pr_number, concat('u', CAST(o_custkey AS STRING)) AS tenant,
   o_orderdate + turn * INTERVAL 1 HOUR AS run_ts,
   CASE WHEN o_orderkey % 7 = 0 THEN 'anthropic' WHEN o_orderkey % 7 = 1 THEN '' END AS temp_ai_service,
   CASE WHEN o_orderkey % 11 = 0 THEN concat('Review {diff} for {files} ({language}) {files}{reviews}', chr(10), 'End')
@@ -124,7 +134,6 @@ SELECT concat(CAST(o_orderkey AS STRING), '-', CAST(turn AS STRING)) AS request_
 FROM (SELECT o_orderkey, o_custkey, o_orderdate, 1 AS turn FROM orders
       UNION ALL
       SELECT o_orderkey, o_custkey, o_orderdate, 3 AS turn FROM orders WHERE o_orderpriority = '1-URGENT') o
-JOIN customer ON o_custkey = c_custkey
 """
 
 # Dependencies between derived tables (bound as CTEs, in order).
