@@ -340,11 +340,35 @@ def w3_running_content(spark, sf_dir):
     return streams.running_content(streams.extract_deltas(streams.assemble_lines(_chunks(spark, sf_dir))))
 
 
-@register("t3_route_malformed", """
-SELECT CAST(NULL AS VARCHAR) AS request_id, CAST(NULL AS BIGINT) AS line_no, CAST(NULL AS VARCHAR) AS line
-FROM conversations WHERE false""")
+# T3 reads the same responses as sent by a relay that writes the text raw between the
+# JSON quotes: every piece holding a newline cuts its data line inside the JSON value.
+_RELAY_SQL = f"""
+WITH pieces AS (
+  SELECT conv_id, turn, {_SERVICE} AS service,
+    list_transform(range(0, CAST(trunc((length(text) - 1) / 16) AS BIGINT) + 1),
+                   lambda i: substr(text, CAST(i * 16 + 1 AS BIGINT), 16)) AS ps
+  FROM conversations WHERE role = 'assistant'),
+wire AS (
+  SELECT conv_id, turn, service, CASE WHEN service = 'openai' THEN
+    array_to_string(list_transform(ps, lambda p: 'data: {{"choices":[{{"delta":{{"content":"' || p || '"}}}}]}}'),
+                    chr(10) || chr(10)) || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)
+  ELSE
+    array_to_string(list_transform(ps, lambda p: 'event: content_block_delta' || chr(10) ||
+      'data: {{"type":"content_block_delta","delta":{{"text":"' || p || '"}}}}'), chr(10) || chr(10))
+      || chr(10) || chr(10) || 'event: message_stop' || chr(10) || 'data: {{"type":"message_stop"}}' || chr(10) || chr(10)
+  END AS w FROM pieces),
+split AS (SELECT conv_id, turn, service, string_split(w, chr(10)) AS parts FROM wire),
+lines AS (SELECT conv_id, turn, service, parts, unnest(range(len(parts) - 1)) AS i FROM split)
+SELECT {_RESP_ID} AS request_id, CAST(i AS BIGINT) AS line_no, parts[i + 1] AS line
+FROM lines
+WHERE starts_with(parts[i + 1], 'data: ') AND parts[i + 1] <> 'data: [DONE]'
+  AND NOT json_valid(substr(parts[i + 1], 7))"""
+
+
+@register("t3_route_malformed", _RELAY_SQL)
 def t3_route_malformed(spark, sf_dir):
-    return streams.route_malformed(streams.assemble_lines(_chunks(spark, sf_dir)))
+    relay = fx.stream_chunks(spark, sf_dir, escaped=False).select(*streams.CHUNK_COLUMNS)
+    return streams.route_malformed(streams.assemble_lines(relay))
 
 
 # DuckDB twin of the Spark-built response streams (same JSON bytes as Spark's to_json).

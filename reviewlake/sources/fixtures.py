@@ -193,14 +193,23 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark_sql(spark, sf_dir, derived_cte([name]) + f"\nSELECT * FROM {name}")
 
 
-def stream_chunks_sql(chunk_bytes: int = 37, piece_chars: int = 16) -> str:
+def stream_chunks_sql(chunk_bytes: int = 37, piece_chars: int = 16, escaped: bool = True) -> str:
     """Spark-only: assistant turns encoded as response streams and cut by bytes.
 
     Even conversations use dialect A (``data: {choices..}`` lines and a
     final ``data: [DONE]``), odd ones dialect B (``event:`` + ``data:`` line
     pairs, closed by an unrelated ``message_stop`` event). Cuts fall on
     fixed byte offsets, so multi-byte characters are split across chunks.
+    With ``escaped=False`` the pieces are written the way a faulty relay
+    writes them, raw between the JSON quotes: a piece holding a newline then
+    ends its ``data:`` line in the middle of the JSON value.
     """
+    if escaped:
+        body_a = "to_json(named_struct('choices', array(named_struct('delta', named_struct('content', p)))))"
+        body_b = "to_json(named_struct('type', 'content_block_delta', 'delta', named_struct('text', p)))"
+    else:
+        body_a = """concat('{"choices":[{"delta":{"content":"', p, '"}}]}')"""
+        body_b = """concat('{"type":"content_block_delta","delta":{"text":"', p, '"}}')"""
     return f"""
 WITH pieces AS (
   SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS service,
@@ -209,11 +218,9 @@ WITH pieces AS (
   FROM conversations WHERE role = 'assistant'),
 wire AS (
   SELECT conv_id, turn, service, CASE WHEN service = 'openai' THEN
-    concat(array_join(transform(ps, p -> concat('data: ', to_json(named_struct('choices',
-      array(named_struct('delta', named_struct('content', p))))))), '\\n\\n'), '\\n\\ndata: [DONE]\\n\\n')
+    concat(array_join(transform(ps, p -> concat('data: ', {body_a})), '\\n\\n'), '\\n\\ndata: [DONE]\\n\\n')
   ELSE
-    concat(array_join(transform(ps, p -> concat('event: content_block_delta\\ndata: ',
-      to_json(named_struct('type', 'content_block_delta', 'delta', named_struct('text', p))))), '\\n\\n'),
+    concat(array_join(transform(ps, p -> concat('event: content_block_delta\\ndata: ', {body_b})), '\\n\\n'),
       '\\n\\nevent: message_stop\\ndata: {{"type":"message_stop"}}\\n\\n')
   END AS w FROM pieces)
 SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS request_id, conv_id, turn, service,
@@ -224,5 +231,5 @@ FROM wire LATERAL VIEW explode(sequence(0, CAST((octet_length(w) - 1) / {chunk_b
 
 
 def stream_chunks(spark: SparkSession, sf_dir: str, chunk_bytes: int = 37,
-                  piece_chars: int = 16) -> DataFrame:
-    return spark_sql(spark, sf_dir, stream_chunks_sql(chunk_bytes, piece_chars))
+                  piece_chars: int = 16, escaped: bool = True) -> DataFrame:
+    return spark_sql(spark, sf_dir, stream_chunks_sql(chunk_bytes, piece_chars, escaped))
