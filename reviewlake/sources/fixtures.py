@@ -36,10 +36,15 @@ LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS INT) AS additions,
            FROM lineitem GROUP BY l_orderkey) a ON a.l_orderkey = o_orderkey
 """
 
+# The position window partitions by the renamed key, so the files come out
+# hash-partitioned by ``pr_number`` and per-PR joins and aggregations reuse it.
 DERIVED["changed_files"] = """
-SELECT l_orderkey AS pr_number,
-  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+SELECT pr_number,
+  CAST(row_number() OVER (PARTITION BY pr_number ORDER BY l_linenumber, l_partkey, l_suppkey,
                      l_quantity, l_extendedprice, l_shipdate) - 1 AS INT) AS pos,
+  filename, status, additions, deletions, patch, blob_url
+FROM (
+SELECT l_orderkey AS pr_number, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
   CASE WHEN l_partkey % 50 = 0 THEN 'package-lock.json'
        ELSE concat('src/', replace(p_name, ' ', '_'), '_', CAST(l_partkey AS STRING),
          CASE l_partkey % 6 WHEN 0 THEN '.js' WHEN 1 THEN '.test.js' WHEN 2 THEN '.min.js'
@@ -49,7 +54,7 @@ SELECT l_orderkey AS pr_number,
   CAST(l_quantity AS INT) AS additions, CAST(round(l_discount * 100) AS INT) AS deletions,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('@@ -1 +1 @@', chr(10), '+', p_name) END AS patch,
   concat('https://github.com/blob/', CAST(l_orderkey AS STRING), '/', CAST(l_partkey AS STRING)) AS blob_url
-FROM lineitem JOIN part ON l_partkey = p_partkey
+FROM lineitem JOIN part ON l_partkey = p_partkey) li
 """
 
 DERIVED["feedback"] = """
