@@ -28,7 +28,8 @@ COUNTS = {
     "window": r"\bWindow\b",
     "python": r"FlatMapGroupsInPandas|MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandasWithState",
 }
-SCAN = re.compile(r"FileScan parquet \[([^\]]*)\].*?PushedFilters: \[([^\]]*)\]", re.S)
+# one scan per line; a long filter list is cut by Spark with "..." and no closing bracket
+SCAN = re.compile(r"FileScan parquet \[([^\]\n]*)\][^\n]*?PushedFilters: \[([^\]\n]*)")
 
 
 def main() -> None:
