@@ -87,3 +87,64 @@ def test_latest_review_agg_equals_window(spark):
     a = sorted(latest_review(df, ["pr_number"]).select("pr_number", "request_id", "review").collect())
     b = sorted(latest_review_window(df, ["pr_number"]).select("pr_number", "request_id", "review").collect())
     assert a == b
+
+
+def _no_broadcast(spark):
+    """Session settings under which no join may become a broadcast."""
+    keys = ["reviewlake.broadcast.maxRows", "spark.sql.autoBroadcastJoinThreshold",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "0" if k.startswith("reviewlake") else "-1")
+    return old
+
+
+def _restore(spark, old):
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+def test_shuffled_joins_equal_broadcast_with_hot_tenant(spark):
+    """Settings and ignore patterns above the broadcast bound: the joins shuffle on the
+    tenant, a tenant holding a third of the runs included, and give the same rows."""
+    from reviewlake.operators.settings import resolve_run_settings
+    n = 3000
+    tenant = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("u"), (F.col("id") % 200).cast("string")))
+    runs = spark.range(n).select(
+        F.col("id").cast("string").alias("request_id"), tenant.alias("tenant"),
+        F.when(F.col("id") % 7 == 0, F.lit("anthropic")).alias("temp_ai_service"),
+        F.when(F.col("id") % 11 == 0, F.lit("T")).alias("temp_review_prompt"))
+    settings = spark.range(201).select(
+        F.when(F.col("id") == 200, F.lit("hot")).otherwise(
+            F.concat(F.lit("u"), F.col("id").cast("string"))).alias("tenant"),
+        (F.col("id") % 5 != 0).alias("has_token"), F.lit(True).alias("has_openai_key"),
+        (F.col("id") % 2 == 0).alias("has_anthropic_key"),
+        F.when(F.col("id") % 2 == 0, F.lit("openai")).otherwise(F.lit("anthropic")).alias("ai_service"),
+        F.concat(F.lit("P"), F.col("id").cast("string")).alias("review_prompt"),
+        F.lit(1000).alias("max_tokens"), F.array(F.lit("*.py")).alias("ignore_files"))
+    files = _files(spark, 300, 30).withColumn(
+        "tenant", F.when(F.col("pr_number") == 1, F.lit("hot")).otherwise(
+            F.concat(F.lit("u"), (F.col("pr_number") % 200).cast("string"))))
+    pats = settings.select("tenant", F.explode("ignore_files").alias("pattern"))
+
+    def run():
+        r = resolve_run_settings(runs, settings)
+        a = anti_join_ignored(files, pats)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (r, a)]
+        return sorted(r.collect()), sorted(a.select("pr_number", "pos").collect()), plans
+
+    hinted_r, hinted_a, hinted_plans = run()
+    old = _no_broadcast(spark)
+    try:
+        shuffled_r, shuffled_a, plans = run()
+    finally:
+        _restore(spark, old)
+    assert all("BroadcastHashJoin" in p for p in hinted_plans)
+    assert all("BroadcastHashJoin" not in p and "BroadcastNestedLoopJoin" not in p for p in plans)
+    assert shuffled_r == hinted_r and shuffled_a == hinted_a
+    # every run kept; the hot PR keeps its 200 non-.py files, each cold PR's one file is d/f0.py
+    assert len(shuffled_r) == n and len(shuffled_a) == 200
