@@ -34,20 +34,26 @@ def review_stats_text(reviewed="reviewed_files", additions="additions", deletion
         F.lit("\nToken消耗: "), t)
 
 
+# Repository coordinates of a PR (path parts of its API endpoints).
+COORDS = ("owner", "repo")
+
+
 def build_review_result(completions: DataFrame, runs: DataFrame, prs: DataFrame, keys) -> DataFrame:
     """J4 + A8: completed text with the kept-file count and the PR's own totals.
 
     ``completions``: request_id, content, tokens. ``runs``: request_id, keys,
     run_ts, file_count (files left after ignore filtering). ``prs``: keys,
-    additions, deletions, changed_files (unfiltered totals).
+    additions, deletions, changed_files (unfiltered totals), and ``owner`` /
+    ``repo`` when present, which ride along so the outbox needs no second PR join.
     """
     k = keys_list(keys)
+    coords = [c for c in COORDS if c in prs.columns and c not in k]
     r = runs.select("request_id", *k, "run_ts", F.col("file_count").alias("reviewed_files"))
-    p = prs.select(*k, F.col("changed_files").alias("total_files"), "additions", "deletions")
+    p = prs.select(*k, F.col("changed_files").alias("total_files"), "additions", "deletions", *coords)
     return (completions.join(r, "request_id", "inner").join(p, k, "inner")
             .select("request_id", *k, "run_ts", F.col("content").alias("review"),
                     F.coalesce(F.col("reviewed_files"), F.lit(0)).cast("bigint").alias("reviewed_files"),
-                    "total_files", "additions", "deletions", "tokens"))
+                    "total_files", "additions", "deletions", "tokens", *coords))
 
 
 def latest_review(results: DataFrame, keys) -> DataFrame:
@@ -84,9 +90,13 @@ def build_review_results(completions: DataFrame, runs: DataFrame, prs: DataFrame
 def build_submissions(results: DataFrame, prs: DataFrame, keys) -> DataFrame:
     """J5 + Q6: one outbox row per result: endpoint, body, event, body hash."""
     k = keys_list(keys)
-    coords = prs.select(*k, *[c for c in ("owner", "repo") if c not in k])
-    return (results.select("request_id", *k, F.col("review").alias("body"))
-            .join(coords, k, "inner")
+    coords = [c for c in COORDS if c not in k]
+    base = results.select("request_id", *k, *[c for c in coords if c in results.columns],
+                          F.col("review").alias("body"))
+    if not all(c in results.columns for c in coords):
+        # results built without the PR coordinates: look them up (a shuffle join on the keys)
+        base = base.select("request_id", *k, "body").join(prs.select(*k, *coords), k, "inner")
+    return (base
             .select("request_id", *k, "owner", "repo",
                     api_endpoint("submit_review").alias("endpoint"),
                     "body", F.lit(C.SUBMIT_EVENT).alias("event"),
