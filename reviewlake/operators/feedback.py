@@ -110,6 +110,7 @@ def agg_timeline(feedback: DataFrame, keys, mode: str = "all",
     k = keys_list(keys)
     lvl1 = (feedback
             .withColumn("_tb", time_bucket("submitted_at", bucket_seconds))
+            .repartition(*[F.col(c) for c in k], F.col("_tb"))
             .groupBy(*k, "_tb")
             .agg(sorted_items(feedback_sort_key(), {"t": rendered(feedback, mode)}).alias("_items"),
                  F.count(F.lit(1)).alias("_n"))

@@ -78,11 +78,15 @@ def agg_file_texts(files: DataFrame, keys: Sequence[str] | str,
     Level 1 groups by (keys, pos div bucket_rows): a PR with millions of files
     spreads over many tasks, each sorting at most ``bucket_rows`` rows. Level 2
     joins the pre-rendered pieces in bucket order; its group holds one row per
-    bucket. Output columns: keys, files_list, diffs, languages, file_count.
+    bucket. The rows are repartitioned on (keys, bucket) first, so the split
+    holds even when the input is already partitioned by the keys alone (a
+    collect needs no map-side combine, so this is the aggregate's own shuffle).
+    Output columns: keys, files_list, diffs, languages, file_count.
     """
     k = keys_list(keys)
     lvl1 = (files
             .withColumn("_b", pos_bucket("pos", bucket_rows))
+            .repartition(*[F.col(c) for c in k], F.col("_b"))
             .groupBy(*k, "_b")
             .agg(sorted_items([F.col("pos")], {
                 "line": render_file_line("name", "status", "additions", "deletions"),

@@ -68,9 +68,9 @@ def build_review_prompts(runs: DataFrame, settings: DataFrame, files: DataFrame,
     runs - a PR-sized side, so no hint: AQE turns the join into a broadcast
     only when the measured side is small, else both sides shuffle on the PR
     key and AQE splits a skewed PR partition. Files are then filtered by the
-    tenant's ignore list (P7, a narrow higher-order filter) and repartitioned
-    on (PR, tenant, position bucket), so the first aggregation level is
-    salted: a PR with millions of files spreads over many tasks. Runs then
+    tenant's ignore list (P7, a narrow higher-order filter); the file
+    aggregation repartitions them on (PR, tenant, position bucket), so its
+    first level is salted: a PR with millions of files spreads over many tasks. Runs then
     join the file texts on (PR, tenant) and the timeline on the PR key.
     """
     k = keys_list(keys)
@@ -78,8 +78,6 @@ def build_review_prompts(runs: DataFrame, settings: DataFrame, files: DataFrame,
     pairs = (rs.where(F.col("error_code").isNull())
              .select(*k, "tenant", "ignore_files").dropDuplicates(k + ["tenant"]))
     joined = files.join(pairs, k, "inner").where(~is_ignored("name", F.col("ignore_files")))
-    joined = joined.repartition(*[F.col(c) for c in k + ["tenant"]],
-                                F.floor(F.col("pos") / F.lit(bucket_rows)))
     fa = agg_file_texts(joined, k + ["tenant"], bucket_rows)
     tl = agg_timeline(feedback, k, feedback_mode).select(*k, "timeline")
     out = (rs.join(fa, k + ["tenant"], "left")
