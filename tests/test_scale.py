@@ -148,3 +148,16 @@ def test_shuffled_joins_equal_broadcast_with_hot_tenant(spark):
     assert shuffled_r == hinted_r and shuffled_a == hinted_a
     # every run kept; the hot PR keeps its 200 non-.py files, each cold PR's one file is d/f0.py
     assert len(shuffled_r) == n and len(shuffled_a) == 200
+
+
+def test_bucket_split_holds_on_key_partitioned_input(spark):
+    """Input already hash-partitioned by the PR alone (as after a per-PR window) must
+    still be split by (PR, bucket) before the first level, and give the same texts."""
+    files = _files(spark)
+    pre = files.repartition("pr_number")
+    agg = agg_file_texts(pre, ["pr_number"], bucket_rows=97)
+    plan = agg._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(pr_number#" in line and ", _b#" in line
+               for line in plan.splitlines() if "Exchange" in line)
+    whole = agg_file_texts(files, ["pr_number"], bucket_rows=1 << 30)
+    assert sorted(map(tuple, agg.collect())) == sorted(map(tuple, whole.collect()))
