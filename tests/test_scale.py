@@ -161,3 +161,17 @@ def test_bucket_split_holds_on_key_partitioned_input(spark):
                for line in plan.splitlines() if "Exchange" in line)
     whole = agg_file_texts(files, ["pr_number"], bucket_rows=1 << 30)
     assert sorted(map(tuple, agg.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_files_list_lines_equal_kept_file_count(spark):
+    """Property: one A1 line per kept file, for every PR of the fixture tables."""
+    from reviewlake.registry import KEYS, Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    kept = filter_ignored_files(t.files, ["*.test.js", "*.min.js", "package-lock.json"])
+    texts = agg_file_texts(kept, KEYS, bucket_rows=3)
+    counts = kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    j = texts.join(counts, KEYS, "full_outer")
+    lines = F.size(F.split("files_list", "\n"))
+    bad = j.where(F.col("n").isNull() | F.col("file_count").isNull()
+                  | (lines != F.col("n")) | (F.col("file_count") != F.col("n")))
+    assert bad.count() == 0 and counts.count() > 0
