@@ -13,7 +13,7 @@ bounds every per-response group below.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions.stream import extract_delta, line_kind
@@ -32,20 +32,38 @@ def _numbered_chunks(chunks: DataFrame) -> DataFrame:
     return c.withColumn("_before", F.coalesce(F.sum("_nl").over(w), F.lit(0)))
 
 
-def _lines(c: DataFrame, flush_tail: bool) -> DataFrame:
-    p = c.select("request_id", "service", "seq", "_before", "_nl",
-                 F.posexplode("_parts").alias("_k", "_piece"))
+def _line_groups(c: DataFrame, chunk_stats: bool = False) -> DataFrame:
+    """One group per (response, line): its pieces in chunk order, and whether a
+    newline ended it. With ``chunk_stats`` each chunk is also counted once, with
+    its first piece, so chunk statistics need no second pass over the chunks.
+    A chunk without payload adds no text."""
+    p = c.select("request_id", "service", "seq", "_before", "_nl", "_bytes", "is_last",
+                 F.posexplode(F.coalesce(F.col("_parts"), F.array(F.lit("")))).alias("_k", "_piece"))
     p = p.withColumn("line_no", (F.col("_before") + F.col("_k")).cast("bigint")) \
          .withColumn("_term", F.col("_k") < F.col("_nl"))
-    lines = (p.groupBy("request_id", "line_no")
-             .agg(F.first("service").alias("service"),
-                  F.array_sort(F.collect_list(F.struct("seq", "_piece"))).alias("_ps"),
-                  F.max("_term").alias("_complete")))
+    aggs = [F.first("service").alias("service"),
+            F.array_sort(F.collect_list(F.struct("seq", "_piece"))).alias("_ps"),
+            F.max("_term").alias("_complete")]
+    if chunk_stats:
+        own = F.col("_k") == 0
+        aggs += [F.count_if(own).alias("_c"),
+                 F.sum(F.when(own, F.col("_bytes"))).alias("_sb"),
+                 F.max(F.when(own, F.col("_bytes"))).alias("_mb"),
+                 F.max(F.when(own, F.col("seq"))).alias("_ms"),
+                 F.max(F.when(own, F.col("is_last").cast("int"))).alias("_l")]
+    return p.groupBy("request_id", "line_no").agg(*aggs)
+
+
+def _line_text() -> Column:
+    latin = F.array_join(F.transform("_ps", lambda x: x["_piece"]), "")
+    return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
+
+
+def _lines(c: DataFrame, flush_tail: bool) -> DataFrame:
+    lines = _line_groups(c)
     if not flush_tail:
         lines = lines.where(F.col("_complete"))
-    latin = F.array_join(F.transform("_ps", lambda x: x["_piece"]), "")
-    text = F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
-    return lines.select("request_id", "service", "line_no", text.alias("line"))
+    return lines.select("request_id", "service", "line_no", _line_text().alias("line"))
 
 
 def assemble_lines(chunks: DataFrame, flush_tail: bool = False) -> DataFrame:
@@ -108,28 +126,37 @@ def stream_status(chunks: DataFrame) -> DataFrame:
 def assemble_responses(chunks: DataFrame, flush_tail: bool = False) -> DataFrame:
     """Q4 batch twin: final content per response with token estimate and status.
 
-    One shuffle on ``request_id`` serves the running newline count, the
-    per-line groups, the per-response aggregates and the chunk statistics
-    (both branches start from the same exchange, which Spark reuses).
+    One chain on one shuffle: chunks are exchanged on ``request_id`` for the
+    running newline count; the per-line groups and then the per-response
+    aggregate reuse that partitioning. Chunk statistics ride along in the line
+    groups, so no second branch over the chunks exists for the optimizer to
+    fork off when a caller keeps only the content.
     """
-    c = _numbered_chunks(chunks)
-    lines = classify_lines(_lines(c, flush_tail))
-    per_req = (lines.groupBy("request_id")
-               .agg(F.array_sort(F.collect_list(F.when(
-                   (F.col("kind") == "data") & (F.col("content") != ""),
-                   F.struct("line_no", "content")))).alias("_d"),
-                   F.count_if(F.col("kind") == "malformed").alias("n_malformed")))
-    content = per_req.select(
-        "request_id", F.array_join(F.transform("_d", lambda x: x["content"]), "").alias("content"),
-        F.size("_d").cast("bigint").alias("n_deltas"), "n_malformed")
-    out = _status(c).join(content, "request_id", "left")
-    return out.select(
-        "request_id", "service",
-        F.coalesce(F.col("content"), F.lit("")).alias("content"),
-        estimate_tokens(F.coalesce(F.col("content"), F.lit(""))).alias("tokens"),
-        F.coalesce(F.col("n_deltas"), F.lit(0)).cast("bigint").alias("n_deltas"),
-        F.coalesce(F.col("n_malformed"), F.lit(0)).cast("bigint").alias("n_malformed"),
-        "ended", "chunk_count", "total_bytes", "max_chunk_bytes")
+    g = _line_groups(_numbered_chunks(chunks), chunk_stats=True)
+    open_line = ~F.col("_complete") if not flush_tail else F.lit(False)
+    line = F.when(~F.coalesce(open_line, F.lit(True)), _line_text())
+    g = g.select("request_id", "service", "line_no", line.alias("line"),
+                 "_c", "_sb", "_mb", "_ms", "_l")
+    kind = F.when(F.col("line").isNull(), F.lit("open")).otherwise(line_kind("service", "line"))
+    g = g.withColumn("kind", kind).withColumn(
+        "content", F.when(F.col("kind") == "data", extract_delta("service", "line")))
+    per_req = (g.groupBy("request_id")
+               .agg(F.first("service").alias("service"),
+                    F.array_sort(F.collect_list(F.when(
+                        (F.col("kind") == "data") & (F.col("content") != ""),
+                        F.struct("line_no", "content")))).alias("_d"),
+                    F.count_if(F.col("kind") == "malformed").alias("n_malformed"),
+                    F.sum("_c").alias("chunk_count"),
+                    F.sum("_sb").cast("bigint").alias("total_bytes"),
+                    F.max("_mb").cast("bigint").alias("max_chunk_bytes"),
+                    F.max("_ms").alias("_max_seq"), F.max("_l").alias("_last")))
+    content = F.array_join(F.transform("_d", lambda x: x["content"]), "")
+    return per_req.select(
+        "request_id", "service", content.alias("content"), estimate_tokens(content).alias("tokens"),
+        F.size("_d").cast("bigint").alias("n_deltas"),
+        F.col("n_malformed").cast("bigint").alias("n_malformed"),
+        ((F.col("_last") == 1) & (F.col("chunk_count") == F.col("_max_seq") + 1)).alias("ended"),
+        F.col("chunk_count").cast("bigint").alias("chunk_count"), "total_bytes", "max_chunk_bytes")
 
 
 def running_content(deltas: DataFrame, last_only: bool = False) -> DataFrame:
