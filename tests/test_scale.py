@@ -175,3 +175,21 @@ def test_files_list_lines_equal_kept_file_count(spark):
     bad = j.where(F.col("n").isNull() | F.col("file_count").isNull()
                   | (lines != F.col("n")) | (F.col("file_count") != F.col("n")))
     assert bad.count() == 0 and counts.count() > 0
+
+
+def test_hot_pr_timeline_in_one_bucket_is_split(spark):
+    """All of a hot PR's feedback at one timestamp (one time bucket): the bucket is split
+    by (time, kind, position bucket) and the text equals the unsplit one."""
+    t0 = dt.datetime(2024, 1, 1)
+    rev = [(1, i, f"u{i % 5}", "APPROVED", f"r{i}", t0) for i in range(400)]
+    rev += [(2, 0, "u", "COMMENTED", "cold", t0)]
+    com = [(1, i, "u", f"c{i}", t0) for i in range(200)]
+    r = spark.createDataFrame(rev, "pr_number long, pos int, author string, state string, body string, "
+                                   "submitted_at timestamp")
+    c = spark.createDataFrame(com, "pr_number long, pos int, author string, body string, created_at timestamp")
+    fb = union_feedback(r, None, c, ["pr_number"])
+    split = {x["pr_number"]: x for x in agg_timeline(fb, ["pr_number"], bucket_rows=7).collect()}
+    whole = {x["pr_number"]: x for x in agg_timeline(fb, ["pr_number"], bucket_rows=1 << 30).collect()}
+    assert split == whole and split[1]["feedback_count"] == 600
+    text = split[1]["timeline"]
+    assert text.index("r0") < text.index("r399") and text.count("批准了PR") == 400
