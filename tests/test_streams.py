@@ -169,3 +169,14 @@ def test_restart_from_checkpoint_is_exactly_once(spark):
     assert deltas.count() == deltas.select("request_id", "line_no", "kind").distinct().count()
     streamed = {r["request_id"]: r["content"] for r in responses_from_deltas(deltas).collect()}
     assert streamed == texts
+
+
+def test_null_payload_chunk_counts_but_adds_no_text(spark):
+    wire = ("\n\n".join(a_line(w) for w in ["ab", "cd", "ef"]) + "\n\ndata: [DONE]\n\n").encode()
+    rows = cut("n1", "openai", wire, 6)
+    rows.insert(3, ("n1", 3, "openai", None, False))
+    rows = [(r[0], i, r[2], r[3], i == len(rows) - 1) for i, r in enumerate(rows)]
+    got = content(spark, rows)["n1"]
+    assert got["content"] == "abcdef" and got["ended"]
+    assert got["chunk_count"] == len(rows) and got["total_bytes"] == len(wire)
+    assert got["n_malformed"] == 0 and got["n_deltas"] == 3
