@@ -57,43 +57,41 @@ def prepare(spark: SparkSession) -> SparkSession:
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (pandas UDFs, state functions).
 
-    The package is zipped once per application into the shared checkpoint
-    folder and added with ``addPyFile``, as ``--py-files`` would.
+    The package is zipped on the driver once per application and added with
+    ``addPyFile``, as ``--py-files`` would: executors fetch it from the driver, so
+    the scheme of the checkpoint folder does not matter.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    dest = os.path.join(checkpoint_dir(spark), f"pyfiles-{app}")
-    local = dest[len("file:"):] if dest.startswith("file:") else dest
-    if "://" not in local:
-        os.makedirs(local, exist_ok=True)
-        base = os.path.join(local, "reviewlake")
-        zpath = shutil.make_archive(base, "zip", os.path.dirname(pkg), os.path.basename(pkg))
-        sc.addPyFile(zpath)
+    base = os.path.join(tempfile.mkdtemp(prefix="reviewlake-py-"), "reviewlake")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(pkg), os.path.basename(pkg)))
     _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Read from the session; only a local-mode session without one gets a
-    fresh folder of its own (never on a cluster).
+    A folder that the context already has is used as it is: setting it again would
+    nest one more folder below it each time. Otherwise it is read from the session
+    setting; only a local-mode session without one gets a fresh folder of its own
+    (never on a cluster).
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        if not sc.master.startswith("local"):
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="reviewlake-ckpt-")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+        named = tempfile.mkdtemp(prefix="reviewlake-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
