@@ -115,7 +115,9 @@ def _candidate_sets(k: int, sketch):
             for first, part in text.chunks(pdf["text"]):
                 h, offset = text.shingle_sets(text.words(part), k)
                 yield pd.DataFrame({"node": ids[first:first + len(part)],
-                                    "shingles": [h[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])]})
+                                    "shingles": [h[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])],
+                                    "halves": [np.unique((h[a:b] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                                               for a, b in zip(offset[:-1], offset[1:])]})
     return run
 
 
@@ -186,12 +188,13 @@ def _groups(docs: DataFrame, lead: DataFrame, k: int, percent: int) -> DataFrame
 
     sketch = broadcast(spark, membership_sketch(members, "node"))
     wanted = members.select("node").distinct()
-    sets = (docs.withColumn("h", F.xxhash64("doc_id")).mapInPandas(_candidate_sets(k, sketch), "node long, shingles binary")
+    sets = (docs.withColumn("h", F.xxhash64("doc_id")).mapInPandas(_candidate_sets(k, sketch), "node long, shingles binary, halves array<int>")
             .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sets = written(sets, "sets")
     pairs = plausible(members.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")))
     links = written(_confirmed(written(pairs, "pairs"), sets, percent), "links")
     rest = members.where("size > 2").join(profile, "node").select("key", "node", "n", "bits1", "bits2")
+    halves = sets.select("node", "halves")
     rest = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
     groups, tested = written(connected_components(links), "groups"), 1
     while True:
@@ -204,12 +207,15 @@ def _groups(docs: DataFrame, lead: DataFrame, k: int, percent: int) -> DataFrame
         if rest.isEmpty():
             return groups
         more = 8 * tested + 1
-        pivot = rest.where((F.col("rank") >= tested) & (F.col("rank") < more)).select(
+        full = rest.join(halves, "node")
+        pivot = full.where((F.col("rank") >= tested) & (F.col("rank") < more)).select(
             "key", F.col("node").alias("v"), F.col("rank").alias("v_rank"), F.col("c").alias("v_c"),
-            F.col("n").alias("n_v"), F.col("bits1").alias("v1"), F.col("bits2").alias("v2"))
-        other = rest.select("key", F.col("node").alias("u"), "rank", "c", F.col("n").alias("n_u"),
-                            F.col("bits1").alias("u1"), F.col("bits2").alias("u2"))
-        pairs = other.join(pivot, "key").where((F.col("rank") > F.col("v_rank")) & (F.col("c") != F.col("v_c")) & _close(percent))
+            F.col("n").alias("n_v"), F.col("bits1").alias("v1"), F.col("bits2").alias("v2"),
+            F.col("halves").alias("h_v"))
+        other = full.select("key", F.col("node").alias("u"), "rank", "c", F.col("n").alias("n_u"),
+                            F.col("bits1").alias("u1"), F.col("bits2").alias("u2"), F.col("halves").alias("h_u"))
+        pairs = other.join(pivot, "key").where((F.col("rank") > F.col("v_rank")) & (F.col("c") != F.col("v_c"))
+                                              & _close(percent) & _overlap(percent))
         found = written(_confirmed(pairs.select("u", "v").distinct(), sets, percent), "links")
         tested = more
         if not found.isEmpty():
@@ -224,6 +230,15 @@ def _close(percent: int):
     return (100 * small >= percent * large) & (apart <= MOST_BITS_APART)
 
 
+def _overlap(percent: int):
+    """Whether the sets overlap enough, by half of each hash and with two to spare for equal halves.
+
+    Part of the join's condition, so that a bucket emits next to its links alone.
+    """
+    both = F.size(F.array_intersect("h_u", "h_v")) + 2
+    return 100 * both >= percent * (F.col("n_u") + F.col("n_v") - both)
+
+
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that have a smaller near duplicate; columns unchanged."""
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("__gone_id"))

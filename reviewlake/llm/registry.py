@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, oracle, topk
+from . import decontaminate, mixing, near_dup, oracle, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,21 @@ def op3_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def _fold(doc_id, folds: int):
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = toxicity.toxicity(docs, labels.where(_fold(F.col("doc_id"), 5) != 0))
+    return out.select("doc_id", F.coalesce(_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_super_minhash, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_super_minhash, op8_toxicity, op9_decontaminate)}
 ORACLE = {"op1_mix_sources": oracle.mix(MIX_POWERS, MIX_FRACTION), "op2_top_k": oracle.top_k(), "op9_decontaminate": oracle.decontaminate()}
