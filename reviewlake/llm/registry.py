@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, oracle, topk, toxicity
+from . import decontaminate, line_dedup, mixing, near_dup, oracle, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+                      F.sha2(F.array_join(F.col("removed").cast("array<string>"), ","), 256).alias("removed_sha256"))
+
+
 def _fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
@@ -46,5 +52,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_super_minhash, op8_toxicity, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_super_minhash, op4_line_dedup, op8_toxicity, op9_decontaminate)}
 ORACLE = {"op1_mix_sources": oracle.mix(MIX_POWERS, MIX_FRACTION), "op2_top_k": oracle.top_k(), "op9_decontaminate": oracle.decontaminate()}

@@ -28,14 +28,14 @@ def probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(u >> np.uint64(40)) % np.uint64(bits), (u & np.uint64(0xFFFFFFFF)) % np.uint64(bits)]
 
 
-def membership_sketch(keys: DataFrame, column: str, bits: int = SKETCH_BITS) -> np.ndarray:
-    """A Bloom filter of the hashed long keys in ``column``: uint64 words, ``bits`` / 8 bytes at any input size.
+def membership_sketch(keys: DataFrame, column: str, bits: int = SKETCH_BITS, hashed: bool = False) -> np.ndarray:
+    """A Bloom filter of the xxhash64 of ``column`` (or its own values, if ``hashed``): uint64 words, ``bits`` / 8 bytes at any input size.
 
     It only saves work: a filter that has filled up lets every row through to the exact join
     behind it.  Its words are built by a map-side combined ``bit_or``, so the driver receives
     at most ``bits`` / 64 rows.
     """
-    h = F.xxhash64(column)
+    h = F.col(column) if hashed else F.xxhash64(column)
     first = F.pmod(F.shiftrightunsigned(h, 40), F.lit(bits))
     second = F.pmod(h.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(bits))
     bit = F.explode(F.array(first, second))
