@@ -72,3 +72,62 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
       FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def revisits() -> str:
+    from .revisits import PERMITTED, REWRITES
+
+    key = "url"
+    for pattern, to in REWRITES:
+        key = f"regexp_replace({key}, '{pattern}', '{to}', 'g')"
+    permitted = ", ".join(f"'{x}'" for x in PERMITTED)
+    return f"""
+WITH p AS (SELECT page_id AS i, lower({key}) AS u, '"' || substr(md5(html), 1, 12) || '"' AS tag FROM pages),
+r AS (
+  SELECT i * 3 AS record_id, true AS is_full, u, i * 10 AS ts, tag AS etag, 'max-age=60' AS cc, 'text/html' AS ct FROM p
+  UNION ALL
+  SELECT i * 3 + 1, false, u, CASE WHEN i % 7 = 0 THEN i * 10 - 5 ELSE i * 10 + 1000005 END,
+         CASE WHEN i % 3 = 0 THEN 'W/' ELSE '' END || tag, 'max-age=120', NULL FROM p
+  UNION ALL
+  SELECT i * 3 + 2, false, u, i * 10 + 2000007, CASE WHEN i % 11 = 0 THEN NULL WHEN i % 5 = 0 THEN '"changed"' ELSE tag END, 'max-age=180', NULL FROM p),
+f AS (SELECT *, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER (
+        PARTITION BY u ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS response_id FROM r),
+j AS (SELECT f.*, o.etag AS old_tag,
+        CASE WHEN f.response_id IS NULL THEN 'orphan' WHEN f.etag IS NULL OR o.etag IS NULL THEN 'unverified'
+             WHEN regexp_replace(f.etag, '^W/', '') = regexp_replace(o.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END AS state
+      FROM f LEFT JOIN r AS o ON f.response_id = o.record_id WHERE NOT f.is_full)
+SELECT record_id, u AS url_key, ts, response_id, state,
+       CASE WHEN state = 'resolved' THEN 'cache-control=' || cc || ';content-type=text/html;date=' || ts || ';etag=' || etag END AS headers
+FROM j"""
+
+
+def licences(files: str) -> str:
+    from .licences import LEAST_COSINE, LICENCE_FILE, TEMPLATES, TRIGGER
+
+    values = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    return f"""
+WITH files AS ({files}),
+names(licence, notice) AS (VALUES {values}),
+n AS (SELECT count(*) AS n FROM files WHERE path IS NOT NULL AND text IS NOT NULL),
+tpl AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest({_words('notice')}) AS term FROM names) GROUP BY ALL),
+has AS (SELECT path, unnest(list_distinct({_words('text')})) AS term FROM files),
+df AS (SELECT term, count(*) AS df FROM has WHERE term IN (SELECT term FROM tpl) GROUP BY term),
+tw AS (SELECT licence, tpl.term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM tpl LEFT JOIN df USING (term), n),
+tn AS (SELECT licence, sqrt(sum(w * w)) AS norm FROM tw GROUP BY licence),
+lines AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files
+          UNION ALL SELECT path, text FROM files WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{LICENCE_FILE}')),
+units AS (SELECT row_number() OVER () AS unit, path, line FROM lines WHERE regexp_matches(line, '{TRIGGER}')),
+tf AS (SELECT unit, path, term, count(*) AS tf FROM (SELECT unit, path, unnest({_words('line')}) AS term FROM units) GROUP BY ALL),
+uw AS (SELECT unit, path, tf.term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM tf LEFT JOIN df USING (term), n),
+un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY unit),
+cs AS (SELECT path, licence, round(sum(uw.w * tw.w / tn.norm) / any_value(un.norm), 6) AS cosine
+       FROM uw JOIN tw USING (term) JOIN tn USING (licence) JOIN un USING (unit) GROUP BY unit, path, licence),
+own AS (SELECT * FROM cs WHERE cosine >= {LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, licence) = 1),
+declared AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence, cosine FROM own WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{LICENCE_FILE}')
+             QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1),
+near AS (SELECT f.path, d.dir, d.licence, d.cosine FROM (SELECT DISTINCT path FROM files) AS f JOIN declared AS d ON starts_with(f.path, d.dir || '/')
+         QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(d.dir) DESC) = 1)
+SELECT f.path, coalesce(own.licence, near.licence) AS licence, coalesce(own.cosine, near.cosine) AS cosine,
+       CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN near.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own.licence IS NULL THEN near.dir END AS declared_in
+FROM files AS f LEFT JOIN own ON f.path = own.path LEFT JOIN near ON f.path = near.path"""

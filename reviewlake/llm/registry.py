@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, near_dup, oracle, topk, toxicity
+from . import decontaminate, hmm, licences, line_dedup, mixing, near_dup, oracle, revisits, topk, toxicity, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,24 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(F.col("removed").cast("array<string>"), ","), 256).alias("removed_sha256"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve_revisits(revisits.crawl_records(_table(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.withColumn("headers", F.array_join(pairs, ";"))
+
+
+def op6_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def _fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(_table(spark, sf_dir, "documents"), _fold(F.col("doc_id"), 7) == 2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = toxicity.toxicity(docs, labels.where(_fold(F.col("doc_id"), 5) != 0))
@@ -52,5 +66,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_super_minhash, op4_line_dedup, op8_toxicity, op9_decontaminate)}
-ORACLE = {"op1_mix_sources": oracle.mix(MIX_POWERS, MIX_FRACTION), "op2_top_k": oracle.top_k(), "op9_decontaminate": oracle.decontaminate()}
+#: the documents as files: short ones are licence files, in directories by source and language
+FILES = "SELECT concat('/', source, '/', lang, '/', CASE WHEN n_chars < 400 THEN 'LICENSE-' ELSE 'doc-' END, doc_id) AS path, text FROM documents"
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(spark.sql(FILES.replace("FROM documents", "FROM {docs}"), docs=_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_super_minhash, op4_line_dedup, op5_revisits,
+                                  op6_word_pieces, op7_hmm_scores, op8_toxicity, op9_decontaminate, op10_licences)}
+ORACLE = {"op1_mix_sources": oracle.mix(MIX_POWERS, MIX_FRACTION), "op2_top_k": oracle.top_k(), "op5_revisits": oracle.revisits(),
+          "op9_decontaminate": oracle.decontaminate(), "op10_licences": oracle.licences(FILES)}
