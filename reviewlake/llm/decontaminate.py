@@ -48,7 +48,9 @@ def anchors(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, item_id, first, last): runs of document words that hold whole windows.
+    """(doc_id, mark, item_id, first, last, whole): runs of words equal to an item's, around an anchor.
+
+    ``whole`` tells whether the run holds a whole window.
 
     ``mark`` tells rows repeating a doc_id with another text apart; positions count from 0.
     """
@@ -56,18 +58,22 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     at = words.select("doc_id", "mark", "words", F.posexplode("words").alias("pos", "word"))
     hit = at.join(anchors(benchmark, window), F.col("word") == F.col("anchor"))
 
+    # only the words around the anchor leave the join; a document's words stay in its row
+    start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    hit = hit.select("doc_id", "mark", "item_id", "at", "item", "pos", (F.col("pos") - start).alias("rel"),
+                     F.slice("words", start + 1, F.col("pos") - start + window).alias("around"))
+
     def run(step: int) -> Column:
         """How many words next to the anchor, one way, are equal; at most a window less one."""
         same = F.transform(F.sequence(F.lit(1), F.lit(window - 1)), lambda o: F.when(
-            F.get("words", F.col("pos") + step * o) == F.get("item", F.col("at") + step * o), F.lit("1")).otherwise(F.lit("0")))
+            F.get("around", F.col("rel") + step * o) == F.get("item", F.col("at") + step * o), F.lit("1")).otherwise(F.lit("0")))
         return F.length(F.substring_index(F.concat(F.array_join(same, ""), F.lit("0")), "0", 1))
 
-    back, on = run(-1), run(1)
-    n = F.size("item")
-    return (hit.select("doc_id", "mark", "item_id", "pos", back.alias("back"), on.alias("on"), n.alias("n"))
-            .where(F.col("back") + F.col("on") + 1 >= F.least(F.col("n"), F.lit(window)))
-            .select("doc_id", "mark", "item_id", (F.col("pos") - F.col("back")).alias("first"),
-                    (F.col("pos") + F.col("on")).alias("last")))
+    # the test is a column: as a filter it would move into the join, which then leaves generated
+    # code and copies a document's words for each of them
+    return (hit.select("doc_id", "mark", "item_id", "pos", run(-1).alias("back"), run(1).alias("on"), F.size("item").alias("n"))
+            .select("doc_id", "mark", "item_id", (F.col("pos") - F.col("back")).alias("first"), (F.col("pos") + F.col("on")).alias("last"),
+                    (F.col("back") + F.col("on") + 1 >= F.least(F.col("n"), F.lit(window))).alias("whole")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -84,7 +90,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = occurrences(docs, benchmark, window).groupBy("doc_id", "mark").agg(
-        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.collect_set("item_id").alias("items"))
+        F.array_sort(F.collect_set(F.when(F.col("whole"), F.struct("first", "last")))).alias("spans"),
+        F.collect_set(F.when(F.col("whole"), F.col("item_id"))).alias("items"))
     # length of the union of the runs, which are in the order of their starts
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("upto")), lambda acc, s: F.struct(
         (acc["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(acc["upto"] + 1, s["first"]) + 1)).alias("n"),
