@@ -2,10 +2,10 @@
 
 Vectors are dealt into blocks of bounded size by a hash of their id, and so are the queries.
 Each pair of a vector block and a query block is one group: the vectors lie dimension by
-dimension (vertical layout), a query's scores are accumulated a few dimensions at a time, its
-weightiest dimensions first, and after each step the candidates whose score so far plus the
-most that the remaining mass can add (Cauchy-Schwarz) stays below the k-th best are dropped
-and the survivors compacted.  Groups report their k best of each query; a ranked window keeps
+dimension (vertical layout), the scores of a tile of queries are accumulated a few dimensions
+at a time, the weightiest first, and after each step the candidates whose score so far plus
+the most that the remaining mass can add (Cauchy-Schwarz) stays below every query's k-th best
+are dropped and the survivors compacted.  Groups report their k best of each query; a ranked window keeps
 the k best of all.
 """
 
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 2048
-STEP = 8      # dimensions accumulated between two cuts
+TILE = 32     # queries that go through a block together
+STEP = 16     # dimensions accumulated between two cuts
 _EXACT = float(1 << 53)
 
 
@@ -29,39 +30,42 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.int64) for v in vectors], dtype=np.int64)
 
 
-def search_block(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows of one block for one query, ties to the smaller id.
+def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of the k best rows of one block for each query of a tile, ties to the smaller id.
 
     ``vectors`` is dimension by dimension (d x n), as doubles where every product sum stays
-    exact in them; rows of the query's own id take no part.  ``ids`` ascend.
+    exact in them; rows of a query's own id take no part.  ``ids`` ascend.
     """
     d, n = vectors.shape
-    alive = np.flatnonzero(ids != own)
-    if not len(alive):
-        return ids[:0], np.zeros(0, dtype=np.int64)
+    alive = np.arange(n)
     if vectors.dtype == np.int64:        # products may leave the exact range of doubles: no cuts
-        score = query @ vectors[:, alive]
+        score = queries @ vectors
     else:
-        order = np.argsort(-np.abs(query), kind="stable")
-        left = vectors[order] if d else vectors
-        q = query[order]
-        rest_q = np.sqrt(np.concatenate((np.cumsum((q * q)[::-1])[::-1], [0.0])))
-        # a first bar: the k-th best full score of a few vectors
-        few = alive[:max(4 * k, 64)]
-        bar = np.partition(q @ left[:, few], -k)[-k] if len(few) >= k else -np.inf
-        score = np.zeros(len(alive))
-        mass = (left[:, alive] ** 2).sum(axis=0)
+        order = np.argsort(-(queries * queries).sum(axis=0), kind="stable")
+        left, q = vectors[order], queries[:, order]
+        rest_q = np.sqrt(np.concatenate((np.cumsum((q * q)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1))), axis=1))
+        # a first bar: the k-th best full score of a few vectors, one more in case a query is among them
+        few = min(n, max(4 * k, 64))
+        bar = np.partition(q @ left[:, :few], -(k + 1), axis=1)[:, -(k + 1)] if few > k else np.full(len(q), -np.inf)
+        score, mass = np.zeros((len(q), n)), (left * left).sum(axis=0)
         for s in range(0, d, STEP):
-            part = left[s:s + STEP, alive]
-            score += q[s:s + STEP] @ part
-            mass -= (part * part).sum(axis=0)
-            if len(alive) > k and s + STEP < d:
-                reach = score + rest_q[s + STEP] * np.sqrt(np.maximum(mass, 0.0)) * (1 + 1e-9) + 1e-3
-                stay = reach >= bar
-                if not stay.all():
-                    alive, score, mass = alive[stay], score[stay], mass[stay]
-    best = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive[best]], score[best].astype(np.int64)
+            part = left[s:s + STEP]
+            score += q[:, s:s + STEP] @ part
+            mass = mass - (part * part).sum(axis=0)
+            if s + STEP < d:
+                reach = score + rest_q[:, s + STEP, None] * np.sqrt(np.maximum(mass, 0.0)) * (1 + 1e-9) + 1e-3
+                stay = (reach >= bar[:, None]).any(axis=0)
+                if stay.mean() < 0.8:    # compact the survivors of the tile
+                    alive, score, mass, left = alive[stay], score[:, stay], mass[stay], left[:, stay]
+    out = []
+    for row, mine in zip(score, own):
+        at = np.flatnonzero(ids[alive] != mine)
+        x = row[at]
+        if len(x) > k:
+            at = at[x >= np.partition(x, -k)[-k]]
+        best = at[np.lexsort((ids[alive[at]], -row[at]))[:k]]
+        out.append((ids[alive[best]], row[best].astype(np.int64)))
+    return out
 
 
 def _search(k: int):
@@ -76,9 +80,10 @@ def _search(k: int):
         if most < _EXACT:
             v, q = v.astype(np.float64), q.astype(np.float64)
         v = np.ascontiguousarray(v.T)
-        out = [(qid, *search_block(v, ids, x, qid, k)) for qid, x in zip(right["vec_id"].to_numpy(dtype=np.int64), q)]
-        return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]),
-                             "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+        own = right["vec_id"].to_numpy(dtype=np.int64)
+        out = [o for t in range(0, len(q), TILE) for o in search_block(v, ids, q[t:t + TILE], own[t:t + TILE], k)]
+        return pd.DataFrame({"query_id": np.repeat(own, [len(o[0]) for o in out]),
+                             "vec_id": np.concatenate([o[0] for o in out]), "score": np.concatenate([o[1] for o in out])})
     return run
 
 
