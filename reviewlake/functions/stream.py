@@ -13,7 +13,7 @@ def strip_data_prefix(line) -> Column:
     """drop a leading ``data: `` and trim."""
     x = col(line)
     return js_trim(F.when(x.startswith(C.SSE_DATA_PREFIX),
-                          F.substring(x, len(C.SSE_DATA_PREFIX) + 1, 1 << 30)).otherwise(x))
+                          F.substr(x, F.lit(len(C.SSE_DATA_PREFIX) + 1))).otherwise(x))
 
 
 def is_strict_json(text) -> Column:

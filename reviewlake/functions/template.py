@@ -63,4 +63,4 @@ def _fill_sequential(tpl: Column, vals: list[Column]) -> Column:
 def _replace_first(s: Column, tok: Column, value: Column) -> Column:
     pos = F.position(tok, s)
     return F.when(pos > 0, F.concat(F.substring(s, F.lit(1), pos - 1), value,
-                                    F.substring(s, pos + F.length(tok), F.lit(1 << 30)))).otherwise(s)
+                                    F.substr(s, pos + F.length(tok)))).otherwise(s)

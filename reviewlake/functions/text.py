@@ -41,7 +41,7 @@ def file_extension(name) -> Column:
 def matches_ignore(name, pattern) -> Column:
     """``*.x`` is a suffix test on ``.x``; anything else is exact equality."""
     n, p = col(name), col(pattern)
-    return F.when(p.startswith("*."), n.endswith(F.substring(p, 2, 1 << 30))).otherwise(n == p)
+    return F.when(p.startswith("*."), n.endswith(F.substr(p, F.lit(2)))).otherwise(n == p)
 
 
 def render_file_line(name, status, additions, deletions) -> Column:
@@ -89,14 +89,12 @@ def parse_ignore_list(text) -> Column:
 
 
 def parse_int_prefix(s) -> Column:
-    """``parseInt(s, 10)``: leading integer after optional whitespace, else null."""
+    """``parseInt(s, 10)``: leading integer after optional whitespace, else null.
+
+    A double, as in the original: whole numbers are exact up to 2^53, longer ones rounded.
+    """
     digits = F.regexp_extract(col(s), r"^\s*([+-]?\d+)", 1)
-    # Longer digit runs than a BIGINT holds are out of any clamp range anyway:
-    # keep their sign and saturate so the later clamp sees the right side.
-    huge = F.when(digits.startswith("-"), F.lit(-(10 ** 18))).otherwise(F.lit(10 ** 18))
-    return (F.when(digits == "", F.lit(None).cast("bigint"))
-            .when(F.length(digits) > 18, huge)
-            .otherwise(digits.cast("bigint")))
+    return F.when(digits != "", digits.cast("double"))
 
 
 def clamp_max_tokens(v, lo: int = C.MAX_TOKENS_MIN, hi: int = C.MAX_TOKENS_MAX) -> Column:

@@ -1,36 +1,16 @@
-"""Shared plan pieces: bounded broadcast and skew-safe ordered concatenation."""
+"""Shared plan pieces: skew-safe ordered concatenation."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Largest side we hint as broadcast; above it the join shuffles. A session can
-# lower or raise it with the setting named below.
-BROADCAST_MAX_ROWS = 200_000
-BROADCAST_MAX_ROWS_CONF = "reviewlake.broadcast.maxRows"
-
 # Rows per first-level group of an ordered concatenation.
 DEFAULT_BUCKET_ROWS = 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast-hint ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; a larger side is returned
-    unhinted so the join shuffles instead. ``max_rows`` defaults to the
-    session setting ``reviewlake.broadcast.maxRows``, else ``BROADCAST_MAX_ROWS``.
-    """
-    if max_rows is None:
-        max_rows = int(df.sparkSession.conf.get(BROADCAST_MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
 def keys_list(keys: Sequence[str] | str) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 

@@ -1,16 +1,16 @@
-"""Changed-file operators: P2 P7 P8 J2 O3 A1 A2 A3 A10."""
+"""Changed-file operators: P2 P7 P8 J2 A1 A2 A3 A10."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake import constants as C
 from reviewlake.functions.text import (file_extension, matches_ignore, render_diff_block,
                                        render_file_line)
-from reviewlake.operators.common import (DEFAULT_BUCKET_ROWS, bounded_broadcast, join_field,
+from reviewlake.operators.common import (DEFAULT_BUCKET_ROWS, join_field,
                                          keys_list, pos_bucket, sorted_items)
 
 FILE_COLUMNS = ["name", "status", "additions", "deletions", "patch", "blob_url"]
@@ -48,29 +48,10 @@ def anti_join_ignored(files: DataFrame, patterns: DataFrame, tenant_col: str = "
     nested loop. The pattern side is broadcast only when its row count is proven small.
     """
     p = patterns.select(F.col(tenant_col).alias("_pt"), F.col(pattern_col).alias("_pat"))
-    p, _ = bounded_broadcast(p)
     cond = (F.col(tenant_col) == F.col("_pt")) & matches_ignore(F.col(name_col), F.col("_pat"))
     return files.join(p, cond, "left_anti")
 
 
-def cap_per_pr(df: DataFrame, keys: Sequence[str] | str, k: int | None) -> DataFrame:
-    """O3: optional first-k children per PR by position (off when ``k`` is None).
-
-    ``pos`` is the API order, so the cap is a plain predicate: no window needed.
-    """
-    if k is None:
-        return df
-    return df.where(F.col("pos") < F.lit(k))
-
-
-def cap_per_pr_ranked(df: DataFrame, keys: Sequence[str] | str, k: int | None) -> DataFrame:
-    """O3 for children whose positions are not dense: rank within the key."""
-    if k is None:
-        return df
-    w = Window.partitionBy(*keys_list(keys)).orderBy("pos")
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-
-
 def agg_file_texts(files: DataFrame, keys: Sequence[str] | str,
                    bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """A1 + A2 + A3 + file count in one skew-safe two-level aggregation.

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from reviewlake import constants as C
 from reviewlake.functions.text import (clamp_max_tokens, or_default, parse_ignore_list,
                                        parse_int_prefix)
-from reviewlake.operators.common import bounded_broadcast
 
 GROUPS = ("top", "openai", "anthropic", "review")
 SECRET_KEYS = {"top": "githubToken", "openai": "apiKey", "anthropic": "apiKey"}
@@ -95,12 +94,12 @@ def fixture_settings(settings_raw: DataFrame) -> DataFrame:
 def resolve_run_settings(runs: DataFrame, settings: DataFrame) -> DataFrame:
     """A run's override beats the stored service and prompt only.
 
-    Settings are one row per tenant; they are broadcast once their row
-    count is proven small, else the join shuffles.
+    Settings are one row per tenant and carry free-text prompts: the join has no
+    hint, Spark picks broadcast or shuffle from their measured bytes.
     """
-    s, _ = bounded_broadcast(settings.withColumnRenamed("tenant", "_st")
-                             .withColumnRenamed("ai_service", "_svc")
-                             .withColumnRenamed("review_prompt", "_prompt"))
+    s = (settings.withColumnRenamed("tenant", "_st")
+         .withColumnRenamed("ai_service", "_svc")
+         .withColumnRenamed("review_prompt", "_prompt"))
     j = runs.join(s, runs["tenant"] == s["_st"], "left")
     return (j.withColumn("ai_service", or_default("temp_ai_service", F.col("_svc")))
             .withColumn("review_prompt", or_default("temp_review_prompt", F.col("_prompt")))
@@ -211,6 +210,6 @@ def flatten_settings(stored: DataFrame) -> DataFrame:
         get("openai", "model").alias("openai_model"),
         get("anthropic", "model").alias("anthropic_model"),
         get("review", "reviewPrompt").alias("review_prompt"),
-        parse_int_prefix(get("review", "maxTokens")).cast("int").alias("max_tokens"),
+        parse_int_prefix(get("review", "maxTokens")).try_cast("int").alias("max_tokens"),
         parse_ignore_list(get("review", "ignoreFiles")).alias("ignore_files"),
     )

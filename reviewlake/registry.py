@@ -589,13 +589,7 @@ def p12_settings_quality(spark, sf_dir):
     return st.flag_settings_quality(keys)
 
 
-# ---------------------------------------------------------------- O3, template modes, M3 / M5
-@register("o3_cap_per_pr", fx.oracle_with(["changed_files"], """
-SELECT pr_number, pos, filename AS name FROM changed_files WHERE pos < 3"""))
-def o3_cap_per_pr(spark, sf_dir):
-    return fl.cap_per_pr(Tables(spark, sf_dir).files, KEYS, 3).select("pr_number", "pos", "name")
-
-
+# ---------------------------------------------------------------- template modes, M3 / M5
 @register("q2_review_prompts_sequential", _q2_sql())
 def q2_review_prompts_sequential(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -78,7 +78,7 @@ def read_settings(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
         F.col("openaiSettings.model").alias("openai_model"),
         F.col("anthropicSettings.model").alias("anthropic_model"),
         F.col("reviewSettings.reviewPrompt").alias("review_prompt"),
-        F.col("reviewSettings.maxTokens").cast("int").alias("max_tokens"),
+        F.col("reviewSettings.maxTokens").try_cast("int").alias("max_tokens"),
         F.coalesce(F.col("reviewSettings.ignoreFiles"), F.array().cast("array<string>"))
         .alias("ignore_files"))
 

@@ -91,11 +91,10 @@ def test_latest_review_agg_equals_window(spark):
 
 def _no_broadcast(spark):
     """Session settings under which no join may become a broadcast."""
-    keys = ["reviewlake.broadcast.maxRows", "spark.sql.autoBroadcastJoinThreshold",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     old = {k: spark.conf.get(k, None) for k in keys}
     for k in keys:
-        spark.conf.set(k, "0" if k.startswith("reviewlake") else "-1")
+        spark.conf.set(k, "-1")
     return old
 
 
@@ -108,7 +107,7 @@ def _restore(spark, old):
 
 
 def test_shuffled_joins_equal_broadcast_with_hot_tenant(spark):
-    """Settings and ignore patterns above the broadcast bound: the joins shuffle on the
+    """Settings and ignore patterns too large to broadcast: the joins shuffle on the
     tenant, a tenant holding a third of the runs included, and give the same rows."""
     from reviewlake.operators.settings import resolve_run_settings
     n = 3000
@@ -193,3 +192,21 @@ def test_hot_pr_timeline_in_one_bucket_is_split(spark):
     assert split == whole and split[1]["feedback_count"] == 600
     text = split[1]["timeline"]
     assert text.index("r0") < text.index("r399") and text.count("批准了PR") == 400
+
+
+def test_checkpoint_folder_does_not_nest(spark):
+    from reviewlake.session import checkpoint_dir, prepare
+    first = checkpoint_dir(spark)
+    for _ in range(150):
+        prepare(spark)
+    assert checkpoint_dir(spark) == first
+
+
+def test_details_split_a_hot_pr_on_key_partitioned_input(spark):
+    from reviewlake.operators.details import collect_files
+    files = _files(spark, 3, 3000).repartition(4, "pr_number")
+    whole = {r["pr_number"]: r["files"] for r in collect_files(files, ["pr_number"], bucket_rows=1 << 20).collect()}
+    split = collect_files(files, ["pr_number"], bucket_rows=64)
+    assert {r["pr_number"]: r["files"] for r in split.collect()} == whole
+    assert "hashpartitioning(pr_number" in split._jdf.queryExecution().executedPlan().toString()
+    assert "_b#" in split._jdf.queryExecution().executedPlan().toString().split("hashpartitioning", 1)[1]
