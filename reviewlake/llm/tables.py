@@ -19,7 +19,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SKETCH_BITS = 1 << 24
+SKETCH_BITS = 1 << 23
 
 
 def probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:

@@ -28,7 +28,7 @@ from .tables import broadcast
 
 #: words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text
 SEPARATORS = np.array([b < 0x80 and not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A) for b in range(256)])
-PER_LABEL = 3000     # examples of each label at most, for the vocabulary, the index and the calibration
+PER_LABEL = 2000     # examples of each label at most, for the vocabulary, the index and the calibration
 CHI2 = 20.0          # least association of a term with the labels
 LEAST_DOCS = 4       # examples that must hold a term
 BLOCK = 64
