@@ -21,13 +21,6 @@ def pos_bucket(pos: Column | str, rows: int = DEFAULT_BUCKET_ROWS) -> Column:
     return F.floor(p / F.lit(rows)).cast("bigint")
 
 
-def time_bucket(ts: Column | str, seconds: int = 3600) -> Column:
-    """Order-preserving salt for data ordered by time first (nulls last)."""
-    t = F.col(ts) if isinstance(ts, str) else ts
-    return F.struct(t.isNull().alias("n"),
-                    F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(seconds * 1_000_000)).alias("b"))
-
-
 def sorted_items(order: list[Column], fields: dict[str, Column]) -> Column:
     """``array_sort(collect_list(struct(order..., fields...)))`` for one group."""
     parts = [c.alias(f"_o{i}") for i, c in enumerate(order)]

@@ -11,7 +11,7 @@ from reviewlake import constants as C
 from reviewlake.functions.feedback import render_feedback
 from reviewlake.functions.text import js_trim
 from reviewlake.operators.common import (DEFAULT_BUCKET_ROWS, join_field, keys_list, pos_bucket,
-                                         sorted_items, time_bucket)
+                                         sorted_items)
 
 UNIFIED = ["type", "kind_rank", "pos", "author", "state", "content", "file", "line", "submitted_at"]
 KIND_RANK = {k: i for i, k in enumerate(C.FEEDBACK_KINDS)}
@@ -101,34 +101,28 @@ def rendered(feedback: DataFrame, mode: str = "all") -> Column:
 
 
 def agg_timeline(feedback: DataFrame, keys, mode: str = "all",
-                 bucket_seconds: int = 3600, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                 bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """A4: rendered feedback in time order joined by blank lines, per PR.
 
-    Two levels: (keys, piece) then keys, so a PR with a huge history is
-    sorted in bounded pieces. A piece is a time bucket; a bucket of one PR
-    holding more than ``bucket_rows`` items (a burst, or many items at one
-    timestamp) is split further by (time, kind, position bucket), a prefix of
-    the sort key, so the order survives and no piece exceeds ``bucket_rows``.
-    The bucket counts are a small map-side-combined aggregate. PRs without
-    feedback are absent here; the placeholder is added after the left join
-    that assembles PR details.
+    Two levels: (keys, piece) then keys, so the items of a PR with a huge
+    history are rendered and sorted over many tasks. A piece is a prefix of
+    the sort key (time, kind, position bucket): the order survives and no
+    piece exceeds ``bucket_rows`` items, even if all share one timestamp. The
+    last level holds a PR's finished pieces, the text that is its output. PRs
+    without feedback are absent here; the placeholder is added after the left
+    join that assembles PR details.
     """
     k = keys_list(keys)
-    fb = feedback.withColumn("_tb", time_bucket("submitted_at", bucket_seconds))
-    big = (fb.groupBy(*k, "_tb").agg(F.count(F.lit(1)).alias("_cnt"))
-           .where(F.col("_cnt") > bucket_rows).select(*k, "_tb", F.lit(True).alias("_big")))
-    fb = fb.join(big, k + ["_tb"], "left").withColumn(
-        "_sb", F.when(F.col("_big"), F.struct(F.col("submitted_at"), F.col("kind_rank"),
-                                              pos_bucket("pos", bucket_rows).alias("pb"))))
-    lvl1 = (fb.repartition(*[F.col(c) for c in k], F.col("_tb"), F.col("_sb"))
-            .groupBy(*k, "_tb", "_sb")
-            .agg(sorted_items(feedback_sort_key(), {"t": rendered(feedback, mode)}).alias("_items"),
+    piece = F.struct(F.col("submitted_at").isNull().alias("n"), F.col("submitted_at").alias("t"),
+                     F.col("kind_rank").alias("r"), pos_bucket("pos", bucket_rows).alias("b"))
+    lvl1 = (feedback.withColumn("_sb", piece)
+            .repartition(*[F.col(c) for c in k], F.col("_sb"))
+            .groupBy(*k, "_sb")
+            .agg(sorted_items([F.col("pos")], {"t": rendered(feedback, mode)}).alias("_items"),
                  F.count(F.lit(1)).alias("_n"))
-            .select(*k, "_tb", "_sb", join_field(F.col("_items"), "t", C.FEEDBACK_JOINER).alias("_text"),
-                    "_n"))
-    # within one time bucket ``_sb`` is either null for all rows or set for all rows
+            .select(*k, "_sb", join_field(F.col("_items"), "t", C.FEEDBACK_JOINER).alias("_text"), "_n"))
     return (lvl1.groupBy(*k)
-            .agg(sorted_items([F.col("_tb"), F.col("_sb")], {"t": F.col("_text")}).alias("_p"),
+            .agg(sorted_items([F.col("_sb")], {"t": F.col("_text")}).alias("_p"),
                  F.sum("_n").cast("bigint").alias("feedback_count"))
             .select(*k, join_field(F.col("_p"), "t", C.FEEDBACK_JOINER).alias("timeline"),
                     "feedback_count"))

@@ -45,8 +45,8 @@ def test_hot_pr_timeline_split_by_time(spark):
     r = spark.createDataFrame(rows, "pr_number long, pos int, author string, state string, body string, "
                                     "submitted_at timestamp")
     fb = union_feedback(r, None, None, ["pr_number"])
-    a = agg_timeline(fb, ["pr_number"], bucket_seconds=3600).first()["timeline"]
-    b = agg_timeline(fb, ["pr_number"], bucket_seconds=10 ** 9).first()["timeline"]
+    a = agg_timeline(fb, ["pr_number"], bucket_rows=7).first()["timeline"]
+    b = agg_timeline(fb, ["pr_number"], bucket_rows=1 << 30).first()["timeline"]
     assert a == b and a.count("批准了PR") == 600
 
 
