@@ -23,12 +23,19 @@ CHUNK_COLUMNS = ["request_id", "seq", "service", "payload", "is_last"]
 
 
 def _numbered_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks split on newline bytes, with the count of newlines before each chunk."""
+    """Chunks split on newline bytes, with the count of newlines before each chunk.
+
+    A chunk that was delivered again (same response and ``seq``) counts once.
+    """
     parts = F.split(F.decode(F.col("payload"), "ISO-8859-1"), "\n", -1)
     c = chunks.select("request_id", "service", "seq", "is_last",
                       F.octet_length("payload").alias("_bytes"), parts.alias("_parts"))
     c = c.withColumn("_nl", F.size("_parts") - 1)
-    w = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("request_id").orderBy("seq")
+    w = order.rowsBetween(Window.unboundedPreceding, -1)
+    # both windows share one exchange and one sort
+    c = c.withColumn("_prev", F.lag("seq").over(order)).where(
+        F.col("_prev").isNull() | (F.col("_prev") != F.col("seq"))).drop("_prev")
     return c.withColumn("_before", F.coalesce(F.sum("_nl").over(w), F.lit(0)))
 
 

@@ -6,7 +6,9 @@ bytes and the next line number. Complete lines leave the state as rows;
 the last chunk closes the key with a ``done`` row; a key that stays
 silent past the timeout closes with ``abandoned``. State per key is
 bounded by one unfinished line plus out-of-order chunks, and a response is
-bounded by its output token cap.
+bounded by its output token cap. A chunk that is delivered again is ignored;
+so that this holds after the end too, a closed key keeps a small marker, which
+goes at the timeout if there is one.
 
 Line parsing and delta extraction after the state step are the same
 built-in expressions as in batch (``operators.streams``), so batch and
@@ -25,6 +27,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from reviewlake.functions.stream import extract_delta, line_kind
 from reviewlake.operators.visits import SESSION, filter_pr_pages, parse_pr_url
 
+# ``next_seq`` of a response that has ended
+CLOSED = -1
+
 LINE_SCHEMA = "request_id string, service string, line_no long, line string, kind string"
 LINE_STATE = ("service string, next_seq int, next_line long, carry binary, "
               "pend_seq array<int>, pend_payload array<binary>, pend_last array<boolean>")
@@ -41,9 +46,14 @@ def _assemble(flush_tail: bool, timeout_ms: int | None):
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rid = key[0]
         if state.hasTimedOut:
-            service, _, next_line = state.get[0], state.get[1], state.get[2]
+            service, seq, next_line = state.get[0], state.get[1], state.get[2]
             state.remove()
-            yield _line_rows(rid, service, [(next_line, None, "abandoned")])
+            if seq != CLOSED:
+                yield _line_rows(rid, service, [(next_line, None, "abandoned")])
+            return
+        if state.exists and state.get[1] == CLOSED:
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
             return
         if state.exists:
             service, next_seq, next_line, carry, ps, pp, pl = state.get
@@ -53,6 +63,8 @@ def _assemble(flush_tail: bool, timeout_ms: int | None):
             service, next_seq, next_line, carry, pending = None, 0, 0, b"", {}
         for pdf in batches:
             for s, p, lst, svc in zip(pdf["seq"], pdf["payload"], pdf["is_last"], pdf["service"]):
+                if int(s) < next_seq:      # delivered again
+                    continue
                 pending[int(s)] = (bytes(p) if p is not None else b"", bool(lst))
                 service = service or svc
         out, closed = [], False
@@ -72,13 +84,13 @@ def _assemble(flush_tail: bool, timeout_ms: int | None):
                 closed = True
                 break
         if closed:
-            state.remove()
+            state.update((service, CLOSED, next_line, b"", [], [], []))
         else:
             seqs = sorted(pending)
             state.update((service, next_seq, next_line, carry, seqs,
                           [pending[s][0] for s in seqs], [pending[s][1] for s in seqs]))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         if out:
             yield _line_rows(rid, service, out)
     return fn
@@ -143,19 +155,20 @@ def _detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         return
     pdf = pd.concat(frames, ignore_index=True)
     pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-    keep = []
-    for p in pdf["path"]:
-        keep.append(p != last)
-        if p != last:
-            last = p
-    state.update((last,))
-    out = pdf[keep]
+    before = pdf["path"].shift(1)
+    before.iloc[0] = last
+    state.update((pdf["path"].iloc[-1],))
+    out = pdf[pdf["path"] != before]
     if len(out):
         yield out[["tab_id", "page_load_id", "seq", "ts", "url", "path", "owner", "repo", "pr_number"]]
 
 
 def detect_pr_changes_stream(visits: DataFrame) -> DataFrame:
-    """W1 on a stream; keyed state is the last PR path of each page session."""
+    """W1 on a stream; keyed state is the last PR path of each page session.
+
+    The visits of one page session must arrive in order (any order within a
+    micro-batch); different sessions may arrive in any order.
+    """
     pr = parse_pr_url(filter_pr_pages(visits)).select(
         *SESSION, "seq", "ts", "url", "path", "owner", "repo", "pr_number")
     return pr.groupBy(*SESSION).applyInPandasWithState(

@@ -98,9 +98,12 @@ def test_batch_equals_stream(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     batch = {r["request_id"]: r["content"] for r in assemble_responses(df).collect()}
     assert batch == texts
+    again = {r["request_id"]: (r["content"], r["ended"]) for r in assemble_responses(df.unionAll(df)).collect()}
+    assert again == {k: (t, True) for k, t in texts.items()}
 
     base = scratch_path(spark, "test-chunks")
-    for i, part in enumerate(df.randomSplit([1.0, 1.0, 1.0], seed=5)):
+    # the last file set delivers every chunk again
+    for i, part in enumerate([*df.randomSplit([1.0, 1.0, 1.0], seed=5), df]):
         part.coalesce(1).write.parquet(f"{base}/b={i}")
     stream = read_stream_chunks(spark, base + "/*", stream=True, max_files_per_trigger=1)
     out, ck = scratch_path(spark, "test-deltas"), scratch_path(spark, "test-ckpt")
@@ -110,6 +113,7 @@ def test_batch_equals_stream(spark):
     deltas = spark.read.parquet(out)
     streamed = {r["request_id"]: r["content"] for r in responses_from_deltas(deltas).collect()}
     assert streamed == texts
+    assert deltas.where("kind = 'done'").count() == len(texts)
 
 
 def test_strict_json_payloads(spark):
