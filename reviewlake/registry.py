@@ -728,18 +728,27 @@ def s6_read_settings(spark, sf_dir):
                        F.array_join("ignore_files", "|").alias("ignore_files"))
 
 
-def _land_parquet_in_parts(df: DataFrame, spark, name: str, weights: int = 4,
-                           by_range: list[str] | None = None) -> str:
-    """Write ``df`` as several separately committed file sets (simulated arrival order)."""
-    base = scratch_path(spark, name)
-    if by_range:
-        ranked = df.withColumn("_part", F.ntile(weights).over(
-            __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*by_range)))
-        parts = [ranked.where(F.col("_part") == i + 1).drop("_part") for i in range(weights)]
+ARRIVALS = 4
+
+
+def _land_parquet_in_parts(df: DataFrame, spark, name: str, key: list[str],
+                           by_time: str | None = None) -> str:
+    """Write ``df`` as several separately committed file sets (simulated arrival order).
+
+    With ``by_time`` the sets follow each other in time, cut at its quartiles; a
+    set's rows of one ``key`` are in one file.
+    """
+    base, files = scratch_path(spark, name), max(2, spark.sparkContext.defaultParallelism)
+    if by_time:
+        t = F.unix_micros(F.col(by_time).cast("timestamp"))
+        cuts = df.select(F.percentile_approx(t, [i / ARRIVALS for i in range(1, ARRIVALS)])).first()[0] or []
+        at = sum((F.when(t > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        parts = [df.where(at == i) for i in range(ARRIVALS)]
     else:
-        parts = df.randomSplit([1.0] * weights, seed=7)
+        at = F.pmod(F.xxhash64(*df.columns), F.lit(ARRIVALS))
+        parts = [df.where(at == i) for i in range(ARRIVALS)]
     for i, part in enumerate(parts):
-        part.coalesce(1).write.mode("overwrite").parquet(f"{base}/batch={i:03d}")
+        part.repartition(files, *key).write.mode("overwrite").parquet(f"{base}/batch={i:03d}")
     return base
 
 
@@ -804,8 +813,9 @@ SELECT {_RESP_ID} AS request_id, text AS content,
   CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens
 FROM conversations WHERE role = 'assistant'""")
 def t1_stream_responses(spark, sf_dir):
-    landed = _land_parquet_in_parts(_chunks(spark, sf_dir), spark, "chunk-arrivals")
-    chunks = readers.read_stream_chunks(spark, landed + "/*", stream=True, max_files_per_trigger=1)
+    landed = _land_parquet_in_parts(_chunks(spark, sf_dir), spark, "chunk-arrivals", ["request_id"])
+    chunks = readers.read_stream_chunks(spark, landed + "/*", stream=True,
+                                        max_files_per_trigger=max(2, spark.sparkContext.defaultParallelism))
     deltas = _run_stream(assembly.delta_stream(chunks), spark, "deltas")
     resp = assembly.responses_from_deltas(deltas)
     return resp.select("request_id", "content", estimate_tokens("content").alias("tokens"))
@@ -814,6 +824,7 @@ def t1_stream_responses(spark, sf_dir):
 @register("t6_visits_stream", ORACLE["q7_pr_visit_feed"])
 def t6_visits_stream(spark, sf_dir):
     v = Tables(spark, sf_dir).page_visits
-    landed = _land_parquet_in_parts(v, spark, "visit-arrivals", by_range=["ts", "seq"])
-    stream = readers.read_page_visits(spark, landed + "/*", stream=True, max_files_per_trigger=1)
+    landed = _land_parquet_in_parts(v, spark, "visit-arrivals", visits.SESSION, by_time="ts")
+    stream = readers.read_page_visits(spark, landed + "/*", stream=True,
+                                      max_files_per_trigger=max(2, spark.sparkContext.defaultParallelism))
     return _run_stream(assembly.detect_pr_changes_stream(stream), spark, "visit-feed")
