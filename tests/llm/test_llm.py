@@ -108,6 +108,17 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_in_one_large_group(spark):
+    """Lines that are copies of one line with a word changed; the lines of one text count too."""
+    base = [f"w{i}" for i in range(12)]
+    line = lambda j: " ".join(base[:j % 11] + [f"new{j}"] + base[j % 11 + 1:])
+    rows = [(i, "\n".join(line(3 * i + j) for j in range(3))) for i in range(70)] + [(70, " ".join(base) + "\n" + line(1))]
+    lines = [(i, j, frozenset(x.split())) for i, t in rows for j, x in enumerate(t.split("\n"))]
+    want = {(i, j) for i, j, s in lines if any((a, b) < (i, j) and 100 * len(s & o) >= 80 * len(s | o) for a, b, o in lines)}
+    got = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, j) for r in got for j in r.removed} == want and want
+
+
 def test_contamination(spark, docs, empty):
     source = corpus()[-3][1].split(" ")      # the very long text
     items = [(1, " ".join(source[100:140])), (2, " ".join(source[4000:4005])), (3, " ".join(WORDS[:20])), (4, None), (5, "...")]
