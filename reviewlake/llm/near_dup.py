@@ -11,7 +11,10 @@ and confirmed links are grouped.
 A bucket never emits all its pairs.  Its members are first tested against its smallest one;
 members that are then in the same component need no further test.  Only buckets still holding
 several components go on, testing further members against those of other
-components, until no untested pair of different components is left in any bucket.
+components, until no untested pair of different components is left in any bucket.  Most of
+these pairs are near misses; the parity of each of 1024 hash bits over a set, which differs in
+no more places than the sets differ in shingles, rules them out before sets are intersected.
+The new links of a round join components; the links of earlier rounds are not gone over again.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ BANDS, ROWS = 24, 4   # a pair of similarity 0.8 shares no band with probability
 # one bit of each slot, two longs: in which of the 96 slots two documents differ in that bit follows
 # a binomial law of mean 9.6 at similarity 0.8; a pair of 0.8 differs in more than 25 once in 10^6
 MOST_BITS_APART = 25
+PARITY_WORDS = 16
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bits1 long, bits2 long, bands array<long>"
 
 
@@ -107,6 +111,12 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """The parity of each of 1024 bits over the hashed elements of one set, as longs."""
+    odd = np.bincount((h & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _candidate_sets(k: int, sketch):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,6 +125,7 @@ def _candidate_sets(k: int, sketch):
             for first, part in text.chunks(pdf["text"]):
                 h, offset = text.shingle_sets(text.words(part), k)
                 yield pd.DataFrame({"node": ids[first:first + len(part)],
+                                    "parity": [parity(h[a:b]) for a, b in zip(offset[:-1], offset[1:])],
                                     "shingles": [h[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])],
                                     "halves": [np.unique((h[a:b] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                                                for a, b in zip(offset[:-1], offset[1:])]})
@@ -188,13 +199,13 @@ def _groups(docs: DataFrame, lead: DataFrame, k: int, percent: int) -> DataFrame
 
     sketch = broadcast(spark, membership_sketch(members, "node"))
     wanted = members.select("node").distinct()
-    sets = (docs.withColumn("h", F.xxhash64("doc_id")).mapInPandas(_candidate_sets(k, sketch), "node long, shingles binary, halves array<int>")
+    sets = (docs.withColumn("h", F.xxhash64("doc_id")).mapInPandas(_candidate_sets(k, sketch), "node long, parity array<long>, shingles binary, halves array<int>")
             .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sets = written(sets, "sets")
     pairs = plausible(members.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")))
     links = written(_confirmed(written(pairs, "pairs"), sets, percent), "links")
     rest = members.where("size > 2").join(profile, "node").select("key", "node", "n", "bits1", "bits2")
-    halves = sets.select("node", "halves")
+    halves = sets.select("node", "parity", "halves")
     rest = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
     groups, tested = written(connected_components(links), "groups"), 1
     while True:
@@ -211,16 +222,25 @@ def _groups(docs: DataFrame, lead: DataFrame, k: int, percent: int) -> DataFrame
         pivot = full.where((F.col("rank") >= tested) & (F.col("rank") < more)).select(
             "key", F.col("node").alias("v"), F.col("rank").alias("v_rank"), F.col("c").alias("v_c"),
             F.col("n").alias("n_v"), F.col("bits1").alias("v1"), F.col("bits2").alias("v2"),
-            F.col("halves").alias("h_v"))
+            F.col("parity").alias("p_v"), F.col("halves").alias("h_v"))
         other = full.select("key", F.col("node").alias("u"), "rank", "c", F.col("n").alias("n_u"),
-                            F.col("bits1").alias("u1"), F.col("bits2").alias("u2"), F.col("halves").alias("h_u"))
+                            F.col("bits1").alias("u1"), F.col("bits2").alias("u2"), F.col("parity").alias("p_u"), F.col("halves").alias("h_u"))
         pairs = other.join(pivot, "key").where((F.col("rank") > F.col("v_rank")) & (F.col("c") != F.col("v_c"))
-                                              & _close(percent) & _overlap(percent))
+                                              & _close(percent) & _parities(percent) & _overlap(percent))
         found = written(_confirmed(pairs.select("u", "v").distinct(), sets, percent), "links")
         tested = more
         if not found.isEmpty():
-            links = written(links.unionAll(found), "links")
-            groups = written(connected_components(links), "groups")
+            groups = written(_merged(groups, found), "groups")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) after ``links`` (u, v) between its nodes or nodes of no group."""
+    for end in ("u", "v"):
+        at = groups.select(F.col("node").alias(end), "component")
+        links = links.join(at, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    moved = connected_components(links).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    return groups.join(moved, F.col("component") == F.col("old"), "full").select(
+        F.coalesce("node", "old").alias("node"), F.coalesce("new", "component").alias("component"))
 
 
 def _close(percent: int):
@@ -230,6 +250,15 @@ def _close(percent: int):
     return (100 * small >= percent * large) & (apart <= MOST_BITS_APART)
 
 
+def _parities(percent: int):
+    """Whether the parities differ in no more places than sets of such sizes and this overlap can."""
+    apart = F.lit(0)
+    for i in range(PARITY_WORDS):
+        apart = apart + F.bit_count(F.col("p_u")[i].bitwiseXOR(F.col("p_v")[i]))
+    # of u + v elements, an overlap of o leaves u + v - 2 * o; similar sets have (100 + percent) * o >= percent * (u + v)
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n_u") + F.col("n_v"))
+
+
 def _overlap(percent: int):
     """Whether the sets overlap enough, by half of each hash and with two to spare for equal halves.
 
