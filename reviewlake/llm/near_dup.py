@@ -212,20 +212,23 @@ def _groups(docs: DataFrame, lead: DataFrame, k: int, percent: int) -> DataFrame
         rest = rest.drop("c").join(groups, "node", "left").select(
             "key", "node", "n", "bits1", "bits2", "rank", F.coalesce("component", "node").alias("c"))
         # a bucket goes on while it holds several components and members that were no pivot yet
-        several = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("rank").alias("last")).where(
-            (F.col("lo") < F.col("hi")) & (F.col("last") > tested)).select("key")
-        rest = written(rest.join(several, "key", "left_semi"), "rest")
+        several = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("rank").alias("last"),
+                                          F.min_by("c", "rank").alias("head")).where(
+            (F.col("lo") < F.col("hi")) & (F.col("last") > tested)).select("key", "head")
+        rest = written(rest.join(several, "key").withColumn("main", F.col("c") == F.col("head")).drop("head"), "rest")
         if rest.isEmpty():
             return groups
         more = 8 * tested + 1
         full = rest.join(halves, "node")
+        # members of the first member's component, mostly nearly all, never meet each other
+        sides = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
         pivot = full.where((F.col("rank") >= tested) & (F.col("rank") < more)).select(
-            "key", F.col("node").alias("v"), F.col("rank").alias("v_rank"), F.col("c").alias("v_c"),
+            "key", F.explode(sides).alias("main"), F.col("node").alias("v"), F.col("rank").alias("v_rank"), F.col("c").alias("v_c"),
             F.col("n").alias("n_v"), F.col("bits1").alias("v1"), F.col("bits2").alias("v2"),
             F.col("parity").alias("p_v"), F.col("halves").alias("h_v"))
-        other = full.select("key", F.col("node").alias("u"), "rank", "c", F.col("n").alias("n_u"),
+        other = full.select("key", "main", F.col("node").alias("u"), "rank", "c", F.col("n").alias("n_u"),
                             F.col("bits1").alias("u1"), F.col("bits2").alias("u2"), F.col("parity").alias("p_u"), F.col("halves").alias("h_u"))
-        pairs = other.join(pivot, "key").where((F.col("rank") > F.col("v_rank")) & (F.col("c") != F.col("v_c"))
+        pairs = other.join(pivot, ["key", "main"]).where((F.col("rank") > F.col("v_rank")) & (F.col("c") != F.col("v_c"))
                                               & _close(percent) & _parities(percent) & _overlap(percent))
         found = written(_confirmed(pairs.select("u", "v").distinct(), sets, percent), "links")
         tested = more
