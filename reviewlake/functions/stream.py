@@ -30,16 +30,28 @@ def line_kind(service, line) -> Column:
     payload = strip_data_prefix(x)
     skip = ((t == "") | (t == C.SSE_DONE_LINE) | ~x.startswith(C.SSE_DATA_PREFIX)
             | ~s.isin("openai", "anthropic") | (payload == ""))
-    bad = ~is_strict_json(payload) | ((s == "openai") &
-                                      F.get_json_object(payload, "$.choices").isNull())
+    bad = ~is_strict_json(payload) | F.when(
+        s == "openai", F.get_json_object(payload, "$.choices").isNull()).otherwise(payload == "null")
     return F.when(skip, F.lit("skip")).when(bad, F.lit("malformed")).otherwise(F.lit("data"))
 
 
+def _truthy(json: Column, path: str) -> Column:
+    """The value at ``path`` as text, null for the number 0 and ``false``.
+
+    Only a text that looks like one of these is parsed again, to see whether it is quoted.
+    """
+    got = F.get_json_object(json, path)
+    raw = F.to_json(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+    return F.when(got.rlike(r"^(-?0(\.0+)?([eE][+-]?\d+)?|false)$"), F.when(raw.startswith('"'), got)).otherwise(got)
+
+
 def extract_delta(service, line) -> Column:
-    """F17 (+P10): delta text of a data line; ``''`` when it carries none."""
+    """F17 (+P10): delta text of a data line; ``''`` when it carries none.
+
+    The number 0 and ``false`` carry none either; the texts ``"0"`` and ``"false"`` do.
+    """
     s = col(service)
     j = strip_data_prefix(line)
-    a = F.get_json_object(j, "$.choices[0].delta.content")
-    b = F.when(F.get_json_object(j, "$.type") == C.ANTHROPIC_DELTA_TYPE,
-               F.get_json_object(j, "$.delta.text"))
+    a = _truthy(j, "$.choices[0].delta.content")
+    b = F.when(F.get_json_object(j, "$.type") == C.ANTHROPIC_DELTA_TYPE, _truthy(j, "$.delta.text"))
     return F.coalesce(F.when(s == "openai", a).when(s == "anthropic", b), F.lit(""))

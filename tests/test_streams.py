@@ -184,3 +184,14 @@ def test_null_payload_chunk_counts_but_adds_no_text(spark):
     assert got["content"] == "abcdef" and got["ended"]
     assert got["chunk_count"] == len(rows) and got["total_bytes"] == len(wire)
     assert got["n_malformed"] == 0 and got["n_deltas"] == 3
+
+
+def test_null_event_is_malformed_and_falsy_content_is_no_delta(spark):
+    from reviewlake.functions.stream import extract_delta, line_kind
+    oa, an = '{"choices":[{"delta":{"content":%s}}]}', '{"type":"content_block_delta","delta":{"text":%s}}'
+    values = [("0", ""), ("false", ""), ("0.0", ""), ("null", ""), ('""', ""), ('"0"', "0"), ('"false"', "false"), ("5", "5"), ('"a"', "a")]
+    rows = [(s, "data: " + f % v, "data", want) for s, f in (("openai", oa), ("anthropic", an)) for v, want in values]
+    rows += [("openai", "data: null", "malformed", ""), ("anthropic", "data: null", "malformed", ""), ("anthropic", "data: 5", "data", "")]
+    got = spark.createDataFrame(rows, "service string, line string, kind string, delta string").select(
+        "service", "line", "kind", "delta", line_kind("service", "line").alias("got_kind"), extract_delta("service", "line").alias("got_delta"))
+    assert [r for r in got.collect() if (r.kind, r.delta) != (r.got_kind, r.got_delta)] == []
