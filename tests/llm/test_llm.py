@@ -7,9 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.llm.components import connected_components
 from reviewlake.llm import decontaminate, hmm, licences, line_dedup, mixing, near_dup, revisits, topk, toxicity, word_pieces
 
 DOC = "doc_id long, text string, source string, lang string, n_chars long, node string, rate string"
@@ -92,6 +94,33 @@ def test_near_duplicates_in_one_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_parity_filter_loses_no_link(spark, percent):
+    rnd = random.Random(percent)
+    rows, want = [], set()
+    for i in range(400):
+        size = rnd.choice([1, 4, 30, 200, 3000])
+        u = {rnd.getrandbits(64) for _ in range(size)}
+        v = set(rnd.sample(sorted(u), size - int(size * rnd.random() * 0.6))) | {rnd.getrandbits(64) for _ in range(int(size * rnd.random() * 0.3))}
+        if 100 * len(u & v) >= percent * len(u | v):
+            want.add(i)
+        bits = [near_dup.parity(np.array(sorted(x), dtype=np.uint64)).tolist() for x in (u, v)]
+        rows.append((i, len(u), len(v), *bits))
+    pairs = spark.createDataFrame(rows, "i int, n_u int, n_v int, p_u array<long>, p_v array<long>")
+    kept = {r.i for r in pairs.where(near_dup._parities(percent)).collect()}
+    assert want <= kept and len(kept) < len(rows)
+
+
+def test_merging_components_is_grouping_all_links(spark):
+    rnd = random.Random(11)
+    links = [(a, b) for a, b in ((rnd.randrange(90), rnd.randrange(90)) for _ in range(70)) if a != b]
+    old, new = links[:40], links[40:]
+    frame = lambda x: spark.createDataFrame(x, "u long, v long")
+    merged = near_dup._merged(connected_components(frame(old)), frame(new))
+    assert sorted(map(tuple, merged.collect())) == sorted(
+        map(tuple, connected_components(frame(links)).collect()))
+
+
 def test_line_dedup(docs, empty):
     rows = sorted({r[:2] for r in corpus() if r[0] is not None})
     lines = [(i, j, frozenset(split(x))) for i, t in rows for j, x in enumerate((t or "").split("\n"))]
