@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake import constants as C
-from reviewlake.functions.text import (clamp_max_tokens, or_default, parse_ignore_list,
-                                       parse_int_prefix)
+from reviewlake.functions.text import (clamp_max_tokens, mask_secret, or_default,
+                                       parse_ignore_list, parse_int_prefix)
 
 GROUPS = ("top", "openai", "anthropic", "review")
 SECRET_KEYS = {"top": "githubToken", "openai": "apiKey", "anthropic": "apiKey"}
@@ -144,8 +144,9 @@ def flag_settings_quality(df: DataFrame, service_col: str = "ai_service",
             .when(svc == "openai", F.when(~ok, F.lit("INVALID_OPENAI_KEY")))
             .otherwise(F.lit("UNSUPPORTED_SERVICE")))
     others = [c for c in df.columns if c != key_col]
-    return df.select(*others, (F.length(key) > 0).alias("has_key"),
-                     F.length(key).alias("key_length"), ok.alias("key_ok"), code.alias("key_error"))
+    present, length = mask_secret(key)
+    return df.select(*others, present.alias("has_key"), length.alias("key_length"),
+                     ok.alias("key_ok"), code.alias("key_error"))
 
 
 # ------------------------------------------------------------------ M1 / M2
