@@ -23,8 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are like an earlier line."""
-    return line_dedup.dedup_lines(docs)
+    """All documents, without the lines that are like an earlier line, however short."""
+    return line_dedup.dedup_lines(docs, least=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

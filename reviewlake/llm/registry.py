@@ -31,7 +31,7 @@ def op3_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    out = line_dedup.line_report(_table(spark, sf_dir, "documents"), least=1)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
                       F.sha2(F.array_join(F.col("removed").cast("array<string>"), ","), 256).alias("removed_sha256"))
 

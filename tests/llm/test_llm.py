@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from reviewlake.llm.components import connected_components
-from reviewlake.llm import decontaminate, hmm, licences, line_dedup, mixing, near_dup, revisits, topk, toxicity, word_pieces
+from reviewlake.llm import decontaminate, hmm, licences, line_dedup, mixing, near_dup, registry, revisits, topk, toxicity, word_pieces
 
 DOC = "doc_id long, text string, source string, lang string, n_chars long, node string, rate string"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "te") for b in ("ra", "su", "no", "") for c in ("x", "y", "zé", "w")]
@@ -148,6 +149,26 @@ def test_line_dedup_in_one_large_group(spark):
     assert {(r.doc_id, j) for r in got for j in r.removed} == want and want
 
 
+def test_line_dedup_of_short_lines(spark, docs, tmp_path):
+    """The query and the pipeline take lines of any number of words; four words match five that hold them."""
+    short = [(0, "Yes.\nall rights reserved"), (1, "a b c d\nYES.\n"), (2, "d c b a e\nAll rights\treserved\nall rights"),
+             (3, "x x x x x x\nx\n\n \nno"), (4, "a b c\na b c f"), (5, "f c b a")]
+    spark.createDataFrame(short, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for rows, report, out in ((short, registry.op4_line_dedup(spark, str(tmp_path)), corpus_pipeline.dedup_lines(spark, frame, "")),
+                              (sorted({r[:2] for r in corpus() if r[0] is not None}), None, corpus_pipeline.dedup_lines(spark, docs, ""))):
+        lines = [(i, j, frozenset(split(x))) for i, t in rows for j, x in enumerate((t or "").split("\n"))]
+        want = {(i, j) for i, j, s in lines if s and any(
+            (a, b) < (i, j) and 100 * len(s & o) >= 80 * len(s | o) for a, b, o in lines)}
+        assert any(len(s) < 5 for i, j, s in lines if (i, j) in want)
+        if report is not None:
+            assert (2, 0) in want
+            assert {r.doc_id: r.n_removed for r in report.collect()} == {i: sum(a == i for a, _ in want) for i, _ in rows}
+        for r in out.where("doc_id IS NOT NULL").collect():
+            t = dict(rows)[r.doc_id]
+            assert r.text == (None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (r.doc_id, j) not in want))
+
+
 def test_contamination(spark, docs, empty):
     source = corpus()[-3][1].split(" ")      # the very long text
     items = [(1, " ".join(source[100:140])), (2, " ".join(source[4000:4005])), (3, " ".join(WORDS[:20])), (4, None), (5, "...")]
