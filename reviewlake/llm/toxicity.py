@@ -3,7 +3,9 @@
 Examples are a bounded sample of the labelled rows (``per_label`` of each label, those with the
 smallest hash of the id).  Terms are words and their first four and five letters, so that a
 slur with another ending is still met; the vocabulary is what tells the labels apart in the
-sample (a chi-squared test), with document frequencies counted over all documents.
+sample (a chi-squared test), and what toxic examples hold far more often than all documents do
+(a likelihood-ratio test: a word of few toxic examples is told from chance by how rare it is
+elsewhere).  Document frequencies are counted over all documents.
 
 Each executor holds the index of the examples: weights term by term in blocks of examples,
 and the largest weight of each term in each block.  A document's cosine with any example of a
@@ -29,7 +31,7 @@ from .tables import broadcast
 #: words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text
 SEPARATORS = np.array([b < 0x80 and not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A) for b in range(256)])
 PER_LABEL = 2000     # examples of each label at most, for the vocabulary, the index and the calibration
-CHI2 = 20.0          # least association of a term with the labels
+CHI2 = 20.0          # least association of a term with the labels, and least excess in toxic examples
 LEAST_DOCS = 4       # examples that must hold a term
 BLOCK = 64
 NEIGHBOURS = 15
@@ -135,6 +137,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+def _excess(seen: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """The likelihood ratio (twice its logarithm) of counts against the counts by chance; 0 where they are no higher."""
+    chance = np.maximum(chance, 1e-9)
+    ratio = 2 * (seen * np.log(np.maximum(seen, 1e-9) / chance) - (seen - chance))
+    return np.where(seen > chance, ratio, 0.0)
+
+
 def _document_frequency(vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = vocabulary.value
@@ -189,14 +198,19 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Ind
     m, m1 = len(y), y.sum()
     expected = df * m1 / m
     chi2 = (in1 - expected) ** 2 / np.maximum(expected * (1 - df / m) * (1 - m1 / m), 1e-9)
-    vocabulary = term[(df >= min(LEAST_DOCS, max(2, m // 50))) & (chi2 >= CHI2)]
-    if not len(vocabulary):
+    least = min(LEAST_DOCS, max(2, m // 50))
+    telling = (df >= least) & (chi2 >= CHI2)
+    tried = telling | ((in1 >= least) & (in1 > expected))
+    if not tried.any():
         return empty
-    shared = broadcast(spark, vocabulary)
+    shared = broadcast(spark, term[tried])
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_document_frequency(shared), "term long, n long")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n")).toPandas().set_index("term")["n"]
-    df_all = counts.reindex(range(len(vocabulary)), fill_value=0).to_numpy(dtype=float)
-    index = Index(vocabulary, np.log((1 + float(counts.get(-1, 0))) / (1 + df_all)) + 1, prior=share)
+    df_all, n_all = counts.reindex(range(int(tried.sum())), fill_value=0).to_numpy(dtype=float), float(counts.get(-1, 0))
+    kept = telling[tried] | (_excess(in1[tried], m1 * df_all / max(n_all, 1.0)) >= CHI2)
+    if not kept.any():
+        return empty
+    index = Index(term[tried][kept], np.log((1 + n_all) / (1 + df_all[kept])) + 1, prior=share)
     # half of the examples are neighbours while the other half sets the curve; then all are neighbours
     vectors = [v for _, part in text.chunks(rows["text"]) for v in index.vectors(part)]
     half = text.mix64(rows["doc_id"].to_numpy(dtype=np.int64).view(np.uint64)) & np.uint64(1) == 1

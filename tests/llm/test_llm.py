@@ -275,6 +275,24 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.toxicity(d, lab.limit(0)).collect()}.__len__() == 1
 
 
+def test_toxic_words_of_few_examples(spark):
+    """Twenty toxic words, each in 12 of 240 toxic texts and nowhere else, with a balanced sample of a larger corpus."""
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for i in range(4000):
+        w = [rnd.choice(WORDS) for _ in range(30)]
+        if i < 240:
+            w[rnd.randrange(30)] = f"{chr(97 + i % 20)}{chr(98 + i % 20)}vile"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i < 240)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([x for x in labels if x[0] % 6], "doc_id long, toxic int")
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.toxicity(d, lab, per_label=200).collect()}
+    held = [i for i in range(240) if i % 6 == 0]
+    assert sum(got[i] for i in held) >= 0.9 * len(held)
+    assert sum(got[i] for i in range(240, 4000)) <= 40
+
+
 def test_block_max_search_is_exact():
     import numpy as np
     rnd = np.random.default_rng(2)
