@@ -348,3 +348,17 @@ def test_licences(spark):
                            ("/a/b/y.py", "MIT", "inherited", "/a"): 2, ("/c/z.py", None, "none", None): 1,
                            ("/c/n.py", None, "none", None): 1, (None, None, "none", None): 1})
     assert licences.scan_licences(f.limit(0)).count() == 0
+
+
+def test_a_notice_beside_ordinary_words_weighs_alike_at_any_size(spark):
+    lines = ["This project is released under the MIT License.",
+             "All of the code of this project is licensed under the Apache License, Version 2.0."]
+    def cosines(times):
+        files = [(f"/{n}/{i}.py", "all of the code of this project is here") for n in range(times) for i in range(200)]
+        files += [(f"/{n}/own{i}.py", line) for n in range(times) for i, line in enumerate(lines)]
+        frame = spark.createDataFrame(files, "path string, text string")
+        return {r.path: (r.licence, r.cosine) for r in licences.licence_matches(frame).where("path LIKE '/0/own%'").collect()}
+    one, many = cosines(1), cosines(30)
+    assert {p: x for p, (x, _) in many.items()} == {"/0/own0.py": "MIT", "/0/own1.py": "Apache-2.0"}
+    for p, (licence, cosine) in one.items():
+        assert many[p][0] == licence and many[p][1] == pytest.approx(cosine, abs=0.03)
