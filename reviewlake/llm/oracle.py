@@ -131,3 +131,50 @@ SELECT f.path, coalesce(own.licence, near.licence) AS licence, coalesce(own.cosi
        CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN near.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        CASE WHEN own.licence IS NULL THEN near.dir END AS declared_in
 FROM files AS f LEFT JOIN own ON f.path = own.path LEFT JOIN near ON f.path = near.path"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text: each byte is mixed in, then eight steps of one bit (-1)."""
+    steps = ", ".join(["-1"] * 8)
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''),
+      lambda c: [ascii(c)::BIGINT, {steps}]))),
+      lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END), 4294967295::BIGINT)"""
+
+
+def merkle(levels: int = 7, docs: str = "documents") -> str:
+    """The trees level by level (a tree that has come to one node stays as it is), then each leaf's path."""
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [f"""
+WITH l AS (SELECT doc_id, source, {leaf('text')} AS leaf,
+                  CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS fold FROM {docs}),
+t AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM l)),
+p0 AS (SELECT doc_id, leaf, fold, tree, '' AS proof,
+              row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+       FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source),
+n0 AS (SELECT tree, idx, leaf AS hash, count(*) OVER (PARTITION BY tree) AS cnt FROM p0)"""]
+
+    def climb(at: str, to: str, before: str, nodes: str, after: str) -> str:
+        return f""",
+{after} AS (SELECT tree, idx // 16 AS idx, CASE WHEN any_value(cnt) > 1 THEN sha256(string_agg(hash, '' ORDER BY idx)) ELSE any_value(hash) END AS hash,
+       (any_value(cnt) + 15) // 16 AS cnt FROM {nodes} GROUP BY tree, idx // 16),
+{before}l AS (SELECT tree, idx // 16 AS run, any_value(cnt) AS cnt, list(hash ORDER BY idx) AS h FROM {nodes} GROUP BY tree, idx // 16),
+{to} AS (SELECT doc_id, leaf, p.tree AS tree, idx // 16 AS idx, {'subroot, ' if 'r' in to else ''}
+       CASE WHEN cnt > 1 THEN sha256(array_to_string(h[:idx % 16], '') || fold || array_to_string(h[idx % 16 + 2:], '')) ELSE fold END AS fold,
+       CASE WHEN cnt > 1 THEN proof || array_to_string(h[:idx % 16], '') || array_to_string(h[idx % 16 + 2:], '') ELSE proof END AS proof
+       FROM {at} AS p JOIN {before}l AS s ON p.tree = s.tree AND p.idx // 16 = s.run)"""
+
+    out += [climb(f"p{i}", f"p{i + 1}", f"s{i}", f"n{i}", f"n{i + 1}") for i in range(levels)]
+    out.append(f""",
+q0 AS (SELECT -1 AS tree, tree AS idx, hash, count(*) OVER () AS cnt FROM n{levels}),
+r0 AS (SELECT doc_id, leaf, -1 AS tree, p.tree AS idx, hash AS subroot, fold, proof FROM p{levels} AS p JOIN n{levels} AS n ON p.tree = n.tree)""")
+    out += [climb(f"r{i}", f"r{i + 1}", f"v{i}", f"q{i}", f"q{i + 1}") for i in range(levels)]
+    out.append(f"""
+SELECT doc_id, leaf, subroot, hash AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = hash AS verified
+FROM r{levels}, (SELECT hash FROM q{levels})""")
+    return "".join(out)
