@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, licences, line_dedup, merkle, mixing, near_dup, oracle, periodic_runs, revisits, topk, toxicity, word_pieces
+from . import decontaminate, hmm, licences, line_dedup, merkle, mixing, near_dup, oracle, page_text, periodic_runs, revisits, topk, toxicity, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(files, every_term=False)   # weighted as in the query's SQL
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(_table(spark, sf_dir, "pages"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -115,7 +119,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_super_minhash, op4_line_dedup, op5_revisits,
-                                  op6_word_pieces, op7_hmm_scores, op8_toxicity, op9_decontaminate, op10_licences, op12_merkle_manifest,
-                                  op13_periodic_runs)}
+                                  op6_word_pieces, op7_hmm_scores, op8_toxicity, op9_decontaminate, op10_licences, op11_main_text,
+                                  op12_merkle_manifest, op13_periodic_runs)}
 ORACLE = {"op1_mix_sources": oracle.mix(MIX_POWERS, MIX_FRACTION), "op2_top_k": oracle.top_k(), "op5_revisits": oracle.revisits(),
           "op9_decontaminate": oracle.decontaminate(), "op10_licences": oracle.licences(FILES), "op12_merkle_manifest": oracle.merkle()}
