@@ -10,7 +10,7 @@ groups' top nodes (subroots) are the lowest level of one more tree.
 
 A recursive query climbs these links.  The up to ``ARITY`` leaves of a run have all nodes above
 them in common, so one row climbs for a run: it carries the fold of each leaf, and the siblings,
-which are the same for all, are appended once.  Nodes with more than ``MEETING`` runs below them
+which are the same for all, are appended once; digests travel as bytes.  Nodes with more than ``MEETING`` runs below them
 are linked in as many copies, and each run uses the copy of its number, so that no key of the join
 gathers the runs of a large group.
 """
@@ -71,6 +71,10 @@ def _joined(parts: Column) -> Column:
     return F.array_join(parts, "")
 
 
+def _text(bytes_: Column) -> Column:
+    return F.lower(F.hex(bytes_))
+
+
 def _parents(nodes: DataFrame) -> DataFrame:
     """The parents of ``nodes`` (tree, level, idx, hash, weight, cnt and the links' own key), with their ``children`` by number."""
     child = F.struct("idx", "hash", "weight", "o_tree", "o_level", "o_idx")
@@ -92,8 +96,8 @@ def _links(parents: DataFrame) -> DataFrame:
     hashes = F.transform("children", lambda x: x["hash"])
     p = p.select(F.col("child.o_tree").alias("tree"), F.col("child.o_level").alias("level"), F.col("child.o_idx").alias("idx"),
                  F.col("tree").alias("p_tree"), F.col("level").alias("p_level"), F.col("idx").alias("p_idx"), "p_copies", "p_hash",
-                 _joined(F.slice(hashes, F.lit(1), F.col("at"))).alias("before"),
-                 _joined(F.slice(hashes, F.col("at") + 2, F.lit(ARITY))).alias("after"),
+                 F.unhex(_joined(F.slice(hashes, F.lit(1), F.col("at")))).alias("before"),
+                 F.unhex(_joined(F.slice(hashes, F.col("at") + 2, F.lit(ARITY)))).alias("after"),
                  F.ceil(F.col("child.weight") / MEETING).cast("int").alias("copies"))
     return p.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
 
@@ -116,11 +120,11 @@ def _levels(nodes: DataFrame, name: str) -> tuple[list[DataFrame], list[DataFram
 
 CLIMB = """
 WITH RECURSIVE climb (r_tree, r_idx, tree, level, idx, copies, hash, subroot, folds, proof) AS (
-  SELECT tree, idx, tree, level, idx, copies, hash, CAST(NULL AS STRING), folds, '' FROM {start}
+  SELECT tree, idx, tree, level, idx, copies, hash, CAST(NULL AS STRING), folds, X'' FROM {start}
   UNION ALL
   SELECT c.r_tree, c.r_idx, k.p_tree, k.p_level, k.p_idx, k.p_copies, k.p_hash,
          CASE WHEN c.tree >= 0 AND k.p_tree < 0 THEN c.hash ELSE c.subroot END,
-         transform(c.folds, f -> sha2(concat(k.before, f, k.after), 256)),
+         transform(c.folds, f -> unhex(sha2(lower(hex(concat(k.before, f, k.after))), 256))),
          concat(c.proof, k.before, k.after)
   FROM climb AS c JOIN {links} AS k
     ON c.tree = k.tree AND c.level = k.level AND c.idx = k.idx AND pmod(xxhash64(c.r_tree, c.r_idx), c.copies) = k.copy)
@@ -184,18 +188,18 @@ def manifest(rows: DataFrame, leaf: Column, claimed: Column, key: str, group: st
     lone = (F.col("cnt") == 1) & (F.size("members") == 1)
     folds = F.transform("members", lambda m, i: F.when(lone, m["claimed"]).otherwise(
         digest(own(m, i, left), m["claimed"], own(m, i, right))))
-    start = runs.select("tree", "level", "idx", _copies("weight").alias("copies"), "hash", folds.alias("folds"))
+    start = runs.select("tree", "level", "idx", _copies("weight").alias("copies"), "hash", F.transform(folds, F.unhex).alias("folds"))
     every = None
     for part in links:
         every = part if every is None else every.unionByName(part)
     if every is None:       # a single run: nothing to climb
-        climbed = start.select(F.col("tree").alias("r_tree"), F.col("idx").alias("r_idx"), F.col("hash").alias("root"), F.col("hash").alias("subroot"), "folds", F.lit("").alias("proof"))
+        climbed = start.select(F.col("tree").alias("r_tree"), F.col("idx").alias("r_idx"), F.col("hash").alias("root"), F.col("hash").alias("subroot"), "folds", F.lit(b"").alias("proof"))
     else:
         climbed = _climbed(spark, start, written(every, "links"), top, height)
     back = climbed.join(runs.select(F.col("tree").alias("r_tree"), F.col("idx").alias("r_idx"), "members"), ["r_tree", "r_idx"])
     siblings = F.transform("members", lambda m, i: F.concat(own(m, i, left), own(m, i, right)))
     out = back.select("root", "subroot", "folds", "proof", siblings.alias("siblings"), F.posexplode("members").alias("at", "m"))
-    folded = F.get("folds", F.col("at"))
+    folded = _text(F.get("folds", F.col("at")))
     return out.select(F.col("m.key").alias(key), F.col("m.leaf").alias("leaf"), "subroot", "root",
-                      F.concat(F.get("siblings", F.col("at")), "proof").alias("proof"), folded.alias("folded_root"),
+                      F.concat(F.get("siblings", F.col("at")), _text(F.col("proof"))).alias("proof"), folded.alias("folded_root"),
                       (folded == F.col("root")).alias("verified"))
