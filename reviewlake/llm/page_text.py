@@ -5,7 +5,7 @@ ancestors (tags, and words of their class, id and role), and of the text its len
 links, and its place in the page and among its neighbours.
 
 Training pages are a bounded sample of the table: ``SAMPLE_PAGES`` pages of at most
-``SAMPLE_CHARS`` characters, the first by a hash of their ids, labelled by their only article or
+``SAMPLE_CHARS`` characters, the first by a hash of their ids and urls, labelled by their only article or
 main element.  Every second one is learned from once more without that element's
 name, so that the model doesn't rest on it alone, and from each come two pages that hold the same texts in other layouts (headers, menus,
 breadcrumbs, notices, adverts, sidebars, forms, comments, related links and footers around or
@@ -206,9 +206,15 @@ def train(htmls: Iterable[str], layouts: int = 2) -> crf.Crf:
 
 
 def sample_of(pages: DataFrame) -> list[str]:
-    """The html of the sample: at most ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters."""
-    rows = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html", F.xxhash64(F.col("page_id").cast("string"), "html").alias("h"))
-    return [r.html for r in rows.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
+    """The html of the sample: at most ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters.
+
+    Hashes alone are ordered first, so that what a task sends to the driver doesn't hold pages.
+    """
+    rows = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html", F.xxhash64(F.col("page_id").cast("string"), "url").alias("h"))
+    first = [r.h for r in rows.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    if not first:
+        return []
+    return [r.html for r in rows.where(F.col("h") <= first[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()]
 
 
 def extract(model: crf.Crf, html: str | None) -> str:
@@ -224,7 +230,7 @@ def main_texts(pages: DataFrame, model: crf.Crf | None = None) -> DataFrame:
     points.  ``model`` defaults to one trained on a sample of ``pages``.
 
     Null and empty html has an empty text.  Null ids, null urls and repeated rows are rows like
-    others; the sample's order breaks ties by the html itself.  Very long pages are read whole, in
+    others; of sample pages with one id and url the least html counts.  Very long pages are read whole, in
     time and memory linear in their length.  An empty table gives an empty table.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
