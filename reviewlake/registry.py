@@ -7,6 +7,7 @@ operator id in lower case plus its name.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -669,8 +670,10 @@ def q8_migrate_settings(spark, sf_dir):
 
 @register("k3_write_settings", _q8_sql())
 def k3_write_settings(spark, sf_dir):
-    path = writers.write_settings(q8_migrate_settings(spark, sf_dir), scratch_path(spark, "settings"))
-    return spark.read.parquet(path)
+    merged, base = q8_migrate_settings(spark, sf_dir), scratch_path(spark, "settings")
+    writers.write_settings(merged.withColumn("theme", F.lit("old")), base)
+    writers.write_settings(merged, base)
+    return writers.read_settings_version(spark, base, merged.schema)  # the second version
 
 
 # ---------------------------------------------------------------- sources S1-S8
@@ -731,24 +734,12 @@ def s6_read_settings(spark, sf_dir):
 ARRIVALS = 4
 
 
-def _land_parquet_in_parts(df: DataFrame, spark, name: str, key: list[str],
-                           by_time: str | None = None) -> str:
-    """Write ``df`` as several separately committed file sets (simulated arrival order).
-
-    With ``by_time`` the sets follow each other in time, cut at its quartiles; a
-    set's rows of one ``key`` are in one file.
-    """
+def _land_in_parts(df: DataFrame, spark, name: str, at, parts: int = ARRIVALS) -> str:
+    """Write ``df`` as ``parts`` separately committed file sets, one after the other; ``at`` is a row's set."""
     base, files = scratch_path(spark, name), max(2, spark.sparkContext.defaultParallelism)
-    if by_time:
-        t = F.unix_micros(F.col(by_time).cast("timestamp"))
-        cuts = df.select(F.percentile_approx(t, [i / ARRIVALS for i in range(1, ARRIVALS)])).first()[0] or []
-        at = sum((F.when(t > c, 1).otherwise(0) for c in cuts), F.lit(0))
-        parts = [df.where(at == i) for i in range(ARRIVALS)]
-    else:
-        at = F.pmod(F.xxhash64(*df.columns), F.lit(ARRIVALS))
-        parts = [df.where(at == i) for i in range(ARRIVALS)]
-    for i, part in enumerate(parts):
-        part.repartition(files, *key).write.mode("overwrite").parquet(f"{base}/batch={i:03d}")
+    held = df.withColumn("_at", at)
+    for i in range(parts):
+        held.where(F.col("_at") == i).drop("_at").repartition(files).write.mode("overwrite").parquet(f"{base}/batch={i:03d}")
     return base
 
 
@@ -786,45 +777,101 @@ def k2_write_submissions(spark, sf_dir):
     subs = q6_submissions(spark, sf_dir)
     outbox = scratch_path(spark, "outbox")
     writers.write_submissions(spark, subs, outbox)
-    return writers.write_submissions(spark, subs, outbox)  # second run adds nothing
+    return writers.write_submissions(spark, subs, outbox)  # second batch adds nothing
 
 
 # ---------------------------------------------------------------- streaming T1-T6, K4
-def _run_stream(df: DataFrame, spark, name: str) -> DataFrame:
-    """Run a stream to the end of its input; state partitions = default parallelism.
+def _state_partitions(spark):
+    """While a stream starts: as many state partitions as tasks run at once (fixed in its checkpoint then)."""
+    @contextlib.contextmanager
+    def held():
+        key = "spark.sql.shuffle.partitions"
+        before = spark.conf.get(key)
+        spark.conf.set(key, str(max(2, spark.sparkContext.defaultParallelism)))
+        try:
+            yield
+        finally:
+            spark.conf.set(key, before)
+    return held()
 
-    The state partition count is fixed in the checkpoint when the query
-    starts, so it is set for the start only and the session value restored.
-    """
+
+def _run_stream(df: DataFrame, spark, name: str) -> DataFrame:
+    """Run a stream to the end of its input."""
     out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(2, spark.sparkContext.defaultParallelism)))
-    try:
-        q = writers.write_deltas(df, out, ck, available_now=True)
-    finally:
-        spark.conf.set(key, before)
+    with _state_partitions(spark):
+        q = writers.write_stream(df, out, ck)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
+def _chunk_stream(spark, chunks: DataFrame) -> DataFrame:
+    """The chunks as they arrive: in any order, cut into file sets by a hash of all columns."""
+    landed = _land_in_parts(chunks, spark, "chunk-arrivals", F.pmod(F.xxhash64(*chunks.columns), F.lit(ARRIVALS)))
+    return readers.read_stream_chunks(spark, landed + "/*", stream=True,
+                                      max_files_per_trigger=max(2, spark.sparkContext.defaultParallelism))
+
+
 @register("t1_stream_responses", f"""
 SELECT {_RESP_ID} AS request_id, text AS content,
-  CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens
+  CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS n_malformed, 'done' AS status
 FROM conversations WHERE role = 'assistant'""")
 def t1_stream_responses(spark, sf_dir):
-    landed = _land_parquet_in_parts(_chunks(spark, sf_dir), spark, "chunk-arrivals", ["request_id"])
-    chunks = readers.read_stream_chunks(spark, landed + "/*", stream=True,
-                                        max_files_per_trigger=max(2, spark.sparkContext.defaultParallelism))
-    deltas = _run_stream(assembly.delta_stream(chunks), spark, "deltas")
-    resp = assembly.responses_from_deltas(deltas)
-    return resp.select("request_id", "content", estimate_tokens("content").alias("tokens"))
+    """T1-T5 in one query: the sink holds one row per ended response."""
+    out = _run_stream(assembly.response_stream(_chunk_stream(spark, _chunks(spark, sf_dir))), spark, "responses")
+    return out.select("request_id", "content", "tokens", "n_malformed", "status")
+
+
+def _published(spark, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(deltas, dead letters) that K4 publishes from the chunks as a stream."""
+    deltas, dead, ck = (scratch_path(spark, n) for n in ("deltas", "dead-letters", "deltas-ckpt"))
+    with _state_partitions(spark):
+        q = writers.write_delta_batches(assembly.delta_stream(_chunk_stream(spark, chunks)), deltas, dead, ck)
+    q.awaitTermination()
+    return writers.read_deltas(spark, deltas), writers.read_dead_letters(spark, dead)
+
+
+@register("k4_write_deltas", f"""
+SELECT request_id, CAST(CASE WHEN conv_id % 2 = 0 THEN 2 * i ELSE 3 * i + 1 END AS BIGINT) AS line_no,
+  piece AS content, false AS done FROM ({_PIECES}) WHERE piece <> ''
+UNION ALL
+SELECT {_RESP_ID} AS request_id,
+  CAST(CASE WHEN conv_id % 2 = 0 THEN 2 * n + 2 ELSE 3 * n + 3 END AS BIGINT) AS line_no, '' AS content, true AS done
+FROM (SELECT conv_id, turn, CAST(trunc((length(text) - 1) / 16) AS BIGINT) + 1 AS n
+      FROM conversations WHERE role = 'assistant')""")
+def k4_write_deltas(spark, sf_dir):
+    return _published(spark, _chunks(spark, sf_dir))[0]
+
+
+@register("t3_dead_letters_stream", _RELAY_SQL)
+def t3_dead_letters_stream(spark, sf_dir):
+    relay = fx.stream_chunks(spark, sf_dir, escaped=False).select(*streams.CHUNK_COLUMNS)
+    return _published(spark, relay)[1].where("kind = 'malformed'").select("request_id", "line_no", "line")
+
+
+VISIT_SETS = 8
+VISIT_JITTER = 3600
 
 
 @register("t6_visits_stream", ORACLE["q7_pr_visit_feed"])
 def t6_visits_stream(spark, sf_dir):
-    v = Tables(spark, sf_dir).page_visits
-    landed = _land_parquet_in_parts(v, spark, "visit-arrivals", visits.SESSION, by_time="ts")
+    """T6 over visits that arrive up to an hour late, in any order within a file set.
+
+    The watermark's delay covers two file sets and that hour, since a micro-batch may end in the
+    middle of a set. A last visit (of no PR page) moves the watermark past all others.
+    """
+    v = Tables(spark, sf_dir).page_visits.withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("tab_id", "seq"), F.lit(VISIT_JITTER))
+    first, last, cuts = v.select(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.percentile_approx(
+        arrival, [i / VISIT_SETS for i in range(1, VISIT_SETS)])).first()
+    edges = [first or 0, *(cuts or []), (last or 0) + VISIT_JITTER]
+    delay = 2 * max(b - a for a, b in zip(edges, edges[1:])) + VISIT_JITTER
+    at = sum((F.when(arrival > c, 1).otherwise(0) for c in cuts or []), F.lit(0))
+    end = spark.range(1).select(F.lit(None).cast("long").alias("tab_id"), F.lit(0).cast("long").alias("page_load_id"),
+                                F.lit(0).cast("long").alias("seq"), F.timestamp_seconds(F.lit(edges[-1] + 2 * delay)).alias("ts"),
+                                F.lit("https://github.com/").alias("url"))
+    landed = _land_in_parts(v, spark, "visit-arrivals", at, VISIT_SETS)
+    end.write.parquet(f"{landed}/batch={VISIT_SETS:03d}")
     stream = readers.read_page_visits(spark, landed + "/*", stream=True,
                                       max_files_per_trigger=max(2, spark.sparkContext.defaultParallelism))
-    return _run_stream(assembly.detect_pr_changes_stream(stream), spark, "visit-feed")
+    out = _run_stream(assembly.detect_pr_changes_stream(stream, f"{delay} seconds"), spark, "visit-feed")
+    return out.where("error_code IS NULL").drop("error_code")

@@ -54,3 +54,5 @@ FLAT_SETTINGS = T.StructType([
     f("review_prompt", S), f("max_tokens", I), f("ignore_files", T.ArrayType(S))])
 
 DELTA = T.StructType([f("request_id", S), f("line_no", L), f("content", S), f("done", B)])
+
+DEAD_LETTER = T.StructType([f("request_id", S), f("line_no", L), f("kind", S), f("line", S)])

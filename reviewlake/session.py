@@ -54,6 +54,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of ``transformWithState`` queries lives in RocksDB; Spark takes no other store for them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (pandas UDFs, state functions).
 

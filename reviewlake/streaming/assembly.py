@@ -1,14 +1,12 @@
 """Structured Streaming: T1 T4 T5 (response streams) and T6 (PR visits).
 
-Response chunks are keyed by ``request_id``. The per-key state holds the
-next expected ``seq``, chunks that arrived early, the unfinished line
-bytes and the next line number. Complete lines leave the state as rows;
-the last chunk closes the key with a ``done`` row; a key that stays
-silent past the timeout closes with ``abandoned``. State per key is
-bounded by one unfinished line plus out-of-order chunks, and a response is
-bounded by its output token cap. A chunk that is delivered again is ignored;
-so that this holds after the end too, a closed key keeps a small marker, which
-goes at the timeout if there is one.
+Response chunks are keyed by ``request_id``. Complete lines leave the state as
+rows; the last chunk closes the key with a ``done`` row; a key that stays
+silent past the timeout closes with ``abandoned``. State per key is bounded by
+one unfinished line plus out-of-order chunks, and a response is bounded by its
+output token cap. A chunk that is delivered again is ignored, also after the
+end: a closed key keeps a small marker, for ``marker_ttl_ms`` if that is given
+and for good otherwise.
 
 Line parsing and delta extraction after the state step are the same
 built-in expressions as in batch (``operators.streams``), so batch and
@@ -17,110 +15,55 @@ stream agree by construction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reviewlake.functions.stream import extract_delta, line_kind
-from reviewlake.operators.visits import SESSION, filter_pr_pages, parse_pr_url
-
-# ``next_seq`` of a response that has ended
-CLOSED = -1
-
-LINE_SCHEMA = "request_id string, service string, line_no long, line string, kind string"
-LINE_STATE = ("service string, next_seq int, next_line long, carry binary, "
-              "pend_seq array<int>, pend_payload array<binary>, pend_last array<boolean>")
-
-
-def _line_rows(key, service, items):
-    return pd.DataFrame({
-        "request_id": [key] * len(items), "service": [service] * len(items),
-        "line_no": [i[0] for i in items], "line": [i[1] for i in items],
-        "kind": [i[2] for i in items]})
-
-
-def _assemble(flush_tail: bool, timeout_ms: int | None):
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = key[0]
-        if state.hasTimedOut:
-            service, seq, next_line = state.get[0], state.get[1], state.get[2]
-            state.remove()
-            if seq != CLOSED:
-                yield _line_rows(rid, service, [(next_line, None, "abandoned")])
-            return
-        if state.exists and state.get[1] == CLOSED:
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-            return
-        if state.exists:
-            service, next_seq, next_line, carry, ps, pp, pl = state.get
-            pending = {s: (bytes(p), bool(lst)) for s, p, lst in zip(ps or [], pp or [], pl or [])}
-            carry = bytes(carry or b"")
-        else:
-            service, next_seq, next_line, carry, pending = None, 0, 0, b"", {}
-        for pdf in batches:
-            for s, p, lst, svc in zip(pdf["seq"], pdf["payload"], pdf["is_last"], pdf["service"]):
-                if int(s) < next_seq:      # delivered again
-                    continue
-                pending[int(s)] = (bytes(p) if p is not None else b"", bool(lst))
-                service = service or svc
-        out, closed = [], False
-        while next_seq in pending:
-            payload, last = pending.pop(next_seq)
-            next_seq += 1
-            parts = (carry + payload).split(b"\n")
-            for piece in parts[:-1]:
-                out.append((next_line, piece.decode("utf-8", errors="replace"), "line"))
-                next_line += 1
-            carry = parts[-1]
-            if last:
-                if flush_tail and carry:
-                    out.append((next_line, carry.decode("utf-8", errors="replace"), "line"))
-                    next_line += 1
-                out.append((next_line, None, "done"))
-                closed = True
-                break
-        if closed:
-            state.update((service, CLOSED, next_line, b"", [], [], []))
-        else:
-            seqs = sorted(pending)
-            state.update((service, next_seq, next_line, carry, seqs,
-                          [pending[s][0] for s in seqs], [pending[s][1] for s in seqs]))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield _line_rows(rid, service, out)
-    return fn
-
-
-def assemble_stream(chunks: DataFrame, flush_tail: bool = False,
-                    timeout_ms: int | None = None) -> DataFrame:
+from reviewlake.functions.text import estimate_tokens
+from reviewlake.operators.visits import SESSION, is_pr_page, parse_pr_url
+from reviewlake.session import use_rocksdb
+from reviewlake.streaming import processors as P
+
+# The driver's helper process of a state query doesn't get files added to the session, so
+# processors travel whole instead of as names of this package.
+cloudpickle.register_pickle_by_value(P)
+
+#: the first second of year 1
+BEFORE_ALL = -62135596800
+
+
+def _time_mode(timeout_ms: int | None, marker_ttl_ms: int | None) -> str:
+    return "processingTime" if timeout_ms or marker_ttl_ms else "none"
+
+
+def assemble_stream(chunks: DataFrame, flush_tail: bool = False, timeout_ms: int | None = None,
+                    marker_ttl_ms: int | None = None) -> DataFrame:
     """T1 + T4: chunk stream -> complete lines, then one ``done`` (or ``abandoned``) row.
 
-    ``timeout_ms`` closes silent streams as ``abandoned``. Spark schedules a
-    batch on every trigger to check processing-time timeouts, so set it only
-    for continuously triggered queries; an ``availableNow`` run with a
-    timeout would never finish.
+    ``timeout_ms`` closes silent streams as ``abandoned``; ``marker_ttl_ms`` lets
+    Spark forget closed ones (a chunk delivered again later than that would open
+    the response anew). Both need processing time: Spark then schedules a batch on
+    every trigger, so set them only for continuously triggered queries; an
+    ``availableNow`` run would never finish.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    use_rocksdb(chunks.sparkSession)
     return (chunks.select("request_id", "seq", "service", "payload", "is_last")
             .groupBy("request_id")
-            .applyInPandasWithState(_assemble(flush_tail, timeout_ms), LINE_SCHEMA, LINE_STATE,
-                                    "append", timeout))
+            .transformWithStateInPandas(P.LineAssembler(flush_tail, timeout_ms, marker_ttl_ms), P.LINE_SCHEMA,
+                                        "append", _time_mode(timeout_ms, marker_ttl_ms)))
 
 
-def delta_stream(chunks: DataFrame, flush_tail: bool = False,
-                 timeout_ms: int | None = None) -> DataFrame:
-    """T2 + T3 + T4 on a stream: ``{content, done}`` rows plus malformed-line markers.
+def delta_stream(chunks: DataFrame, flush_tail: bool = False, timeout_ms: int | None = None,
+                 marker_ttl_ms: int | None = None) -> DataFrame:
+    """T2 + T3 + T4 on a stream: deltas, ends and malformed lines as rows of one stream.
 
     One stateful step, then one projection (no second branch of the state
     output). Output: request_id, line_no, kind (``delta`` | ``done`` |
     ``abandoned`` | ``malformed``), content, line (kept for dead letters only).
+    ``sinks.write_delta_batches`` parts them into the two published tables.
     """
-    lines = assemble_stream(chunks, flush_tail, timeout_ms)
+    lines = assemble_stream(chunks, flush_tail, timeout_ms, marker_ttl_ms)
     lk = line_kind("service", "line")
     delta = extract_delta("service", "line")
     kind = (F.when(F.col("kind") != "line", F.col("kind"))
@@ -132,10 +75,35 @@ def delta_stream(chunks: DataFrame, flush_tail: bool = False,
     return out.where(F.col("kind").isNotNull())
 
 
+def accumulate_responses(deltas: DataFrame, timed: bool = False) -> DataFrame:
+    """T5: the stream of ``delta_stream`` -> one row per ended response with its final text.
+
+    Output: request_id, content, tokens, n_deltas, n_malformed, status (``done`` |
+    ``abandoned``). ``timed`` must be true if the deltas come from a step with a
+    timeout or marker lifetime: all stateful steps of a query share its time mode.
+    """
+    use_rocksdb(deltas.sparkSession)
+    out = (deltas.select("request_id", "line_no", "kind", "content").groupBy("request_id")
+           .transformWithStateInPandas(P.ResponseAccumulator(), P.RESPONSE_SCHEMA, "append",
+                                       "processingTime" if timed else "none"))
+    return out.select("request_id", "content", estimate_tokens("content").alias("tokens"), "n_deltas",
+                      "n_malformed", "status")
+
+
+def response_stream(chunks: DataFrame, flush_tail: bool = False, timeout_ms: int | None = None,
+                    marker_ttl_ms: int | None = None) -> DataFrame:
+    """T1-T5 in one query: chunk stream -> one final row per ended response."""
+    deltas = delta_stream(chunks, flush_tail, timeout_ms, marker_ttl_ms)
+    return accumulate_responses(deltas, bool(timeout_ms or marker_ttl_ms))
+
+
 def responses_from_deltas(deltas: DataFrame) -> DataFrame:
-    """T5: final content of each finished response from published delta rows."""
-    ended = deltas.where(F.col("kind") == "done").select("request_id").distinct()
-    parts = (deltas.where(F.col("kind") == "delta").join(ended, "request_id", "inner")
+    """T5 in batch: final content of each finished response from published delta rows.
+
+    ``deltas``: request_id, line_no, content, done (``schemas.DELTA``).
+    """
+    ended = deltas.where("done").select("request_id").distinct()
+    parts = (deltas.where("NOT done").join(ended, "request_id", "inner")
              .groupBy("request_id")
              .agg(F.array_sort(F.collect_list(F.struct("line_no", "content"))).alias("_d")))
     return (ended.join(parts, "request_id", "left")
@@ -143,33 +111,24 @@ def responses_from_deltas(deltas: DataFrame) -> DataFrame:
                                              F.lit("")).alias("content")))
 
 
-VISIT_SCHEMA = ("tab_id long, page_load_id long, seq long, ts timestamp, url string, path string, "
-                "owner string, repo string, pr_number string")
-VISIT_STATE = "last_path string"
-
-
-def _detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True)
-    pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-    before = pdf["path"].shift(1)
-    before.iloc[0] = last
-    state.update((pdf["path"].iloc[-1],))
-    out = pdf[pdf["path"] != before]
-    if len(out):
-        yield out[["tab_id", "page_load_id", "seq", "ts", "url", "path", "owner", "repo", "pr_number"]]
-
-
-def detect_pr_changes_stream(visits: DataFrame) -> DataFrame:
-    """W1 on a stream; keyed state is the last PR path of each page session.
+def detect_pr_changes_stream(visits: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """W1 on a stream of visits that arrive in any order within ``delay``.
 
-    The visits of one page session must arrive in order (any order within a
-    micro-batch); different sessions may arrive in any order.
+    A visit is decided on when the watermark (latest visit time seen, less
+    ``delay``) has passed it, in (ts, seq) order within its page session.
+    Output: the visit columns and ``error_code``: null for a detected change,
+    ``LATE_VISIT`` for a visit that came when a later one of its session had been
+    decided on (so later than the watermark), ``NO_VISIT_TIME`` for one without a
+    time. Detections equal the batch form over all rows that are not late.
     """
-    pr = parse_pr_url(filter_pr_pages(visits)).select(
-        *SESSION, "seq", "ts", "url", "path", "owner", "repo", "pr_number")
-    return pr.groupBy(*SESSION).applyInPandasWithState(
-        _detect, VISIT_SCHEMA, VISIT_STATE, "append", GroupStateTimeout.NoTimeout)
+    use_rocksdb(visits.sparkSession)
+    timed = visits.withWatermark("ts", delay)
+    # visits of other pages move the watermark too: a page test that reads ``ts`` can't be moved below it
+    page = F.when(F.col("ts") < F.timestamp_seconds(F.lit(BEFORE_ALL)), F.lit("")).otherwise(F.col("url"))
+    pr = parse_pr_url(timed.where(is_pr_page(page)))
+    # the computed copy of ``ts`` carries no watermark, so late rows reach the state step instead of being dropped
+    keyed = pr.select(*SESSION, "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "url", "path",
+                      "owner", "repo", "pr_number")
+    out = keyed.groupBy(*SESSION).transformWithStateInPandas(P.VisitOrder(), P.VISIT_SCHEMA, "append", "eventTime")
+    return out.select(*SESSION, "seq", F.timestamp_micros("ts_us").alias("ts"), "url", "path", "owner", "repo",
+                      "pr_number", "error_code")

@@ -92,6 +92,9 @@ def test_visit_changes_stream(spark):
     v = _visits(spark)
     for i, lo in enumerate((1, 3, 5)):
         v.where((F.col("seq") >= lo) & (F.col("seq") < lo + 2)).coalesce(1).write.parquet(f"{base}/b={i}")
+    # a later visit of no PR page moves the watermark past all others
+    v.limit(1).select("tab_id", "page_load_id", "seq", F.expr("ts + INTERVAL 30 DAYS").alias("ts"),
+                      F.lit("https://github.com/").alias("url")).write.parquet(f"{base}/b=9")
     stream = read_page_visits(spark, base + "/*", stream=True, max_files_per_trigger=1)
     out, ck = scratch_path(spark, "test-visit-out"), scratch_path(spark, "test-visit-ck")
     q = (detect_pr_changes_stream(stream).writeStream.format("parquet").option("path", out)

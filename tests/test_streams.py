@@ -9,7 +9,8 @@ from reviewlake.operators.streams import (assemble_lines, assemble_responses, cl
                                           running_content)
 from reviewlake.session import scratch_path
 from reviewlake.sources.readers import read_stream_chunks
-from reviewlake.streaming.assembly import delta_stream, responses_from_deltas
+from reviewlake.sinks import writers
+from reviewlake.streaming.assembly import delta_stream, response_stream, responses_from_deltas
 
 SCHEMA = "request_id string, seq int, service string, payload binary, is_last boolean"
 
@@ -110,10 +111,10 @@ def test_batch_equals_stream(spark):
     q = (delta_stream(stream).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    deltas = spark.read.parquet(out)
+    deltas = writers.delta_rows(spark.read.parquet(out))
     streamed = {r["request_id"]: r["content"] for r in responses_from_deltas(deltas).collect()}
     assert streamed == texts
-    assert deltas.where("kind = 'done'").count() == len(texts)
+    assert deltas.where("done").count() == len(texts)
 
 
 def test_strict_json_payloads(spark):
@@ -155,24 +156,27 @@ def test_restart_from_checkpoint_is_exactly_once(spark):
         first += rows[:half]
         second += rows[half:]
     base = scratch_path(spark, "restart-chunks")
-    out, ck = scratch_path(spark, "restart-deltas"), scratch_path(spark, "restart-ckpt")
+    out, ck = scratch_path(spark, "restart-responses"), scratch_path(spark, "restart-ckpt")
+    deltas, dead, ck2 = (scratch_path(spark, n) for n in ("restart-deltas", "restart-dead", "restart-ckpt"))
 
     def run_once():
         stream = read_stream_chunks(spark, base + "/*", stream=True)
-        q = (delta_stream(stream).writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", ck).trigger(availableNow=True).start())
-        q.awaitTermination()
+        writers.write_stream(response_stream(stream), out, ck).awaitTermination()
+        writers.write_delta_batches(delta_stream(stream), deltas, dead, ck2).awaitTermination()
 
     spark.createDataFrame(first, SCHEMA).coalesce(1).write.parquet(f"{base}/b=0")
     run_once()
-    assert spark.read.parquet(out).where(F.col("kind") == "done").count() == 0
+    assert spark.read.parquet(out).count() == 0
+    assert writers.read_deltas(spark, deltas).where("done").count() == 0
     spark.createDataFrame(second, SCHEMA).coalesce(1).write.parquet(f"{base}/b=1")
     run_once()
     run_once()  # nothing new: no batch, no duplicate rows
-    deltas = spark.read.parquet(out)
-    assert deltas.count() == deltas.select("request_id", "line_no", "kind").distinct().count()
-    streamed = {r["request_id"]: r["content"] for r in responses_from_deltas(deltas).collect()}
-    assert streamed == texts
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.request_id, r.content, r.status) for r in got) == sorted((k, t, "done") for k, t in texts.items())
+    rows = writers.read_deltas(spark, deltas)
+    assert rows.count() == rows.distinct().count() == rows.select("request_id", "line_no").distinct().count()
+    assert {r.request_id: r.content for r in responses_from_deltas(rows).collect()} == texts
+    assert writers.read_dead_letters(spark, dead).count() == 0
 
 
 def test_null_payload_chunk_counts_but_adds_no_text(spark):
