@@ -129,7 +129,7 @@ LOADING_TEXT = "加载中..."
 NOT_AVAILABLE_TEXT = "N/A"
 PREVIEW_SUFFIX = "..."
 
-# Error codes of our own (the original raised exceptions with Chinese text).
+# Error messages of the original, under codes of our own.
 ERRORS = {
     "NO_FORGE_TOKEN": "GitHub Token未配置",
     "NO_OPENAI_KEY": "OpenAI API Key未置",
@@ -138,11 +138,23 @@ ERRORS = {
     "UNSUPPORTED_SERVICE": "Unsupported AI service provider",
 }
 
-# JavaScript String.prototype.trim whitespace set, as a regex class.
-JS_WHITESPACE_CLASS = (
-    "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029"
-    "\\u202F\\u205F\\u3000\\uFEFF]"
-)
+# JavaScript String.prototype.trim whitespace set.
+JS_WHITESPACE = ("\t\n\x0B\f\r \u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A"
+                 "\u2028\u2029\u202F\u205F\u3000\uFEFF")
+
+# Rendering of a review as HTML: pattern and replacement, in order of use.
+HTML_RULES = [("\n", "<br>"), ("```([^`]+)```", "<pre><code>$1</code></pre>"), ("`([^`]+)`", "<code>$1</code>")]
+
+# Popup labels of the PR summary and of the review statistics.
+SUMMARY_REPO = "仓库: "
+SUMMARY_NUMBER = "\nPR编号: #"
+SUMMARY_TITLE = "\n标题: "
+SUMMARY_FILES = "\n变更文件: "
+SUMMARY_FILES_UNIT = "个"
+STATS_REVIEWED = "审查文件数: "
+STATS_ADDITIONS = "\n代码增加: +"
+STATS_DELETIONS = "\n代码删除: -"
+STATS_TOKENS = "\nToken消耗: "
 # ------------------------------------------------------------ end fixed values
 
 # Our own keys and defaults (not part of the original).

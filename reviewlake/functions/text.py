@@ -24,8 +24,7 @@ def or_default(x, default) -> Column:
 
 def js_trim(x) -> Column:
     """``String.prototype.trim``: strips the JavaScript whitespace set at both ends."""
-    ws = C.JS_WHITESPACE_CLASS
-    return F.regexp_replace(col(x), f"^{ws}+|{ws}+$", "")
+    return F.trim(col(x), F.lit(C.JS_WHITESPACE))
 
 
 def js_length(x) -> Column:
@@ -75,17 +74,15 @@ def render_review_html(text, escape: bool = False) -> Column:
         t = F.regexp_replace(t, "<", "&lt;")
         t = F.regexp_replace(t, ">", "&gt;")
         t = F.regexp_replace(t, '"', "&quot;")
-    t = F.regexp_replace(t, "\n", "<br>")
-    t = F.regexp_replace(t, "```([^`]+)```", "<pre><code>$1</code></pre>")
-    return F.regexp_replace(t, "`([^`]+)`", "<code>$1</code>")
+    for pattern, shown in C.HTML_RULES:
+        t = F.regexp_replace(t, pattern, shown)
+    return t
 
 
 def parse_ignore_list(text) -> Column:
     """one pattern per line, trimmed, blank lines dropped."""
-    ws = C.JS_WHITESPACE_CLASS
     parts = F.split(F.coalesce(col(text), F.lit("")), "\n", -1)
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, f"^{ws}+|{ws}+$", ""))
-    return F.filter(trimmed, lambda s: s != F.lit(""))
+    return F.filter(F.transform(parts, js_trim), lambda s: s != F.lit(""))
 
 
 def parse_int_prefix(s) -> Column:

@@ -16,11 +16,11 @@ def pr_summary_text(owner="owner", repo="repo", number="pr_number", title="title
     """repo, ``#number``, title and file count; falsy values show the loading text."""
     n = F.nullif(col(file_count), F.lit(0)).cast("string")
     return F.concat(
-        F.lit("仓库: "), F.coalesce(col(owner), F.lit("undefined")), F.lit("/"),
+        F.lit(C.SUMMARY_REPO), F.coalesce(col(owner), F.lit("undefined")), F.lit("/"),
         F.coalesce(col(repo), F.lit("undefined")),
-        F.lit("\nPR编号: #"), F.coalesce(col(number).cast("string"), F.lit("undefined")),
-        F.lit("\n标题: "), or_default(title, C.LOADING_TEXT),
-        F.lit("\n变更文件: "), F.coalesce(n, F.lit(C.LOADING_TEXT)), F.lit("个"))
+        F.lit(C.SUMMARY_NUMBER), F.coalesce(col(number).cast("string"), F.lit("undefined")),
+        F.lit(C.SUMMARY_TITLE), or_default(title, C.LOADING_TEXT),
+        F.lit(C.SUMMARY_FILES), F.coalesce(n, F.lit(C.LOADING_TEXT)), F.lit(C.SUMMARY_FILES_UNIT))
 
 
 def review_stats_text(reviewed="reviewed_files", additions="additions", deletions="deletions",
@@ -28,10 +28,10 @@ def review_stats_text(reviewed="reviewed_files", additions="additions", deletion
     """reviewed file count, ``+a``, ``-d``, tokens (0 or missing shows N/A)."""
     t = F.coalesce(F.nullif(col(tokens), F.lit(0)).cast("string"), F.lit(C.NOT_AVAILABLE_TEXT))
     return F.concat(
-        F.lit("审查文件数: "), col(reviewed).cast("string"),
-        F.lit("\n代码增加: +"), col(additions).cast("string"),
-        F.lit("\n代码删除: -"), col(deletions).cast("string"),
-        F.lit("\nToken消耗: "), t)
+        F.lit(C.STATS_REVIEWED), col(reviewed).cast("string"),
+        F.lit(C.STATS_ADDITIONS), col(additions).cast("string"),
+        F.lit(C.STATS_DELETIONS), col(deletions).cast("string"),
+        F.lit(C.STATS_TOKENS), t)
 
 
 # Repository coordinates of a PR (path parts of its API endpoints).

@@ -731,6 +731,40 @@ def s6_read_settings(spark, sf_dir):
                        F.array_join("ignore_files", "|").alias("ignore_files"))
 
 
+def _documents_sql(export: str, table: str, key: str = "pr_number") -> str:
+    return f"""SELECT '{export}' AS export, count(DISTINCT {key}) AS documents,
+  count(DISTINCT CASE WHEN CAST(regexp_extract(CAST({key} AS VARCHAR), '[0-9]+$') AS BIGINT) % 10 <> 3 THEN {key} END) AS good,
+  count(DISTINCT CASE WHEN CAST(regexp_extract(CAST({key} AS VARCHAR), '[0-9]+$') AS BIGINT) % 10 = 3 THEN {key} END) AS quarantined
+FROM {table}"""
+
+
+@register("s1_s6_quarantine", fx.oracle_with(
+    ["pull_requests", "changed_files", "reviews", "review_comments", "issue_comments", "settings_raw"], "\nUNION ALL\n".join(
+        [_documents_sql("pull_requests", "pull_requests"),
+         *[_documents_sql(x, f"{x} JOIN (SELECT pr_number AS n FROM pull_requests) p ON pr_number = n")
+           for x in ("changed_files", "reviews", "review_comments", "issue_comments")],
+         _documents_sql("settings", "settings_raw", "tenant")])))
+def s1_s6_quarantine(spark, sf_dir):
+    """Documents that broke off: of each export, how many its reader returns and how many are quarantined."""
+    paths = _landed(spark, sf_dir) | {"settings": landing.land_settings_docs(spark, Tables(spark, sf_dir).settings)}
+    read = {"pull_requests": readers.read_pull_requests, "changed_files": readers.read_changed_files, "reviews": readers.read_reviews,
+            "review_comments": readers.read_review_comments, "issue_comments": readers.read_issue_comments,
+            "settings": readers.read_settings}
+    parts = []
+    for export, reader in read.items():
+        key = readers.EXPORTS[export][1][-1]
+        path = landing.land_cut_off(spark, paths[export], key)
+        good = reader(spark, path).select(F.col(key).cast("string").alias("k"), F.lit(True).alias("is_good")).distinct()
+        bad = readers.read_quarantine(spark, path, export).select(F.col("document").alias("k"), F.lit(False).alias("is_good"))
+        parts.append(good.unionByName(bad).groupBy().agg(
+            F.lit(export).alias("export"), F.count(F.lit(1)).alias("documents"), F.count_if("is_good").alias("good"),
+            F.count_if(~F.col("is_good")).alias("quarantined")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 ARRIVALS = 4
 
 

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.stream import extract_delta, line_kind
+from reviewlake.functions.stream import with_line_parse
 from reviewlake.functions.text import estimate_tokens
 from reviewlake.operators.visits import SESSION, is_pr_page, parse_pr_url
 from reviewlake.session import use_rocksdb
@@ -63,15 +63,12 @@ def delta_stream(chunks: DataFrame, flush_tail: bool = False, timeout_ms: int |
     ``abandoned`` | ``malformed``), content, line (kept for dead letters only).
     ``sinks.write_delta_batches`` parts them into the two published tables.
     """
-    lines = assemble_stream(chunks, flush_tail, timeout_ms, marker_ttl_ms)
-    lk = line_kind("service", "line")
-    delta = extract_delta("service", "line")
+    lines = with_line_parse(assemble_stream(chunks, flush_tail, timeout_ms, marker_ttl_ms), "_kind", "_delta")
     kind = (F.when(F.col("kind") != "line", F.col("kind"))
-            .when(lk == "malformed", F.lit("malformed"))
-            .when((lk == "data") & (delta != ""), F.lit("delta")))
-    out = lines.select("request_id", "line_no", kind.alias("kind"),
-                       F.when(F.col("kind") == "line", delta).otherwise(F.lit("")).alias("content"),
-                       F.when((F.col("kind") == "line") & (lk == "malformed"), F.col("line")).alias("line"))
+            .when(F.col("_kind") == "malformed", F.lit("malformed"))
+            .when((F.col("_kind") == "data") & (F.col("_delta") != ""), F.lit("delta")))
+    out = lines.select("request_id", "line_no", kind.alias("kind"), F.coalesce(F.col("_delta"), F.lit("")).alias("content"),
+                       F.when(F.col("_kind") == "malformed", F.col("line")).alias("line"))
     return out.where(F.col("kind").isNotNull())
 
 

@@ -199,3 +199,63 @@ def test_null_event_is_malformed_and_falsy_content_is_no_delta(spark):
     got = spark.createDataFrame(rows, "service string, line string, kind string, delta string").select(
         "service", "line", "kind", "delta", line_kind("service", "line").alias("got_kind"), extract_delta("service", "line").alias("got_delta"))
     assert [r for r in got.collect() if (r.kind, r.delta) != (r.got_kind, r.got_delta)] == []
+
+
+def _odd_responses():
+    rng = random.Random(31)
+    rows = []
+    for r in range(6):
+        svc, mk = ("openai", a_line) if r % 2 else ("anthropic", b_lines)
+        lines = [mk("".join(rng.choice("ab é中😀\n") for _ in range(rng.randint(0, 40)))) for _ in range(8)]
+        lines.insert(3, "data: {cut " + "x" * 60)
+        lines.insert(5, "")
+        rows += cut(f"o{r}", svc, ("\n".join(lines) + ("\n" if r % 3 else "")).encode(), rng.choice([1, 3, 200]))
+    rows = [r for r in rows if not (r[0] == "o4" and r[1] in (0, 1, 7))]        # lost chunks
+    return rows + rows[::5] + [("none", 0, "openai", None, True), ("one", 0, "openai", bytearray(b"\n"), True)]
+
+
+def test_segments_give_the_same_lines_and_responses(spark):
+    df = spark.createDataFrame(_odd_responses(), SCHEMA).repartition(5)
+    for flush in (False, True):
+        lines = [sorted(tuple(r) for r in assemble_lines(df, flush, segment=s).collect()) for s in (1, 3, 10, 1 << 20)]
+        assert lines[0] == lines[1] == lines[2] == lines[3]
+        whole = [sorted(tuple(r) for r in assemble_responses(df, flush, segment=s).collect()) for s in (1, 2, 7, 1 << 20)]
+        assert whole[0] == whole[1] == whole[2] == whole[3]
+        parsed = classify_lines(assemble_lines(df, flush)).groupBy("request_id").agg(
+            F.count_if(F.col("kind") == "malformed").alias("bad"),
+            F.count_if((F.col("kind") == "data") & (F.col("content") != "")).alias("n")).collect()
+        by_lines = {r.request_id: (r.n, r.bad) for r in parsed}
+        assert {r[0]: (r[4], r[5]) for r in whole[0] if r[4] or r[5]} == {k: v for k, v in by_lines.items() if v != (0, 0)}
+
+
+def test_long_response_runs_over_many_tasks(spark):
+    """60,000 chunks of one response: no task holds a large part of them, in every shuffle of chunk data."""
+    chunks = spark.range(60_000).select(
+        F.when(F.col("id") < 60_000, "hot").otherwise("cold").alias("request_id"), F.col("id").cast("int").alias("seq"), F.lit("openai").alias("service"),
+        F.encode(F.concat(F.lit(a_line("x")), F.lit("\n")), "UTF-8").alias("payload"), (F.col("id") == 59_999).alias("is_last"))
+    got = assemble_responses(chunks, segment=1000)
+    r = got.first()
+    assert r.content == "x" * 60_000 and r.ended and r.chunk_count == 60_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(request_id") == 2 and "_seg#" in plan.split("Exchange hashpartitioning(")[2].split(")")[0]
+    spread = chunks.select(F.floor(F.col("seq") / 1000).alias("s"), "request_id").repartition(16, "request_id", "s").groupBy(
+        F.spark_partition_id()).count().collect()
+    assert max(x["count"] for x in spread) < 20_000
+
+
+def test_chunk_statistics_count_a_redelivered_chunk_once(spark):
+    from reviewlake.operators.streams import stream_status
+    df = spark.createDataFrame(_odd_responses(), SCHEMA)
+    cols = ["request_id", "service", "chunk_count", "total_bytes", "max_chunk_bytes", "ended"]
+    want = assemble_responses(df).select(*cols).collect()
+    assert sorted(tuple(r) for r in stream_status(df).select(*cols).collect()) == sorted(tuple(r) for r in want)
+    assert not {r.request_id: r.ended for r in want}["o4"]
+
+
+def test_frames_asked_for_only(spark):
+    deltas = spark.createDataFrame([("a", 2 * i, f"é{i}😀") for i in range(50)] + [("b", 1, "x")], "request_id string, line_no long, content string")
+    every = {(r.request_id, r.line_no): r.shown for r in running_content(deltas).collect()}
+    frames = spark.createDataFrame([("a", 6), ("a", 98), ("b", 7)], "request_id string, line_no long")
+    some = {(r.request_id, r.line_no): r.shown for r in running_content(deltas, frames).collect()}
+    assert some == {k: every[k] for k in (("a", 6), ("a", 98))}
+    assert every["a", 6] == "é0😀é1😀é2😀é3😀" and len(every) == 51
