@@ -103,21 +103,18 @@ LANGUAGES_JOINER = ", "
 SYSTEM_PROMPT = "你是一个专业的代码审查员，请用中文回复。"
 OPENAI_TEMPERATURE = 0.7
 ANTHROPIC_ENDPOINT = "https://api.anthropic.com/v1/messages"
-ANTHROPIC_VERSION = "2023-06-01"
 OPENAI_HEADER_NAMES = ["Content-Type", "Authorization"]
 ANTHROPIC_HEADER_NAMES = ["Content-Type", "x-api-key", "anthropic-version",
                           "anthropic-dangerous-direct-browser-access"]
 
 # Stream wire format.
 SSE_DATA_PREFIX = "data: "
-SSE_EVENT_PREFIX = "event: "
 SSE_DONE_LINE = "data: [DONE]"
 ANTHROPIC_DELTA_TYPE = "content_block_delta"
 CHARS_PER_TOKEN = 4
 
 # Code-hosting API paths and the submitted review event.
 FORGE_HOST = "github.com"
-API_BASE = "https://api.github.com"
 SUBMIT_EVENT = "COMMENT"
 
 # Options page bounds for the output token cap.
@@ -157,6 +154,10 @@ STATS_DELETIONS = "\n代码删除: -"
 STATS_TOKENS = "\nToken消耗: "
 # ------------------------------------------------------------ end fixed values
 
-# Our own keys and defaults (not part of the original).
+# Our own keys, defaults and messages (not part of the original).
+OWN_ERRORS = {
+    "MODEL_CALL_FAILED": "the model call failed",
+    "NO_RESPONSE": "no response has arrived",
+}
 DEFAULT_KEYS = ("owner", "repo", "pr_number")
 GHOST_AUTHOR = "ghost"

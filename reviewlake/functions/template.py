@@ -2,10 +2,12 @@
 
 ``mode='safe'`` (default) splits the *template* once into literal and token
 segments and expands only the first occurrence of each placeholder, so text
-inside a value is never re-scanned. ``mode='sequential'`` reproduces the
-original replace chain: first occurrence of each placeholder, in order, on
-the growing string (a value holding a later placeholder swallows it). In
-both modes values are inserted literally (no ``$`` interpretation).
+inside a value is never re-scanned and values are inserted as they are.
+``mode='sequential'`` reproduces the original replace chain: first occurrence of
+each placeholder, in order, on the growing string (a value holding a later
+placeholder swallows it), and ``$`` patterns of a value are expanded as the
+original's string replacement does: ``$$`` is a dollar sign, ``$&`` the
+placeholder, ``$``` and ``$'`` what stands before and after it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from reviewlake import constants as C
 from reviewlake.functions.text import col
 
 _TOKEN_RE = r"\{(files|diff|language|reviews)\}"
+_DOLLAR_RE = r"\$[$&`']"
 
 
 def fill_template(template, files, diff, language, reviews, mode: str = "safe") -> Column:
@@ -62,5 +65,15 @@ def _fill_sequential(tpl: Column, vals: list[Column]) -> Column:
 
 def _replace_first(s: Column, tok: Column, value: Column) -> Column:
     pos = F.position(tok, s)
-    return F.when(pos > 0, F.concat(F.substring(s, F.lit(1), pos - 1), value,
-                                    F.substr(s, pos + F.length(tok)))).otherwise(s)
+    before, after = F.substring(s, F.lit(1), pos - 1), F.substr(s, pos + F.length(tok))
+    shown = F.when(F.contains(value, F.lit("$")), _expanded(value, tok, before, after)).otherwise(value)
+    return F.when(pos > 0, F.concat(before, shown, after)).otherwise(s)
+
+
+def _expanded(value: Column, tok: Column, before: Column, after: Column) -> Column:
+    """``value`` with its ``$`` patterns replaced, from left to right."""
+    lits = F.split(value, _DOLLAR_RE, -1)
+    marks = F.regexp_extract_all(value, F.lit(_DOLLAR_RE), 0)
+    meant = lambda m: (F.when(m == "$$", F.lit("$")).when(m == "$&", tok).when(m == "$`", before)
+                       .when(m == "$'", after).otherwise(F.lit("")))
+    return F.array_join(F.zip_with(lits, marks, lambda t, m: F.concat(t, F.coalesce(meant(m), F.lit("")))), "")

@@ -45,7 +45,7 @@ def anti_join_ignored(files: DataFrame, patterns: DataFrame, tenant_col: str = "
     """Relational form of P7 against a (tenant, pattern) table.
 
     Equi on tenant plus the pattern test as residual: a hash join, never a
-    nested loop. The pattern side is broadcast only when its row count is proven small.
+    nested loop. No hint: Spark broadcasts the pattern side by its measured bytes.
     """
     p = patterns.select(F.col(tenant_col).alias("_pt"), F.col(pattern_col).alias("_pat"))
     cond = (F.col(tenant_col) == F.col("_pt")) & matches_ignore(F.col(name_col), F.col("_pat"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,34 +35,13 @@ def with_prompt_stats(df: DataFrame) -> DataFrame:
     })
 
 
-def build_prompts_for_patterns(files: DataFrame, feedback: DataFrame, keys,
-                               ignore_patterns: Sequence[str] | Column = (),
-                               template: str = C.INSTALL_DEFAULTS["review"]["reviewPrompt"],
-                               mode: str = "safe", feedback_mode: str = "all",
-                               bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """Flagship slice: one prompt per PR with a fixed ignore list and template.
-
-    files -> P7 -> A1 + A2 + A3 (one two-level aggregation); feedback -> A4;
-    left join on the PR key; F9 + F8. PRs left without files are not
-    reviewable and produce no row here.
-    """
-    k = keys_list(keys)
-    kept = files.where(~is_ignored("name", ignore_patterns))
-    fa = agg_file_texts(kept, k, bucket_rows)
-    tl = agg_timeline(feedback, k, feedback_mode)
-    out = fa.join(tl.select(*k, "timeline"), k, "left")
-    cols = prompt_columns(F.lit(template), mode)
-    return with_prompt_stats(out.withColumns(cols))
-
-
 def build_review_prompts(runs: DataFrame, settings: DataFrame, files: DataFrame,
                          feedback: DataFrame, keys, mode: str = "safe",
                          feedback_mode: str = "all",
                          bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Q2: one row per run: resolved settings, error code, prompt and stats.
 
-    Plan: J3 (settings broadcast behind a row check: one row per tenant) ->
-    P11 checks. Files are paired with the distinct (PR, tenant) of eligible
+    Plan: J3 -> P11 checks. Files are paired with the distinct (PR, tenant) of eligible
     runs - a PR-sized side, so no hint: AQE turns the join into a broadcast
     only when the measured side is small, else both sides shuffle on the PR
     key and AQE splits a skewed PR partition. Files are then filtered by the

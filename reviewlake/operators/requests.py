@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,34 +41,32 @@ def build_requests(prompts: DataFrame) -> DataFrame:
 COMPLETION_SCHEMA = "request_id string, completion string, error_message string"
 
 
-def with_completions(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.Series],
+def with_completions(requests: DataFrame, fn: Callable[[pd.DataFrame], Iterable[str | Exception]],
                      columns: tuple[str, ...] = ("request_id", "ai_service", "model", "body")) -> DataFrame:
     """Apply a caller-supplied completion function per Arrow batch.
 
-    ``fn`` gets a pandas frame of request rows and returns the completion
-    texts. A failing batch is retried row by row so one bad request only
-    marks its own row with ``error_message``; nothing leaves the executors.
+    ``fn`` gets a pandas frame of request rows and returns (or yields) one result per row, in
+    order: the completion text, or the exception of a call that failed. No row is handed
+    over twice: if ``fn`` raises, or ends early, the rows that already have a result keep it and the
+    others carry the error. Nothing leaves the executors.
     """
     cols = list(columns)
 
+    def told(e: Exception) -> str:
+        return f"{type(e).__name__}: {e}"
+
     def run(batches):
         for pdf in batches:
+            got: list[tuple[str | None, str | None]] = []
+            missing = "RuntimeError: no result for this row"
             try:
-                out = pd.Series(fn(pdf), index=pdf.index, dtype=object)
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            except Exception:  # noqa: BLE001 - per-row fallback below
-                vals, errs = [], []
-                for i in range(len(pdf)):
-                    try:
-                        vals.append(pd.Series(fn(pdf.iloc[i:i + 1])).iloc[0])
-                        errs.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        vals.append(None)
-                        errs.append(f"{type(e).__name__}: {e}")
-                out = pd.Series(vals, index=pdf.index, dtype=object)
-                err = pd.Series(errs, index=pdf.index, dtype=object)
-            yield pd.DataFrame({"request_id": pdf["request_id"], "completion": out,
-                                "error_message": err})
+                for result in fn(pdf):
+                    got.append((None, told(result)) if isinstance(result, Exception) else (result, None))
+            except Exception as e:  # noqa: BLE001 - becomes the remaining rows' error
+                missing = told(e)
+            got = got[:len(pdf)] + [(None, missing)] * (len(pdf) - len(got))
+            yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "completion": [g[0] for g in got],
+                                "error_message": [g[1] for g in got]})
 
     return requests.select(*cols).mapInPandas(run, COMPLETION_SCHEMA)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake import constants as C
 from reviewlake.functions.requests import api_endpoint
 from reviewlake.functions.text import col, or_default, render_review_html
 from reviewlake.operators.common import keys_list
+from reviewlake.operators.details import collect_files
+from reviewlake.operators.files import is_ignored
+from reviewlake.operators.settings import error_message
 
 
 def pr_summary_text(owner="owner", repo="repo", number="pr_number", title="title",
@@ -38,53 +41,93 @@ def review_stats_text(reviewed="reviewed_files", additions="additions", deletion
 COORDS = ("owner", "repo")
 
 
-def build_review_result(completions: DataFrame, runs: DataFrame, prs: DataFrame, keys) -> DataFrame:
-    """J4 + A8: completed text with the kept-file count and the PR's own totals.
+def _kept(files: DataFrame, runs: DataFrame, k: list[str]) -> DataFrame:
+    """The files of the runs' PRs that each tenant's ignore list leaves, once per (PR, tenant)."""
+    pairs = runs.select(*k, "tenant", "ignore_files").dropDuplicates([*k, "tenant"])
+    return files.join(pairs, k).where(~is_ignored("name", F.col("ignore_files"))).drop("ignore_files")
 
-    ``completions``: request_id, content, tokens. ``runs``: request_id, keys,
-    run_ts, file_count (files left after ignore filtering). ``prs``: keys,
-    additions, deletions, changed_files (unfiltered totals), and ``owner`` /
-    ``repo`` when present, which ride along so the outbox needs no second PR join.
+
+def run_results(runs: DataFrame, completions: DataFrame, prs: DataFrame, files: DataFrame, keys,
+                served_only: bool = False) -> DataFrame:
+    """J4 + A8: one row per run, as the original hands it to its caller.
+
+    ``runs``: request_id, keys, tenant, run_ts, ai_service, ignore_files and ``error_code`` of the
+    eligibility checks (``settings.flag_review_eligibility``). ``completions``: request_id,
+    content, tokens, and if there are such columns ``ended`` and ``error_message`` of a failed model call.
+    ``files``: projected files (P2). ``prs``: keys and the unfiltered totals.
+
+    Output: request_id, keys, run_ts, success, error_code, error_message, review, ended, files (kept
+    files in order), reviewed_files, summary (total_files, additions, deletions), token_usage, and owner
+    / repo if ``prs`` has them. A run that failed has its code and message and nothing else: not
+    eligible, no files left, unsupported service, failed call, or no response. A response that was cut
+    off is a result like any other, with what there is of it and ``ended`` false. ``served_only`` returns the
+    runs that have a completion and looks at no others' files.
     """
     k = keys_list(keys)
+    by = [*k, "tenant"]
+    has = lambda c: F.col(c) if c in completions.columns else F.lit(None)
+    done = completions.select("request_id", F.col("content").alias("_content"), F.col("tokens").alias("_tokens"),
+                              has("ended").cast("boolean").alias("_ended"), has("error_message").cast("string").alias("_failed"),
+                              F.lit(True).alias("_answered"))
+    r = runs.select("request_id", *by, "run_ts", "ai_service", "ignore_files", "error_code").join(
+        done, "request_id", "inner" if served_only else "left")
+    eligible = r.where(F.col("error_code").isNull())
+    arrays = collect_files(_kept(files, eligible.where(F.col("_content").isNotNull()), k), by)
+    r = r.join(arrays, by, "left")
+    count = F.coalesce(F.size("files"), F.lit(0))
+    if not served_only:
+        counts = _kept(files, eligible, k).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        r = r.join(counts, by, "left")
+        count = F.coalesce(F.col("_n"), F.lit(0))
+    supported = F.coalesce(F.col("ai_service").isin("openai", "anthropic"), F.lit(False))
+    code = F.coalesce(F.col("error_code"), F.when(count == 0, "NO_FILES"),
+                      F.when(F.col("_failed").isNotNull(), "MODEL_CALL_FAILED"),
+                      F.when(F.col("_content").isNull(), F.when(supported, "NO_RESPONSE").otherwise("UNSUPPORTED_SERVICE")))
     coords = [c for c in COORDS if c in prs.columns and c not in k]
-    r = runs.select("request_id", *k, "run_ts", F.col("file_count").alias("reviewed_files"))
-    p = prs.select(*k, F.col("changed_files").alias("total_files"), "additions", "deletions", *coords)
-    return (completions.join(r, "request_id", "inner").join(p, k, "inner")
-            .select("request_id", *k, "run_ts", F.col("content").alias("review"),
-                    F.coalesce(F.col("reviewed_files"), F.lit(0)).cast("bigint").alias("reviewed_files"),
-                    "total_files", "additions", "deletions", "tokens", *coords))
+    p = prs.select(*k, F.struct(F.col("changed_files").alias("total_files"), "additions", "deletions").alias("_summary"), *coords)
+    r = r.join(p, k, "left").withColumn("_code", code).withColumn("_count", count.cast("bigint"))
+    ok = F.col("_code").isNull()
+    return r.select("request_id", *k, "run_ts", ok.alias("success"), F.col("_code").alias("error_code"),
+                    F.coalesce(F.when(F.col("_code") == "MODEL_CALL_FAILED", F.col("_failed")), error_message("_code")).alias("error_message"),
+                    *[F.when(ok, F.col(c)).alias(n) for c, n in (
+                        ("_content", "review"), ("_ended", "ended"), ("files", "files"), ("_count", "reviewed_files"),
+                        ("_summary", "summary"), ("_tokens", "token_usage"))], *coords)
 
 
 def latest_review(results: DataFrame, keys) -> DataFrame:
     """The newest result per PR replaces earlier ones.
 
-    Written as ``max_by`` over (run_ts, request_id) instead of a ranking
-    window: the aggregate combines map-side, so a PR with very many runs
-    never lands whole in one task.
+    Keys are reduced first (a ``max`` of (run_ts, request_id) with map-side combine: a PR with very
+    many runs never lands whole in one task), then the chosen rows are taken by a semi join, so
+    that no review text is in the aggregate. A request id names one result of its PR.
     """
     k = keys_list(keys)
-    rest = [c for c in results.columns if c not in k]
-    order = F.struct(F.col("run_ts"), F.col("request_id"))
-    best = F.max_by(F.struct(*rest), order).alias("_best")
-    return results.groupBy(*k).agg(best).select(*k, *[F.col("_best")[c].alias(c) for c in rest])
-
-
-def latest_review_window(results: DataFrame, keys) -> DataFrame:
-    """W2 as the ranking window (same result; kept for comparison)."""
-    k = keys_list(keys)
-    w = Window.partitionBy(*k).orderBy(F.col("run_ts").desc(), F.col("request_id").desc())
-    return results.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    newest = results.groupBy(*k).agg(F.max(F.struct("run_ts", "request_id")).alias("_best")).select(
+        *[F.col(c).alias(f"_{c}") for c in k], F.col("_best.run_ts").alias("_ts"), F.col("_best.request_id").alias("_id"))
+    match = F.col("request_id").eqNullSafe(F.col("_id")) & F.col("run_ts").eqNullSafe(F.col("_ts"))
+    for c in k:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return results.join(newest, match, "left_semi")
 
 
-def build_review_results(completions: DataFrame, runs: DataFrame, prs: DataFrame, keys,
+def build_review_results(completions: DataFrame, runs: DataFrame, prs: DataFrame, files: DataFrame, keys,
                          escape_html: bool = False) -> DataFrame:
-    """Q5: latest result per PR with HTML rendering (F10) and the stats text."""
-    res = latest_review(build_review_result(completions, runs, prs, keys), keys)
-    return res.withColumns({
-        "review_html": render_review_html("review", escape=escape_html),
-        "stats_text": review_stats_text(),
-    })
+    """Q5: latest successful result per PR with HTML rendering (F10) and the stats text.
+
+    Inputs as for ``run_results``; only the files of runs that have a response are looked at.
+    """
+    k = keys_list(keys)
+    coords = [c for c in COORDS if c in prs.columns and c not in k]
+    # the newest run is chosen on keys; files, totals and texts are joined to those runs alone
+    answered = runs.where(F.col("error_code").isNull()).join(
+        completions.where(F.col("content").isNotNull()).select("request_id"), "request_id", "left_semi")
+    files_left = _kept(files, answered, k).select(*k, "tenant").distinct()
+    newest = latest_review(answered.join(files_left, [*k, "tenant"], "left_semi"), k)
+    res = run_results(newest, completions, prs, files, k, served_only=True).where("success")
+    return res.select("request_id", *k, "run_ts", "review", "reviewed_files", "summary.*",
+                      F.col("token_usage").alias("tokens"), "files", "ended", *coords).withColumns({
+                          "review_html": render_review_html("review", escape=escape_html),
+                          "stats_text": review_stats_text()})
 
 
 def build_submissions(results: DataFrame, prs: DataFrame, keys) -> DataFrame:

@@ -127,7 +127,7 @@ def flag_review_eligibility(runs: DataFrame, file_count_col: str | None = None)
 
 def error_message(code: Column | str) -> Column:
     items = []
-    for k, v in C.ERRORS.items():
+    for k, v in (C.ERRORS | C.OWN_ERRORS).items():
         items += [F.lit(k), F.lit(v)]
     c = F.col(code) if isinstance(code, str) else code
     return F.element_at(F.create_map(*items), c)

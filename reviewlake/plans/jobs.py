@@ -47,10 +47,15 @@ def assemble_responses(chunks: DataFrame, flush_tail: bool = False) -> DataFrame
     return streams.assemble_responses(chunks, flush_tail)
 
 
-def build_review_results(completions, runs_with_counts, prs, keys: Sequence[str] = KEYS,
+def run_results(runs, completions, prs, files, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per run, failed ones included (``results.run_results``)."""
+    return results.run_results(runs, completions, prs, project_files(files, list(keys)), list(keys))
+
+
+def build_review_results(completions, runs, prs, files, keys: Sequence[str] = KEYS,
                          escape_html: bool = False) -> DataFrame:
-    """Q5: J4 + A8 + W2 + F10 + F25."""
-    return results.build_review_results(completions, runs_with_counts, prs, list(keys), escape_html)
+    """Q5: Q4, J4, A8, W2, F10, F25."""
+    return results.build_review_results(completions, runs, prs, project_files(files, list(keys)), list(keys), escape_html)
 
 
 def build_submissions(review_results, prs, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -85,11 +90,14 @@ def run_request_batch(spark: SparkSession, exports: dict[str, str], settings_pat
     return reqs
 
 
-def run_results_batch(spark: SparkSession, chunks_path: str, runs_with_counts: DataFrame,
-                      prs: DataFrame, outbox: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Response chunks -> latest review per PR -> outbox (K2, idempotent)."""
+def run_results_batch(spark: SparkSession, chunks_path: str, runs: DataFrame, settings_flat: DataFrame,
+                      prs: DataFrame, files: DataFrame, outbox: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Response chunks + runs -> latest review per PR -> outbox (K2, idempotent).
+
+    A response that was cut off counts with what there is of it, as in ``run_results``.
+    """
     chunks = readers.read_stream_chunks(spark, chunks_path)
-    done = assemble_responses(chunks).where("ended")
-    res = build_review_results(done.select("request_id", "content", "tokens"), runs_with_counts,
-                               prs, keys)
+    done = assemble_responses(chunks).select("request_id", "content", "tokens", "ended")
+    flagged = settings.flag_review_eligibility(settings.resolve_run_settings(runs, settings_flat))
+    res = build_review_results(done, flagged, prs, files, keys)
     return writers.write_submissions(spark, build_submissions(res, prs, keys), outbox)

@@ -72,15 +72,31 @@ Q2_COLUMNS = ["request_id", "pr_number", "tenant", "ai_service", "max_tokens", "
               "file_count", "languages", "prompt", "diff_length", "reviews_length", "total_length"]
 
 
-def _q2_ctes() -> str:
-    """Oracle CTEs ending in ``t4``: one row per run with its filled prompt (``p4``)."""
-    steps = []
-    prev = "h"
-    for i, (tok, val) in enumerate(zip(C.PLACEHOLDERS, ["files_list", "diffs", "languages", "history"])):
-        cur = f"t{i + 1}"
+def _filled(mode: str) -> list[str]:
+    """Oracle CTEs from ``h`` to ``t4``: the prompt ``p4``, in either template mode."""
+    values = ["files_list", "diffs", "languages", "history"]
+    if mode == "safe":
+        # the template's own placeholders become marks before any value is put in
+        steps, prev = [f"m0 AS (SELECT *, {O.replace_first('review_prompt', C.PLACEHOLDERS[0], 'chr(1)')} AS m1 FROM h)"], "m0"
+        for i, tok in enumerate(C.PLACEHOLDERS[1:], 1):
+            steps.append(f"m{i} AS (SELECT *, {O.replace_first(f'm{i}', tok, f'chr({i + 1})')} AS m{i + 1} FROM {prev})")
+            prev = f"m{i}"
+        filled = f"m{len(values)}"
+        for i, v in enumerate(values):
+            filled = f"replace({filled}, chr({i + 1}), {v})"
+        return [*steps, f"t4 AS (SELECT *, {filled} AS p4 FROM {prev})"]
+    steps, prev = [], "h"
+    for i, (tok, v) in enumerate(zip(C.PLACEHOLDERS, values)):
         src = "review_prompt" if i == 0 else f"p{i}"
-        steps.append(f"{cur} AS (SELECT *, {O.replace_first(src, tok, val)} AS p{i + 1} FROM {prev})")
-        prev = cur
+        shown = f"replace(replace(replace({v}, '$$', chr(1)), '$&', {O.q(tok)}), chr(1), '$')"
+        steps.append(f"t{i + 1} AS (SELECT *, {O.replace_first(src, tok, shown)} AS p{i + 1} FROM {prev})")
+        prev = f"t{i + 1}"
+    return steps
+
+
+def _q2_ctes(mode: str = "safe") -> str:
+    """Oracle CTEs ending in ``t4``: one row per run with its filled prompt (``p4``)."""
+    steps = _filled(mode)
     body = f"""
 , settings AS ({O.settings_flat()}),
 rs AS (SELECT r.request_id, r.pr_number, r.tenant, r.run_ts,
@@ -108,8 +124,8 @@ h AS (SELECT *, CASE WHEN error_code IS NULL THEN {O.history(f"coalesce(timeline
     return fx.derived_cte(["runs", "settings_raw", "changed_files", "feedback"]) + body
 
 
-def _q2_sql() -> str:
-    return _q2_ctes() + f"""
+def _q2_sql(mode: str = "safe") -> str:
+    return _q2_ctes(mode) + f"""
 SELECT request_id, pr_number, tenant, ai_service, max_tokens, error_code, file_count, languages,
   CASE WHEN error_code IS NULL THEN p4 END AS prompt,
   {O.js_length('diffs')} AS diff_length, {O.js_length('history')} AS reviews_length,
@@ -249,20 +265,24 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.build_requests(_prompts(spark, sf_dir))
 
 
-@register("q3_build_requests", _q2_ctes() + f"""
+_REQUESTS_SQL = _q2_ctes() + f"""
 , q AS (SELECT *, coalesce(error_code, CASE WHEN coalesce(ai_service IN ('openai', 'anthropic'), false)
-                    THEN NULL ELSE 'UNSUPPORTED_SERVICE' END) AS err FROM t4)
-SELECT request_id, ai_service, err AS error_code,
-  CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN coalesce(nullif(openai_endpoint, ''), {O.q(C.INSTALL_DEFAULTS['openai']['apiEndpoint'])})
-    ELSE {O.q(C.ANTHROPIC_ENDPOINT)} END END AS endpoint,
-  CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN coalesce(nullif(openai_model, ''), {O.q(C.INSTALL_DEFAULTS['openai']['model'])})
-    ELSE anthropic_model END END AS model,
-  CASE WHEN err IS NULL THEN CAST(max_tokens AS BIGINT) END AS body_max_tokens,
-  CASE WHEN err IS NULL THEN {O.q(C.SYSTEM_PROMPT)} END AS body_system,
-  CASE WHEN err IS NULL THEN {O.js_length('p4')} END AS body_prompt_length,
-  CASE WHEN err IS NULL AND ai_service = 'openai' THEN '0.7' END AS body_temperature,
-  CASE WHEN err IS NULL THEN 'true' END AS body_stream,
-  CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN 2 ELSE 1 END END AS n_messages,
+                    THEN NULL ELSE 'UNSUPPORTED_SERVICE' END) AS err FROM t4),
+r AS (SELECT *, CASE WHEN err IS NULL THEN CASE ai_service
+      WHEN 'openai' THEN coalesce(nullif(openai_endpoint, ''), {O.q(C.INSTALL_DEFAULTS['openai']['apiEndpoint'])})
+      ELSE {O.q(C.ANTHROPIC_ENDPOINT)} END END AS endpoint,
+    CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN coalesce(nullif(openai_model, ''), {O.q(C.INSTALL_DEFAULTS['openai']['model'])})
+      ELSE anthropic_model END END AS model FROM q),
+req AS (SELECT *, CASE WHEN err IS NULL THEN CASE ai_service
+      WHEN 'openai' THEN CAST(to_json({{'model': model, 'messages': [{{'role': 'system', 'content': {O.q(C.SYSTEM_PROMPT)}}}, {{'role': 'user', 'content': p4}}],
+        'max_tokens': max_tokens, 'temperature': CAST(0.7 AS DOUBLE), 'stream': true}}) AS VARCHAR)
+      ELSE CAST(to_json({{'model': model, 'messages': [{{'role': 'user', 'content': p4}}], 'max_tokens': max_tokens,
+        'system': {O.q(C.SYSTEM_PROMPT)}, 'stream': true}}) AS VARCHAR) END END AS body FROM r)
+"""
+
+
+@register("q3_build_requests", _REQUESTS_SQL + f"""
+SELECT request_id, ai_service, err AS error_code, endpoint, model, sha256(body) AS body_sha256,
   CASE WHEN ai_service = 'openai' THEN CAST(coalesce(openai_endpoint = {O.q(C.INSTALL_DEFAULTS['openai']['apiEndpoint'])}, false) AS VARCHAR)
     ELSE 'N/A' END AS use_default_endpoint,
   coalesce(CASE WHEN ai_service = 'openai' THEN openai_model = {O.q(C.INSTALL_DEFAULTS['openai']['model'])}
@@ -270,37 +290,15 @@ SELECT request_id, ai_service, err AS error_code,
   CASE WHEN err IS NULL THEN CASE ai_service WHEN 'openai' THEN {len(C.OPENAI_HEADER_NAMES)}
     ELSE {len(C.ANTHROPIC_HEADER_NAMES)} END END AS n_headers,
   CASE WHEN err IS NULL THEN {O.js_length('p4')} END AS audit_prompt_length
-FROM q""")
+FROM req""")
 def q3_build_requests(spark, sf_dir):
-    r = _requests(spark, sf_dir)
-    b = F.col("body")
-    last = F.when(F.col("ai_service") == "openai", "$.messages[1].content").otherwise("$.messages[0].content")
-    return r.select(
-        "request_id", "ai_service", "error_code", "endpoint", "model",
-        F.get_json_object(b, "$.max_tokens").cast("bigint").alias("body_max_tokens"),
-        F.when(F.col("ai_service") == "openai", F.get_json_object(b, "$.messages[0].content"))
-        .otherwise(F.get_json_object(b, "$.system")).alias("body_system"),
-        js_length(F.when(F.col("ai_service") == "openai", F.get_json_object(b, "$.messages[1].content"))
-                  .otherwise(F.get_json_object(b, "$.messages[0].content"))).alias("body_prompt_length"),
-        F.get_json_object(b, "$.temperature").alias("body_temperature"),
-        F.get_json_object(b, "$.stream").alias("body_stream"),
-        F.json_array_length(F.get_json_object(b, "$.messages")).alias("n_messages"),
-        "use_default_endpoint", "use_default_model",
-        F.size("header_names").alias("n_headers"),
+    """Request rows; the bodies are compared byte by byte, as hashes."""
+    return _requests(spark, sf_dir).select(
+        "request_id", "ai_service", "error_code", "endpoint", "model", F.sha2("body", 256).alias("body_sha256"),
+        "use_default_endpoint", "use_default_model", F.size("header_names").alias("n_headers"),
         F.element_at("messages_audit", -1)["content_length"].alias("audit_prompt_length"))
 
 
-@register("x1_with_completions", "SELECT request_id, 'reviewed ' || request_id || ' by ' || coalesce(model, '') "
-         "AS completion, CAST(NULL AS VARCHAR) AS error_message FROM (" + ORACLE["q3_build_requests"]
-         + ") q3 WHERE error_code IS NULL")
-def x1_with_completions(spark, sf_dir):
-    """X1 with a deterministic stand-in for the model call (no network)."""
-    def stub(pdf):
-        return "reviewed " + pdf["request_id"] + " by " + pdf["model"].fillna("")
-    r = _requests(spark, sf_dir).where(F.col("body").isNotNull())
-    return requests.with_completions(r, stub)
-
-
 # ---------------------------------------------------------------- Q4 streams
 def _chunks(spark, sf_dir):
     return fx.stream_chunks(spark, sf_dir).select(*streams.CHUNK_COLUMNS)
@@ -401,13 +399,51 @@ def a9_stream_stats(spark, sf_dir):
 
 # ---------------------------------------------------------------- Q5 / Q6 results
 def _completions(spark, sf_dir):
-    return streams.assemble_responses(_chunks(spark, sf_dir)).select("request_id", "content", "tokens")
+    return streams.assemble_responses(_chunks(spark, sf_dir)).select("request_id", "content", "tokens", "ended")
+
+
+def _flagged_runs(t: Tables) -> DataFrame:
+    return st.flag_review_eligibility(st.resolve_run_settings(t.runs, t.settings))
 
 
 def _results(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    ok_runs = _prompts(spark, sf_dir).where(F.col("error_code").isNull())
-    return results.build_review_results(_completions(spark, sf_dir), ok_runs, t.pull_requests, KEYS)
+    return results.build_review_results(_completions(spark, sf_dir), _flagged_runs(t), t.pull_requests, t.files, KEYS)
+
+
+def _run_results_sql() -> str:
+    """Oracle CTEs ending in ``res``: one row per run, failed ones included."""
+    tables = ["runs", "settings_raw", "changed_files", "feedback"]
+    return fx.derived_cte([*tables, "pull_requests"]) + _q2_ctes()[len(fx.derived_cte(tables)):] + f"""
+, resp AS (SELECT {_RESP_ID} AS response_id, text AS review, CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens
+           FROM conversations WHERE role = 'assistant'),
+names AS (SELECT pr_number, tenant, string_agg(filename, '|' ORDER BY pos) AS file_names FROM kept GROUP BY pr_number, tenant),
+res AS (SELECT t4.*, resp.review, resp.tokens, names.file_names, p.changed_files AS total_files, p.additions, p.deletions, p.owner, p.repo,
+          coalesce(t4.error_code, CASE WHEN resp.response_id IS NULL THEN CASE WHEN coalesce(t4.ai_service IN ('openai', 'anthropic'), false)
+            THEN 'NO_RESPONSE' ELSE 'UNSUPPORTED_SERVICE' END END) AS code
+        FROM t4 LEFT JOIN resp ON response_id = t4.request_id LEFT JOIN pull_requests p ON p.pr_number = t4.pr_number
+        LEFT JOIN names ON names.pr_number = t4.pr_number AND names.tenant = t4.tenant)
+"""
+
+
+_MESSAGES = "CASE code " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in (C.ERRORS | C.OWN_ERRORS).items()) + " END"
+
+
+@register("j4_run_results", _run_results_sql() + f"""
+SELECT request_id, pr_number, run_ts, code IS NULL AS success, code AS error_code, {_MESSAGES} AS error_message,
+  CASE WHEN code IS NULL THEN review END AS review, CASE WHEN code IS NULL THEN file_names END AS file_names,
+  CASE WHEN code IS NULL THEN CAST(file_count AS BIGINT) END AS reviewed_files,
+  CASE WHEN code IS NULL THEN total_files END AS total_files, CASE WHEN code IS NULL THEN additions END AS additions,
+  CASE WHEN code IS NULL THEN deletions END AS deletions, CASE WHEN code IS NULL THEN tokens END AS token_usage,
+  CASE WHEN code IS NULL THEN true END AS ended
+FROM res""")
+def j4_run_results(spark, sf_dir):
+    """Every run with its nested result, or with what went wrong."""
+    t = Tables(spark, sf_dir)
+    r = results.run_results(_flagged_runs(t), _completions(spark, sf_dir), t.pull_requests, t.files, KEYS)
+    return r.select("request_id", "pr_number", "run_ts", "success", "error_code", "error_message", "review",
+                    F.array_join(F.transform("files", lambda x: x["name"]), "|").alias("file_names"), "reviewed_files",
+                    "summary.*", "token_usage", "ended")
 
 
 def _results_sql() -> str:
@@ -416,29 +452,23 @@ def _results_sql() -> str:
     stats = ("'审查文件数: ' || CAST(reviewed_files AS VARCHAR) || chr(10) || '代码增加: +' || "
              "CAST(additions AS VARCHAR) || chr(10) || '代码删除: -' || CAST(deletions AS VARCHAR) || "
              "chr(10) || 'Token消耗: ' || coalesce(CAST(nullif(tokens, 0) AS VARCHAR), 'N/A')")
-    return fx.derived_cte(["runs", "settings_raw", "changed_files", "feedback", "pull_requests"]) + \
-        _q2_ctes()[len(fx.derived_cte(["runs", "settings_raw", "changed_files", "feedback"])):] + f"""
-, resp AS (SELECT {_RESP_ID} AS request_id, text AS review,
-             CAST(floor(({O.js_length('text')} + 2) / 4) AS BIGINT) AS tokens
-           FROM conversations WHERE role = 'assistant'),
-res AS (SELECT resp.request_id, t4.pr_number, t4.run_ts, resp.review, CAST(t4.file_count AS BIGINT) AS reviewed_files,
-          p.changed_files AS total_files, p.additions, p.deletions, resp.tokens, p.owner, p.repo
-        FROM resp JOIN t4 ON resp.request_id = t4.request_id AND t4.error_code IS NULL
-        JOIN pull_requests p ON p.pr_number = t4.pr_number),
-latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pr_number ORDER BY run_ts DESC, request_id DESC) AS rn
-           FROM res) WHERE rn = 1),
-out AS (SELECT request_id, pr_number, run_ts, review, reviewed_files, total_files, additions, deletions, tokens,
+    return _run_results_sql() + f"""
+, latest AS (SELECT *, CAST(file_count AS BIGINT) AS reviewed_files FROM (
+             SELECT *, row_number() OVER (PARTITION BY pr_number ORDER BY run_ts DESC, request_id DESC) AS rn
+             FROM res WHERE code IS NULL) WHERE rn = 1),
+out AS (SELECT request_id, pr_number, run_ts, review, reviewed_files, total_files, additions, deletions, tokens, file_names,
           {html} AS review_html, {stats} AS stats_text, owner, repo FROM latest)
 """
 
 
 @register("q5_review_results", _results_sql() + """
 SELECT request_id, pr_number, run_ts, review, reviewed_files, total_files, additions, deletions, tokens,
-  review_html, stats_text FROM out""")
+  file_names, review_html, stats_text FROM out""")
 def q5_review_results(spark, sf_dir):
     return _results(spark, sf_dir).select(
         "request_id", "pr_number", "run_ts", "review", "reviewed_files", "total_files", "additions",
-        "deletions", "tokens", "review_html", "stats_text")
+        "deletions", "tokens", F.array_join(F.transform("files", lambda x: x["name"]), "|").alias("file_names"),
+        "review_html", "stats_text")
 
 
 @register("q6_submissions", _results_sql() + """
@@ -591,7 +621,7 @@ def p12_settings_quality(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- template modes, M3 / M5
-@register("q2_review_prompts_sequential", _q2_sql())
+@register("q2_review_prompts_sequential", _q2_sql("sequential"))
 def q2_review_prompts_sequential(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return prompts.build_review_prompts(t.runs, t.settings, t.files, t.unified_feedback("all"), KEYS,
@@ -797,13 +827,15 @@ def s8_read_page_visits(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sinks K1 / K2
-@register("k1_write_requests", _q2_ctes() + """
-SELECT request_id, ai_service AS service FROM t4
-WHERE error_code IS NULL AND ai_service IN ('openai', 'anthropic')""")
+@register("k1_write_requests", _REQUESTS_SQL + """
+SELECT request_id, ai_service AS service, sha256('{"custom_id":' || CAST(to_json(request_id) AS VARCHAR) || ',"url":'
+  || CAST(to_json(endpoint) AS VARCHAR) || ',"body":' || body || '}') AS line_sha256
+FROM req WHERE err IS NULL""")
 def k1_write_requests(spark, sf_dir):
+    """The written lines, byte by byte as hashes."""
     path = writers.write_requests(_requests(spark, sf_dir), scratch_path(spark, "requests"))
     back = spark.read.text(path)
-    return back.select(F.get_json_object("value", "$.custom_id").alias("request_id"), "service")
+    return back.select(F.get_json_object("value", "$.custom_id").alias("request_id"), "service", F.sha2("value", 256).alias("line_sha256"))
 
 
 @register("k2_write_submissions", ORACLE["q6_submissions"])

@@ -48,11 +48,6 @@ STREAM_CHUNK = T.StructType([f("request_id", S, False), f("seq", I, False), f("s
 
 PAGE_VISIT = T.StructType([f("tab_id", L), f("page_load_id", L), f("seq", L), f("ts", TS), f("url", S)])
 
-FLAT_SETTINGS = T.StructType([
-    f("tenant", S), f("has_token", B), f("has_openai_key", B), f("has_anthropic_key", B),
-    f("ai_service", S), f("openai_endpoint", S), f("openai_model", S), f("anthropic_model", S),
-    f("review_prompt", S), f("max_tokens", I), f("ignore_files", T.ArrayType(S))])
-
 DELTA = T.StructType([f("request_id", S), f("line_no", L), f("content", S), f("done", B)])
 
 DEAD_LETTER = T.StructType([f("request_id", S), f("line_no", L), f("kind", S), f("line", S)])

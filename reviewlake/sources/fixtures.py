@@ -52,7 +52,9 @@ SELECT l_orderkey AS pr_number, l_linenumber, l_partkey, l_suppkey, l_quantity,
            ELSE CASE WHEN l_partkey % 4 = 1 THEN '.' ELSE '' END END) END AS filename,
   CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'removed' ELSE 'modified' END AS status,
   CAST(l_quantity AS INT) AS additions, CAST(round(l_discount * 100) AS INT) AS deletions,
-  CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('@@ -1 +1 @@', chr(10), '+', p_name) END AS patch,
+  CASE WHEN l_linenumber = 7 THEN NULL
+       WHEN l_partkey % 40 = 1 THEN concat('@@ -1 +1 @@', chr(10), '+{language} costs $$ or $& ', p_name)
+       ELSE concat('@@ -1 +1 @@', chr(10), '+', p_name) END AS patch,
   concat('https://github.com/blob/', CAST(l_orderkey AS STRING), '/', CAST(l_partkey AS STRING)) AS blob_url
 FROM lineitem JOIN part ON l_partkey = p_partkey) li
 """

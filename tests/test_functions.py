@@ -57,8 +57,12 @@ def test_template_modes(spark):
         assert fill("no placeholders", mode) == "no placeholders"
         assert fill("{files}|{diff}|{language}|{reviews}", mode) == "F|D|L|R"
         assert fill("{files} and {files}", mode) == "F and {files}"
-        assert fill("{diff}", mode, diff="$& $1 \\ $$") == "$& $1 \\ $$"
         assert fill("", mode) == ""
+    # patterns of a value: kept in safe mode, expanded as by the original's string replacement in sequential mode
+    assert fill("{diff}", "safe", diff="$& $1 \\ $$") == "$& $1 \\ $$"
+    assert fill("a{diff}b", "sequential", diff="$& $1 \\ $$ $` $' $$& $") == "a{diff} $1 \\ $ a b $& $b"
+    assert fill("{files}{diff}", "sequential", files="$'", diff="x") == "x{diff}"
+    assert fill("{diff}", "sequential", diff="$") == "$"
     # a value holding a later placeholder: safe keeps it literal, sequential swallows it
     assert fill("{files} {diff}", "safe", files="has {diff}") == "has {diff} D"
     assert fill("{files} {diff}", "sequential", files="has {diff}") == "has D {diff}"

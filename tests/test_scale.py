@@ -80,13 +80,19 @@ def test_visits_bucketed_equals_window(spark):
 
 
 def test_latest_review_agg_equals_window(spark):
-    from reviewlake.operators.results import latest_review, latest_review_window
+    from pyspark.sql import Window
+
+    from reviewlake.operators.results import latest_review
     rows = [(1, f"r{i}", dt.datetime(2024, 1, 1 + i % 3), f"t{i}") for i in range(50)] + \
            [(2, "a", dt.datetime(2024, 1, 1), "x"), (2, "b", dt.datetime(2024, 1, 1), "y")]
     df = spark.createDataFrame(rows, "pr_number long, request_id string, run_ts timestamp, review string")
     a = sorted(latest_review(df, ["pr_number"]).select("pr_number", "request_id", "review").collect())
-    b = sorted(latest_review_window(df, ["pr_number"]).select("pr_number", "request_id", "review").collect())
+    w = Window.partitionBy("pr_number").orderBy(F.col("run_ts").desc(), F.col("request_id").desc())
+    b = sorted(df.withColumn("n", F.row_number().over(w)).where("n = 1").select("pr_number", "request_id", "review").collect())
     assert a == b
+    # no text in the aggregate's buffer
+    plan = latest_review(df, ["pr_number"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(struct(run_ts" in plan and all("review" not in x for x in plan.split("\n") if "Aggregate" in x)
 
 
 def _no_broadcast(spark):
