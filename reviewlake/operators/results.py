@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake import constants as C
@@ -72,7 +72,7 @@ def run_results(runs: DataFrame, completions: DataFrame, prs: DataFrame, files:
     r = runs.select("request_id", *by, "run_ts", "ai_service", "ignore_files", "error_code").join(
         done, "request_id", "inner" if served_only else "left")
     eligible = r.where(F.col("error_code").isNull())
-    arrays = collect_files(_kept(files, eligible.where(F.col("_content").isNotNull()), k), by)
+    arrays = collect_files(_kept(files, eligible.where("_answered"), k), by)
     r = r.join(arrays, by, "left")
     count = F.coalesce(F.size("files"), F.lit(0))
     if not served_only:
@@ -97,17 +97,13 @@ def run_results(runs: DataFrame, completions: DataFrame, prs: DataFrame, files:
 def latest_review(results: DataFrame, keys) -> DataFrame:
     """The newest result per PR replaces earlier ones.
 
-    Keys are reduced first (a ``max`` of (run_ts, request_id) with map-side combine: a PR with very
-    many runs never lands whole in one task), then the chosen rows are taken by a semi join, so
-    that no review text is in the aggregate. A request id names one result of its PR.
+    A ranking window kept at its first row: Spark limits each task's rows to one per PR before they
+    are exchanged (``WindowGroupLimit``), so a PR with very many runs never lands whole in one
+    task, no text sits in an aggregate's buffer, and the results are computed once.
     """
     k = keys_list(keys)
-    newest = results.groupBy(*k).agg(F.max(F.struct("run_ts", "request_id")).alias("_best")).select(
-        *[F.col(c).alias(f"_{c}") for c in k], F.col("_best.run_ts").alias("_ts"), F.col("_best.request_id").alias("_id"))
-    match = F.col("request_id").eqNullSafe(F.col("_id")) & F.col("run_ts").eqNullSafe(F.col("_ts"))
-    for c in k:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return results.join(newest, match, "left_semi")
+    w = Window.partitionBy(*k).orderBy(F.col("run_ts").desc(), F.col("request_id").desc())
+    return results.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def build_review_results(completions: DataFrame, runs: DataFrame, prs: DataFrame, files: DataFrame, keys,
@@ -118,12 +114,7 @@ def build_review_results(completions: DataFrame, runs: DataFrame, prs: DataFrame
     """
     k = keys_list(keys)
     coords = [c for c in COORDS if c in prs.columns and c not in k]
-    # the newest run is chosen on keys; files, totals and texts are joined to those runs alone
-    answered = runs.where(F.col("error_code").isNull()).join(
-        completions.where(F.col("content").isNotNull()).select("request_id"), "request_id", "left_semi")
-    files_left = _kept(files, answered, k).select(*k, "tenant").distinct()
-    newest = latest_review(answered.join(files_left, [*k, "tenant"], "left_semi"), k)
-    res = run_results(newest, completions, prs, files, k, served_only=True).where("success")
+    res = latest_review(run_results(runs, completions, prs, files, k, served_only=True).where("success"), k)
     return res.select("request_id", *k, "run_ts", "review", "reviewed_files", "summary.*",
                       F.col("token_usage").alias("tokens"), "files", "ended", *coords).withColumns({
                           "review_html": render_review_html("review", escape=escape_html),

@@ -6,14 +6,35 @@ the query's checkpoint). A key's variables are read and written once per micro-b
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LINE_SCHEMA = "request_id string, service string, line_no long, line string, kind string"
-HEAD_SCHEMA = ("service string, next_seq int, next_line long, carry binary, "
-               "early_seq array<int>, early_payload array<binary>, early_last array<boolean>")
+HEAD_SCHEMA = "service string, next_seq int, next_line long, carry binary, early binary"
+#: one early chunk in the state: its number, whether it is the last, the length of its payload, the payload
+_CHUNK = "<i?I"
+
+
+def packed(early: dict[int, tuple[bytes, bool]]) -> bytes:
+    """Early chunks as one value: a list of structs would be converted element by element on every write."""
+    parts = []
+    for seq in sorted(early):
+        payload, last = early[seq]
+        parts += (struct.pack(_CHUNK, seq, last, len(payload)), payload)
+    return b"".join(parts)
+
+
+def unpacked(value: bytes) -> dict[int, tuple[bytes, bool]]:
+    out, at, head = {}, 0, struct.calcsize(_CHUNK)
+    while at < len(value):
+        seq, last, size = struct.unpack_from(_CHUNK, value, at)
+        at += head
+        out[seq] = (value[at:at + size], last)
+        at += size
+    return out
 
 
 class LineAssembler(StatefulProcessor):
@@ -46,12 +67,12 @@ class LineAssembler(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = list(rows)
-        if self.closed.exists():
+        head = self.head.get()
+        if head is not None:
+            service, next_seq, next_line, carry, held = head
+            early, carry = unpacked(bytes(held or b"")), bytes(carry or b"")
+        elif self.closed.exists():
             return
-        if self.head.exists():
-            service, next_seq, next_line, carry, seqs, payloads, lasts = self.head.get()
-            early = {s: (bytes(p), bool(last)) for s, p, last in zip(seqs or [], payloads or [], lasts or [])}
-            carry = bytes(carry or b"")
         else:
             service, next_seq, next_line, carry, early = None, 0, 0, b"", {}
         for pdf in frames:
@@ -74,8 +95,7 @@ class LineAssembler(StatefulProcessor):
             self.head.clear()
             self.closed.update((next_line,))
         else:
-            seqs = sorted(early)
-            self.head.update((service, next_seq, next_line, carry, seqs, [early[s][0] for s in seqs], [early[s][1] for s in seqs]))
+            self.head.update((service, next_seq, next_line, carry, packed(early)))
         if self.timeout_ms:
             self._stop_timers()
             if not done:
@@ -84,8 +104,9 @@ class LineAssembler(StatefulProcessor):
             yield self._rows(key, service, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.head.exists():
-            service, _, next_line, *_ = self.head.get()
+        head = self.head.get()
+        if head is not None:
+            service, _, next_line, *_ = head
             self.head.clear()
             self.closed.update((next_line,))
             yield self._rows(key, service, [(next_line, None, "abandoned")])
@@ -112,7 +133,7 @@ class ResponseAccumulator(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable")
         deltas = pdf.loc[pdf["kind"] == "delta", "content"].tolist()
-        n_deltas, n_malformed = self.counts.get() if self.counts.exists() else (0, 0)
+        n_deltas, n_malformed = self.counts.get() or (0, 0)
         n_deltas, n_malformed = n_deltas + len(deltas), n_malformed + int((pdf["kind"] == "malformed").sum())
         ended = pdf.loc[pdf["kind"].isin(["done", "abandoned"]), "kind"].tolist()
         if not ended:
@@ -162,16 +183,16 @@ class VisitOrder(StatefulProcessor):
 
     def _wait_for(self, ts_us: int) -> None:
         at = -(-ts_us // 1000)
-        if self.due.exists():
-            before = self.due.get()[0]
-            if before <= at:
+        before = self.due.get()
+        if before is not None:
+            if before[0] <= at:
                 return
-            self.handle.deleteTimer(before)
+            self.handle.deleteTimer(before[0])
         self.handle.registerTimer(at)
         self.due.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.released.get() if self.released.exists() else None
+        last = self.released.get()
         wait, late, timeless = [], [], []
         for pdf in rows:
             for visit in pdf[VISIT_COLUMNS].astype(object).where(pdf[VISIT_COLUMNS].notna(), None).itertuples(index=False, name=None):
@@ -200,7 +221,7 @@ class VisitOrder(StatefulProcessor):
             self._wait_for(min(v[1] for v in rest))
         else:
             self.pending.clear()
-        path = self.released.get()[0] if self.released.exists() else None
+        path = (self.released.get() or (None,))[0]
         changes = []
         for k in ready:
             if waiting[k][3] != path:
