@@ -33,8 +33,9 @@ CLASSES = 1 + TOP + SHAPES
 SWEEPS = 3            # Baum-Welch sweeps over all training texts
 SAMPLE_TEXTS = 256    # training texts that set the starting point, in SAMPLE_SWEEPS sweeps
 SAMPLE_SWEEPS = 20
-BATCH_BYTES = 24 << 20
-STEP_TOKENS = 1 << 20
+BATCH_BYTES = 12 << 20
+#: tokens that a step of the recursions holds at once; a longer text goes through in blocks of as many
+STEP_TOKENS = 1 << 18
 ENCODED = "batch long, doc_id long, held_out boolean, size int, codes binary, word long, local int, n long, shape int"
 
 
@@ -185,33 +186,69 @@ def expected_counts(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
             alphas[c:d] *= beta
         beta = now
     alphas[:offset[1]] *= beta
-    gamma = alphas / alphas.sum(axis=1, keepdims=True)
-    emit = np.stack([np.bincount(obs, weights=gamma[:, s], minlength=CLASSES) for s in range(STATES)], axis=1)
-    return np.concatenate((gamma[:offset[1]].sum(axis=0), (moves * model.move).ravel(), emit.ravel()))
+    alphas /= alphas.sum(axis=1, keepdims=True)      # now the state probabilities
+    emit = np.stack([np.bincount(obs, weights=alphas[:, s], minlength=CLASSES) for s in range(STATES)], axis=1)
+    return np.concatenate((alphas[:offset[1]].sum(axis=0), (moves * model.move).ravel(), emit.ravel()))
+
+
+def _advance(model: Model, alpha: np.ndarray | None, obs: np.ndarray, keep: bool):
+    """The forward recursion over one block of a text from the state before it: (alphas or the last one, scales)."""
+    alphas, scales = np.empty((len(obs) if keep else 1, STATES)), np.empty(len(obs))
+    for t, o in enumerate(obs):
+        alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[o]
+        scales[t] = alpha.sum()
+        alpha = alpha / scales[t]
+        if keep:
+            alphas[t] = alpha
+    return (alphas if keep else alpha), scales
 
 
-def _groups(classes, limit: int = STEP_TOKENS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(row numbers, sequences) of groups of like length and bounded size."""
-    seqs = [np.frombuffer(zlib.decompress(x), dtype=np.uint16) for x in classes]
-    size = np.array([len(s) for s in seqs])
+def long_counts(model: Model, seq: np.ndarray, block: int = STEP_TOKENS) -> np.ndarray:
+    """``expected_counts`` of one text of any length, a block in memory at a time.
+
+    The forward recursion first keeps its state at the block boundaries alone; backwards, each
+    block's states are computed again from there.
+    """
+    parts = [seq[i:i + block] for i in range(0, len(seq), block)]
+    before = [None]
+    for part in parts[:-1]:
+        before.append(_advance(model, before[-1], part, False)[0])
+    moves, emit = np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
+    ahead, gamma = None, None
+    for part, alpha in zip(parts[::-1], before[::-1]):
+        alphas, scales = _advance(model, alpha, part, True)
+        for t in range(len(part) - 1, -1, -1):
+            beta = np.ones(STATES) if ahead is None else model.move @ ahead
+            if ahead is not None:
+                moves += np.outer(alphas[t], ahead)
+            ahead = model.emit[part[t]] * beta / scales[t]
+            gamma = alphas[t] * beta
+            gamma /= gamma.sum()
+            emit[part[t]] += gamma
+    return np.concatenate((gamma, (moves * model.move).ravel(), emit.ravel()))
+
+
+def _groups(classes, n_tokens, limit: int = STEP_TOKENS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(row numbers, sequences) of groups of like length and bounded size; a longer text is a group of its own."""
+    size, classes = np.asarray(n_tokens), list(classes)
     order = np.argsort(size, kind="stable")
-    group, held = [], 0
-    for i in order:
-        if group and held + size[i] > limit:
-            yield np.array(group), [seqs[j] for j in group]
-            group, held = [], 0
-        group.append(i)
-        held += size[i]
-    if group:
-        yield np.array(group), [seqs[j] for j in group]
+    first = 0
+    while first < len(order):
+        last, held = first + 1, int(size[order[first]])
+        while last < len(order) and held + size[order[last]] <= limit:
+            held += int(size[order[last]])
+            last += 1
+        rows = order[first:last]
+        yield rows, [np.frombuffer(zlib.decompress(classes[i]), dtype=np.uint16) for i in rows]
+        first = last
 
 
 def _count(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(N_COUNTS)
         for pdf in batches:
-            for _, seqs in _groups(pdf["classes"]):
-                total += expected_counts(model.value, seqs)
+            for _, seqs in _groups(pdf["classes"], pdf["n_tokens"]):
+                total += long_counts(model.value, seqs[0]) if len(seqs[0]) > STEP_TOKENS else expected_counts(model.value, seqs)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"i": some, "x": total[some]})
     return run
@@ -221,7 +258,7 @@ def _score(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score = np.zeros(len(pdf))
-            for rows, seqs in _groups(pdf["classes"]):
+            for rows, seqs in _groups(pdf["classes"], pdf["n_tokens"]):
                 score[rows] = forward(model.value, seqs) / np.log(10)
             out = pdf[["doc_id", "held_out", "n_tokens", "n_known", "base_score"]].copy()
             out["score"] = score + pdf["inner"].to_numpy()
@@ -275,14 +312,14 @@ def language_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     resolved = written(texts.groupBy("batch").cogroup(counted.groupBy("in_batch")).applyInPandas(
         _resolve(broadcast(spark, known)),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"), "resolved")
-    learn = resolved.where("NOT held_out").select("classes", "doc_id")
+    learn = resolved.where("NOT held_out").select("classes", "n_tokens", "doc_id")
     sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS).toPandas()
     class_tokens = np.concatenate(([n_texts], np.zeros(TOP), shape_tokens))
     class_tokens[1:1 + len(top)] = top["c"]
     seqs = [np.frombuffer(zlib.decompress(x), dtype=np.uint16) for x in sample["classes"]]
     model = starting_model(seqs, class_tokens)
     for _ in range(SWEEPS if n_texts else 0):
-        sums = learn.select("classes").mapInPandas(_count(broadcast(spark, model)), "i int, x double").groupBy("i").agg(
+        sums = learn.select("classes", "n_tokens").mapInPandas(_count(broadcast(spark, model)), "i int, x double").groupBy("i").agg(
             F.sum("x").alias("x")).toPandas()
         total = np.zeros(N_COUNTS)
         total[sums["i"].to_numpy(dtype=int)] = sums["x"]

@@ -362,3 +362,66 @@ def test_a_notice_beside_ordinary_words_weighs_alike_at_any_size(spark):
     assert {p: x for p, (x, _) in many.items()} == {"/0/own0.py": "MIT", "/0/own1.py": "Apache-2.0"}
     for p, (licence, cosine) in one.items():
         assert many[p][0] == licence and many[p][1] == pytest.approx(cosine, abs=0.03)
+
+
+def test_line_dedup_of_a_repeated_id_keeps_one(spark):
+    """Rows of one id with similar lines of one number: one of them stays, in any order of the rows."""
+    words = [f"w{i}" for i in range(12)]
+    lines = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words[:-1], "third"])]
+    for rows in ([(5, x) for x in lines], [(5, x) for x in lines[::-1]], [(5, lines[0]), (5, lines[1]), (9, lines[2])]):
+        out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least=1)
+        left = [(r.doc_id, r.text) for r in out.collect()]
+        assert len(left) == len(rows) and sum(t != "" for _, t in left) == 1 and all(t == "" for i, t in left if i == 9)
+
+
+def test_emptied_rows_go_only_if_they_lost_lines(spark):
+    rows = [(1, "one two three"), (2, "one two three\n"), (3, ""), (4, None), (5, " \n"), (6, "one two three\nfour five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs, drop_emptied=True, least=1).collect()} == {1, 3, 4, 5, 6}
+    assert line_dedup.dedup_lines(docs, least=1).count() == 6
+
+
+def test_counts_of_a_long_text_in_blocks():
+    rnd = np.random.default_rng(5)
+    m = hmm.Model.of(rnd.random(hmm.N_COUNTS) * 5)
+    for n in (1, 2, 7, 64, 65, 200):
+        seq = rnd.integers(0, hmm.CLASSES, n).astype(np.uint16)
+        whole = hmm.expected_counts(m, [seq])
+        for block in (1, 3, 64, 1000):
+            assert np.allclose(hmm.long_counts(m, seq, block), whole, rtol=1e-9, atol=1e-12)
+
+
+def test_expected_counts_by_enumeration():
+    import itertools
+    rnd = np.random.default_rng(7)
+    m = hmm.Model.of(rnd.random(hmm.N_COUNTS) * 3)
+    seq = np.array([4, 9, 4], dtype=np.uint16)
+    paths = list(itertools.product(range(hmm.STATES), repeat=3))
+    p = np.array([m.start[z[0]] * m.emit[seq[0], z[0]] * m.move[z[0], z[1]] * m.emit[seq[1], z[1]] * m.move[z[1], z[2]] * m.emit[seq[2], z[2]] for z in paths])
+    p /= p.sum()
+    want = np.zeros(hmm.N_COUNTS)
+    moves, emit = np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.CLASSES, hmm.STATES))
+    for w, z in zip(p, paths):
+        want[z[0]] += w
+        moves[z[0], z[1]] += w
+        moves[z[1], z[2]] += w
+        for o, s in zip(seq, z):
+            emit[o, s] += w
+    want[hmm.STATES:] = np.concatenate((moves.ravel(), emit.ravel()))
+    assert np.allclose(hmm.expected_counts(m, [seq]), want)
+
+
+def test_groups_are_bounded_and_whole():
+    import zlib
+    seqs = [np.arange(n, dtype=np.uint16) for n in (5, 900, 1, 30, 30, 200, 0)]
+    packed = [zlib.compress(s.tobytes()) for s in seqs]
+    groups = list(hmm._groups(packed, [len(s) for s in seqs], limit=100))
+    assert sorted(i for rows, _ in groups for i in rows) == list(range(len(seqs)))
+    for rows, got in groups:
+        assert sum(map(len, got)) <= 100 or len(got) == 1
+        assert all(np.array_equal(seqs[i], g) for i, g in zip(rows, got))
+
+
+def test_pipeline_draws_no_blank_documents(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert out and all(split(r.text) for r in out) and all(r.copies > 0 and r.tokens == len(r.text.split()) for r in out)
