@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents.  All but the last return the columns of documents.
+
+Null and empty texts are documents like others up to the last stage, which draws none without
+words.  Repeated rows go through every stage as they are, but for line dedup, which takes rows
+of one doc_id for one document, and near dedup, which keeps one row of a group.  Rows with a
+null doc_id lose no lines and pass near dedup.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are like an earlier line, however short."""
-    return line_dedup.dedup_lines(docs, least=1)
+    """Documents without the lines that are like an earlier line, however short; those with no word left after that go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True, least=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,8 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the target weights, with their rate and number of copies."""
-    return mixing.mix(docs, MIX_POWERS, MIX_FRACTION).where("copies > 0")
+    """The documents drawn for the target weights, with their rate and number of copies; none without words."""
+    return mixing.mix(docs, MIX_POWERS, MIX_FRACTION).where("copies > 0 AND tokens > 0")
 
 
 STAGES = [
