@@ -111,7 +111,7 @@ names(licence, notice) AS (VALUES {values}),
 n AS (SELECT count(*) AS n FROM files WHERE path IS NOT NULL AND text IS NOT NULL),
 tpl AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest({_words('notice')}) AS term FROM names) GROUP BY ALL),
 has AS (SELECT path, unnest(list_distinct({_words('text')})) AS term FROM files),
-df AS (SELECT term, count(*) AS df FROM has WHERE term IN (SELECT term FROM tpl) GROUP BY term),
+df AS (SELECT term, count(*) AS df FROM has GROUP BY term),
 tw AS (SELECT licence, tpl.term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM tpl LEFT JOIN df USING (term), n),
 tn AS (SELECT licence, sqrt(sum(w * w)) AS norm FROM tw GROUP BY licence),
 lines AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files

@@ -72,7 +72,7 @@ FILES = "SELECT concat('/', source, '/', lang, '/', CASE WHEN n_chars < 400 THEN
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.sql(FILES.replace("FROM documents", "FROM {docs}"), docs=_table(spark, sf_dir, "documents"))
-    return licences.scan_licences(files, every_term=False)   # weighted as in the query's SQL
+    return licences.scan_licences(files)
 
 
 def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
