@@ -33,13 +33,13 @@ CLASSES = 1 + TOP + SHAPES
 SWEEPS = 3            # Baum-Welch sweeps over all training texts
 SAMPLE_TEXTS = 256    # training texts that set the starting point, in SAMPLE_SWEEPS sweeps
 SAMPLE_SWEEPS = 20
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 24 << 20
 #: tokens that a step of the recursions holds at once; a longer text goes through in blocks of as many
 STEP_TOKENS = 1 << 18
 ENCODED = "batch long, doc_id long, held_out boolean, size int, codes binary, word long, local int, n long, shape int"
 
 
-def _flush(batch: int, held: list) -> pd.DataFrame:
+def _flush(batch: int, held: list) -> Iterator[pd.DataFrame]:
     """One batch: a row for each text with its words as numbers, and a row for each distinct word."""
     word = np.concatenate([h["word"] for h in held])
     shape = np.concatenate([h["shape"] for h in held])
@@ -47,17 +47,16 @@ def _flush(batch: int, held: list) -> pd.DataFrame:
     ids = np.concatenate([h["id"] for h in held])
     out = np.concatenate([h["out"] for h in held])
     distinct, first, local = np.unique(word, return_index=True, return_inverse=True)
-    learn = np.repeat(~out, size)
-    n = np.bincount(local[learn], minlength=len(distinct))
-    local = local.astype(np.int32)
+    n = np.bincount(local[np.repeat(~out, size)], minlength=len(distinct))
+    local, shape = local.astype(np.int32), shape[first]
     edge = np.concatenate(([0], np.cumsum(size)))
-    texts = pd.DataFrame({"batch": batch, "doc_id": pd.array(ids, dtype="Int64"), "held_out": out, "size": size,
-                          "codes": [zlib.compress(local[a:b].tobytes(), 1) for a, b in zip(edge[:-1], edge[1:])]})
-    words = pd.DataFrame({"batch": batch, "word": text.signed(distinct), "local": np.arange(len(distinct), dtype=np.int32),
-                          "n": n, "shape": shape[first]})
     names = [c.split()[0] for c in ENCODED.split(", ")]
-    return pd.concat([texts.reindex(columns=names).astype(object), words.reindex(columns=names).astype(object)]).where(
-        lambda x: x.notna(), None)
+    none = dict.fromkeys(names)
+    # as two frames of typed columns: one of mixed rows would box every number
+    yield pd.DataFrame(none | {"batch": batch, "doc_id": pd.array(ids, dtype="Int64"), "held_out": out, "size": size,
+                               "codes": [zlib.compress(local[a:b].tobytes(), 1) for a, b in zip(edge[:-1], edge[1:])]}, columns=names)
+    yield pd.DataFrame(none | {"batch": batch, "word": text.signed(distinct), "local": np.arange(len(distinct), dtype=np.int32),
+                               "n": n, "shape": shape}, columns=names, index=range(len(distinct)))
 
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,10 +74,10 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                          "size": np.diff(w.offset), "id": ids[first:first + len(part)], "out": out[first:first + len(part)]})
             bytes_held += len(w.buf)
             if bytes_held >= BATCH_BYTES:
-                yield _flush(part_id + number, held)
+                yield from _flush(part_id + number, held)
                 number, held, bytes_held = number + 1, [], 0
     if held:
-        yield _flush(part_id + number, held)
+        yield from _flush(part_id + number, held)
 
 
 @dataclass
