@@ -2,20 +2,22 @@
 
 Used to exercise the S1-S5 readers on data Spark derives from the
 driver's tables: each list endpoint becomes one JSON document per PR with
-its items in API order. Files are written below the session's shared
-checkpoint folder, once per data folder and process.
+its items in API order. Files are written gzipped below the session's shared
+checkpoint folder, each export once per data folder and process and only when asked for.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.session import scratch_path
+from reviewlake.session import scratch_path, sized_shuffles
 from reviewlake.sources import fixtures as fx
 
+EXPORT_NAMES = ("pull_requests", "changed_files", "reviews", "review_comments", "issue_comments")
 _LANDED: dict[tuple[str, str], dict[str, str]] = {}
 
 
@@ -31,17 +33,12 @@ def _as_list(df: DataFrame, coords: DataFrame, item) -> DataFrame:
             .select("owner", "repo", "pr_number", F.transform("_s", lambda x: x["it"]).alias("items")))
 
 
-def land_api_exports(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Write the five API exports for ``sf_dir``; returns name -> path."""
-    ckpt = spark.sparkContext.getCheckpointDir() or ""
-    key = (os.path.abspath(sf_dir), ckpt)
-    if key in _LANDED:
-        return _LANDED[key]
-    base = scratch_path(spark, "api-exports")
+def _exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five API exports of ``sf_dir`` as they are written, not run yet."""
     prs = fx.derived(spark, sf_dir, "pull_requests")
     coords = prs.select("pr_number", "owner", "repo")
     user = lambda c="author": F.struct(F.col(c).alias("login"))
-    out = {
+    return {
         "pull_requests": prs.select(
             "owner", "repo", "pr_number", "title", "body",
             F.struct(F.col("base_ref").alias("ref")).alias("base"),
@@ -57,13 +54,27 @@ def land_api_exports(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         "issue_comments": _as_list(fx.derived(spark, sf_dir, "issue_comments"), coords, F.struct(
             user().alias("user"), "body", _iso("created_at").alias("created_at"))),
     }
-    paths = {}
-    for name, df in out.items():
-        p = os.path.join(base, name)
-        df.write.mode("overwrite").option("ignoreNullFields", "false").json(p)
-        paths[name] = p
-    _LANDED[key] = paths
-    return paths
+
+
+def land_api_exports(spark: SparkSession, sf_dir: str, names: Iterable[str] = EXPORT_NAMES) -> dict[str, str]:
+    """Write the API exports ``names`` for ``sf_dir``; returns name -> path."""
+    ckpt = spark.sparkContext.getCheckpointDir() or ""
+    paths = _LANDED.setdefault((os.path.abspath(sf_dir), ckpt), {})
+    wanted = list(names)
+    missing = [n for n in wanted if n not in paths]
+    if missing:
+        exports, base = _exports(spark, sf_dir), scratch_path(spark, "api-exports")
+        rows = max(fx.base_table(spark, sf_dir, t).count() for t in ("lineitem", "orders", "events"))
+        with sized_shuffles(spark, rows):
+            for name in missing:
+                p = os.path.join(base, name)
+                _write_json(exports[name], p)
+                paths[name] = p
+    return {n: paths[n] for n in wanted}
+
+
+def _write_json(docs: DataFrame, path: str) -> None:
+    docs.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def land_settings_docs(spark: SparkSession, flat: DataFrame) -> str:
@@ -79,7 +90,7 @@ def land_settings_docs(spark: SparkSession, flat: DataFrame) -> str:
         F.struct(F.col("review_prompt").alias("reviewPrompt"), F.col("max_tokens").alias("maxTokens"),
                  F.col("ignore_files").alias("ignoreFiles")).alias("reviewSettings"))
     path = scratch_path(spark, "settings-docs")
-    docs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    _write_json(docs, path)
     return path
 
 

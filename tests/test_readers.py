@@ -1,11 +1,14 @@
 """Landed documents: good rows and quarantined documents are all that landed."""
 
+import datetime as dt
 import json
+import os
 
 import pytest
 
-from reviewlake.session import scratch_path
-from reviewlake.sources import readers
+from reviewlake import registry as R
+from reviewlake.session import TASK_BYTES, scratch_path, sized_shuffles
+from reviewlake.sources import landing, readers
 
 KEY = {"owner": "o", "repo": "r"}
 
@@ -58,3 +61,31 @@ def test_parquet_exports(spark):
     spark.createDataFrame(rows, schema).write.parquet(path)
     assert readers.read_issue_comments(spark, path, "parquet").count() == 1
     assert [r.error_code for r in readers.read_quarantine(spark, path, "issue_comments", "parquet").collect()] == ["NO_KEY"]
+
+
+def small_tables(spark, folder):
+    """Three orders, one of them twice and one without lines, and one event on each."""
+    day = dt.datetime(2024, 1, 1)
+    tables = {
+        "customer": ("c_custkey long, c_nationkey long, c_mktsegment string", [(1, 2, "BUILDING")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string", [(n, 1, "1-URGENT") for n in (1, 1, 2, 3)]),
+        "part": ("p_partkey long, p_name string", [(1, "blue ink")]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_returnflag string, l_shipdate timestamp",
+                     [(n, 1, 1, i, 1.0, 2.0, 0.1, "A", day) for n in (1, 2) for i in (1, 2)]),
+        "events": ("event_id long, user_id long, event_type string, ts timestamp", [(n, n, "click", day) for n in (1, 2, 3)]),
+    }
+    for name, (schema, table) in tables.items():
+        spark.createDataFrame(table, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_shuffle_partitions_grow_with_the_rows(spark):
+    names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = [spark.conf.get(n) for n in names]
+    with sized_shuffles(spark, 100_000_001):
+        assert [spark.conf.get(n) for n in names] == ["401", TASK_BYTES]
+    with pytest.raises(KeyError), sized_shuffles(spark, 0):
+        assert spark.conf.get(names[0]) == before[0]
+        raise KeyError
+    assert [spark.conf.get(n) for n in names] == before
