@@ -100,5 +100,5 @@ def land_cut_off(spark: SparkSession, path: str, key: str) -> str:
     number = F.regexp_extract(F.get_json_object("value", f"$.{key}"), r"\d+$", 0).cast("long")
     cut = F.when(number % 10 == 3, F.substring("value", F.lit(1), (F.length("value") / 2).cast("int"))).otherwise(F.col("value"))
     to = scratch_path(spark, "cut-off")
-    lines.select(cut.alias("value")).write.mode("overwrite").text(to)
+    lines.select(cut.alias("value")).write.mode("overwrite").option("compression", "gzip").text(to)
     return to

@@ -80,6 +80,16 @@ def small_tables(spark, folder):
     return str(folder)
 
 
+def test_written_documents_are_compressed(spark, tmp_path):
+    sf = small_tables(spark, tmp_path)
+    path = landing.land_api_exports(spark, sf, ["changed_files"])["changed_files"]
+    cut = landing.land_cut_off(spark, path, "pr_number")
+    for folder in (path, cut):
+        parts = [f for f in os.listdir(folder.removeprefix("file:")) if f.startswith("part-")]
+        assert parts and all(f.endswith(".gz") for f in parts)
+    assert readers.read_changed_files(spark, cut).count() == readers.read_changed_files(spark, path).count() == 6
+
+
 def test_shuffle_partitions_grow_with_the_rows(spark):
     names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = [spark.conf.get(n) for n in names]
