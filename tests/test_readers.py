@@ -80,6 +80,19 @@ def small_tables(spark, folder):
     return str(folder)
 
 
+def test_an_export_is_landed_alone_and_once(spark, tmp_path):
+    sf = small_tables(spark, tmp_path)
+    path = landing.land_api_exports(spark, sf, ["pull_requests"])["pull_requests"]
+    base = os.path.dirname(path).removeprefix("file:")
+    assert os.listdir(base) == ["pull_requests"]
+    assert R.s1_read_pull_requests(spark, sf).count() == 4
+    assert landing.land_api_exports(spark, sf, ["pull_requests"])["pull_requests"] == path
+    # both copies of the repeated order hold both copies of its files
+    assert R.s2_read_changed_files(spark, sf).count() == 6
+    assert os.listdir(base) == ["pull_requests"]
+    assert sorted(landing.land_api_exports(spark, sf)) == sorted(landing.EXPORT_NAMES)
+
+
 def test_written_documents_are_compressed(spark, tmp_path):
     sf = small_tables(spark, tmp_path)
     path = landing.land_api_exports(spark, sf, ["changed_files"])["changed_files"]
