@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from reviewlake.session import scratch_path
 from reviewlake.sinks import writers
 from reviewlake.sources.readers import read_page_visits, read_stream_chunks
 from reviewlake.streaming.assembly import assemble_stream, delta_stream, detect_pr_changes_stream, response_stream
+from reviewlake.streaming.processors import LATE, NO_TIME, VISIT_COLUMNS, VisitOrder
 
 from test_streams import SCHEMA, a_line, b_lines, cut
 
@@ -226,3 +228,74 @@ def test_settings_versions_are_seen_whole(spark):
     assert sorted(tuple(r) for r in writers.read_settings_version(spark, base, one.schema).collect()) == [("u1", 2), ("u2", 2)]
     assert [tuple(r) for r in writers.read_settings_version(spark, base, one.schema, 1).collect()] == [("u1", 1)]
     assert writers.read_settings_version(spark, base, one.schema, 7).collect() == []
+
+
+class _State:
+    """A state variable held in memory that notes its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def _note(self, call, value):
+        self.calls.append(call)
+        self.value = value
+
+    def get(self):
+        self._note("get", self.value)
+        return self.value
+
+    def update(self, value):
+        self._note("update", value)
+
+    def put(self, values):
+        self._note("put", list(values))
+
+    def appendList(self, values):
+        self._note("append", [*(self.value or []), *values])
+
+    def clear(self):
+        self._note("clear", None)
+
+
+class _Handle:
+    def __init__(self):
+        self.vars, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return self.vars.setdefault(name, _State([]))
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_fired_visit_timer_is_not_looked_up_again():
+    """A session with visits left to wait sets its next timer without reading or clearing the one that fired."""
+    handle, order = _Handle(), VisitOrder()
+    order.init(handle)
+    visit = lambda seq, ts: (seq, ts, "u", f"p{seq}", "o", "r", "1")
+    frame = pd.DataFrame([visit(1, 1_000), visit(2, 9_000_000)], columns=VISIT_COLUMNS)
+    assert list(order.handleInputRows((7, 0), iter([frame]), None)) == []
+    assert handle.timers == {1}
+    handle.timers.clear()
+    handle.vars["due"].calls.clear()
+    (out,) = order.handleExpiredTimer((7, 0), _Watermark(5_000), None)
+    assert out[["tab_id", "page_load_id", "seq", "ts_us", "path", "error_code"]].values.tolist() == [[7, 0, 1, 1_000, "p1", None]]
+    assert handle.vars["due"].calls == ["update"] and handle.timers == {9_000}
+    # a frame with a visit of no time comes with float times
+    frame = pd.DataFrame([visit(3, 500.0), visit(4, float("nan"))], columns=VISIT_COLUMNS)
+    late, timeless = order.handleInputRows((7, 0), iter([frame]), None)
+    assert late[["seq", "ts_us", "error_code"]].values.tolist() == [[3, 500, LATE]]
+    assert timeless[["seq", "ts_us", "error_code"]].values.tolist() == [[4, None, NO_TIME]]
