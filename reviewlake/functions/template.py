@@ -33,34 +33,29 @@ def fill_template(template, files, diff, language, reviews, mode: str = "safe")
 
 
 def _fill_safe(tpl: Column, vals: list[Column]) -> Column:
-    lits = F.split(tpl, _TOKEN_RE, -1)
-    toks = F.regexp_extract_all(tpl, F.lit(_TOKEN_RE), 0)
+    # The template's parts and the values are bound once, as the one element of an array: an
+    # expression named inside a lambda is evaluated again for every element and every mention.
+    parts = F.struct(F.split(tpl, _TOKEN_RE, -1).alias("lits"), F.regexp_extract_all(tpl, F.lit(_TOKEN_RE), 0).alias("toks"),
+                     *[v.alias(f"v{i}") for i, v in enumerate(vals)])
 
-    def value_of(tok: Column) -> Column:
+    def value_of(b: Column, tok: Column) -> Column:
         out = None
-        for name, v in zip(C.PLACEHOLDERS, vals):
-            out = (F.when(tok == name, v) if out is None else out.when(tok == name, v))
+        for i, name in enumerate(C.PLACEHOLDERS):
+            out = (F.when(tok == name, b[f"v{i}"]) if out is None else out.when(tok == name, b[f"v{i}"]))
         return out.otherwise(tok)
 
-    def piece(i: Column) -> Column:
-        tok = F.try_element_at(toks, i + 1)
-        first = F.array_position(toks, tok) == (i + 1)
-        token_text = F.when(i < F.size(toks), F.when(first, value_of(tok)).otherwise(tok))
-        return F.concat(F.try_element_at(lits, i + 1), F.coalesce(token_text, F.lit("")))
+    def filled(b: Column) -> Column:
+        shown = F.transform(b["toks"], lambda tok, i: F.when(F.array_position(b["toks"], tok) == i + 1, value_of(b, tok)).otherwise(tok))
+        return F.array_join(F.zip_with(b["lits"], shown, lambda lit, text: F.concat(lit, F.coalesce(text, F.lit("")))), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(toks)), piece), "")
+    return F.element_at(F.transform(F.array(parts), filled), 1)
 
 
 def _fill_sequential(tpl: Column, vals: list[Column]) -> Column:
-    toks = F.array(*[F.lit(t) for t in C.PLACEHOLDERS])
-    values = F.array(*vals)
-    # A fold over the four placeholders: the accumulator is a lambda
-    # variable, so each step refers to it instead of copying the tree.
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(len(C.PLACEHOLDERS) - 1)),
-        tpl,
-        lambda acc, i: _replace_first(acc, F.element_at(toks, i + 1), F.element_at(values, i + 1)),
-    )
+    steps = F.array(*[F.struct(F.lit(t).alias("tok"), v.alias("value")) for t, v in zip(C.PLACEHOLDERS, vals)])
+    # A fold over the four placeholders: accumulator, placeholder and value are lambda
+    # variables, so each step refers to them instead of copying the tree.
+    return F.aggregate(steps, tpl, lambda acc, step: _replace_first(acc, step["tok"], step["value"]))
 
 
 def _replace_first(s: Column, tok: Column, value: Column) -> Column:

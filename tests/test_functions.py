@@ -128,3 +128,19 @@ def test_urls(spark):
         "url", "pr", "owner", "repo", "pr_number").collect()
     for want, g in zip(urls, got):
         assert tuple(g) == want
+
+
+def test_template_parts_are_worked_out_once(spark, capsys):
+    """The template is matched and the values are built once a row, not for each of its pieces."""
+    schema = "t string, f string, d string, l string, r string"
+    df = spark.createDataFrame([(None, "F", "D", "L", "R"), ("", "F", "D", "L", "R"), ("{diff}{files}{diff}x{language}", "{diff}", None, "L", "R")], schema)
+    values = ["f", "d", "l", F.upper(F.reverse("r"))]
+    for mode, last in (("safe", "{diff}{diff}xL"), ("sequential", None)):
+        out = df.select(fill_template("t", *values, mode=mode).alias("p"))
+        assert [r.p for r in out.collect()] == [None, "", last]
+        capsys.readouterr()
+        out.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("upper(") == 1
+        if mode == "safe":
+            assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
