@@ -50,8 +50,8 @@ def assemble_stream(chunks: DataFrame, flush_tail: bool = False, timeout_ms: int
     use_rocksdb(chunks.sparkSession)
     return (chunks.select("request_id", "seq", "service", "payload", "is_last")
             .groupBy("request_id")
-            .transformWithStateInPandas(P.LineAssembler(flush_tail, timeout_ms, marker_ttl_ms), P.LINE_SCHEMA,
-                                        "append", _time_mode(timeout_ms, marker_ttl_ms)))
+            .transformWithState(P.LineAssembler(flush_tail, timeout_ms, marker_ttl_ms), P.LINE_SCHEMA,
+                                "append", _time_mode(timeout_ms, marker_ttl_ms)))
 
 
 def delta_stream(chunks: DataFrame, flush_tail: bool = False, timeout_ms: int | None = None,
@@ -81,8 +81,8 @@ def accumulate_responses(deltas: DataFrame, timed: bool = False) -> DataFrame:
     """
     use_rocksdb(deltas.sparkSession)
     out = (deltas.select("request_id", "line_no", "kind", "content").groupBy("request_id")
-           .transformWithStateInPandas(P.ResponseAccumulator(), P.RESPONSE_SCHEMA, "append",
-                                       "processingTime" if timed else "none"))
+           .transformWithState(P.ResponseAccumulator(), P.RESPONSE_SCHEMA, "append",
+                               "processingTime" if timed else "none"))
     return out.select("request_id", "content", estimate_tokens("content").alias("tokens"), "n_deltas",
                       "n_malformed", "status")
 

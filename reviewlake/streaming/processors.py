@@ -1,7 +1,8 @@
 """State of the streaming operators: T1 + T4 lines, T5 final responses, T6 page visits in order.
 
-Each is a ``StatefulProcessor`` for ``transformWithStateInPandas`` (state in RocksDB, snapshots in
-the query's checkpoint). A key's variables are read and written once per micro-batch.
+Each is a ``StatefulProcessor`` (state in RocksDB, snapshots in the query's checkpoint). Responses go
+through ``transformWithState``, row by row: a pandas frame for each key and micro-batch costs more than
+its few rows. Visits go through ``transformWithStateInPandas``. A key's variables are read and written once per micro-batch.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LINE_SCHEMA = "request_id string, service string, line_no long, line string, kind string"
 HEAD_SCHEMA = "service string, next_seq int, next_line long, carry binary, early binary"
+_LINE = Row("request_id", "service", "line_no", "line", "kind")
 #: one early chunk in the state: its number, whether it is the last, the length of its payload, the payload
 _CHUNK = "<i?I"
 
@@ -56,17 +59,15 @@ class LineAssembler(StatefulProcessor):
         self.closed = (handle.getValueState("closed", "next_line long", ttlDurationMs=self.marker_ttl_ms)
                        if self.marker_ttl_ms else handle.getValueState("closed", "next_line long"))
 
-    def _rows(self, key, service, items) -> pd.DataFrame:
-        return pd.DataFrame({
-            "request_id": [key[0]] * len(items), "service": [service] * len(items), "line_no": [i[0] for i in items],
-            "line": [i[1] for i in items], "kind": [i[2] for i in items]})
+    def _rows(self, key, service, items) -> Iterator[Row]:
+        return (_LINE(key[0], service, *i) for i in items)
 
     def _stop_timers(self) -> None:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        chunks = [(r["seq"], r["payload"], r["is_last"], r["service"]) for r in rows]
         head = self.head.get()
         if head is not None:
             service, next_seq, next_line, carry, held = head
@@ -75,11 +76,10 @@ class LineAssembler(StatefulProcessor):
             return
         else:
             service, next_seq, next_line, carry, early = None, 0, 0, b"", {}
-        for pdf in frames:
-            for seq, payload, last, named in zip(pdf["seq"], pdf["payload"], pdf["is_last"], pdf["service"]):
-                if int(seq) >= next_seq:      # else delivered again
-                    early[int(seq)] = (bytes(payload) if payload is not None else b"", bool(last))
-                    service = service or named
+        for seq, payload, last, named in chunks:
+            if seq >= next_seq:      # else delivered again
+                early[seq] = (bytes(payload) if payload is not None else b"", bool(last))
+                service = service or named
         out, done = [], False
         while next_seq in early and not done:
             payload, done = early.pop(next_seq)
@@ -100,22 +100,22 @@ class LineAssembler(StatefulProcessor):
             self._stop_timers()
             if not done:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        if out:
-            yield self._rows(key, service, out)
+        yield from self._rows(key, service, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         head = self.head.get()
         if head is not None:
             service, _, next_line, *_ = head
             self.head.clear()
             self.closed.update((next_line,))
-            yield self._rows(key, service, [(next_line, None, "abandoned")])
+            yield from self._rows(key, service, [(next_line, None, "abandoned")])
 
     def close(self) -> None:
         pass
 
 
 RESPONSE_SCHEMA = "request_id string, content string, n_deltas long, n_malformed long, status string"
+_RESPONSE = Row("request_id", "content", "n_deltas", "n_malformed", "status")
 
 
 class ResponseAccumulator(StatefulProcessor):
@@ -130,12 +130,12 @@ class ResponseAccumulator(StatefulProcessor):
         self.pieces = handle.getListState("pieces", "text string")
         self.counts = handle.getValueState("counts", "n_deltas long, n_malformed long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable")
-        deltas = pdf.loc[pdf["kind"] == "delta", "content"].tolist()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        got = sorted(((r["line_no"], r["kind"], r["content"]) for r in rows), key=lambda r: r[0])
+        deltas = [text for _, kind, text in got if kind == "delta"]
         n_deltas, n_malformed = self.counts.get() or (0, 0)
-        n_deltas, n_malformed = n_deltas + len(deltas), n_malformed + int((pdf["kind"] == "malformed").sum())
-        ended = pdf.loc[pdf["kind"].isin(["done", "abandoned"]), "kind"].tolist()
+        n_deltas, n_malformed = n_deltas + len(deltas), n_malformed + sum(kind == "malformed" for _, kind, _ in got)
+        ended = [kind for _, kind, _ in got if kind in ("done", "abandoned")]
         if not ended:
             if deltas:
                 self.pieces.appendList([("".join(deltas),)])
@@ -144,8 +144,7 @@ class ResponseAccumulator(StatefulProcessor):
         text = "".join([p[0] for p in self.pieces.get()] + deltas)
         self.pieces.clear()
         self.counts.clear()
-        yield pd.DataFrame({"request_id": [key[0]], "content": [text], "n_deltas": [n_deltas],
-                            "n_malformed": [n_malformed], "status": [ended[0]]})
+        yield _RESPONSE(key[0], text, n_deltas, n_malformed, ended[0])
 
     def close(self) -> None:
         pass

@@ -33,3 +33,20 @@ def test_outbox_batch_is_worked_out_once(spark, tmp_path):
     assert seen.value == 40
     files = [f for _, _, names in os.walk(f"{outbox}/data/batch=b") for f in names if f.endswith(".parquet")]
     assert len(files) == len({os.path.basename(d) for d, _, n in os.walk(f"{outbox}/data/batch=b") if any(f.endswith(".parquet") for f in n)})
+
+
+def test_arrivals_are_worked_out_once(spark):
+    df, seen = counted(spark, spark.range(0, 100, 1, 4))
+    base = registry._land_in_parts(df, spark, "once", F.pmod(F.xxhash64(F.col("id") % 10), F.lit(4)))
+    assert sorted(r.id for r in spark.read.schema("id long").parquet(base + "/*").collect()) == list(range(100))
+    assert seen.value == 100
+    for i in range(4):
+        assert {r[0] for r in spark.read.schema("id long").parquet(f"{base}/batch={i:03d}").select(
+            F.pmod(F.xxhash64(F.col("id") % 10), F.lit(4))).collect()} <= {i}
+
+
+def test_turns_are_dealt_before_they_are_cut_up(spark):
+    chunks = fx.stream_chunks(spark, SF)
+    assert chunks.select(F.spark_partition_id()).distinct().count() > 1
+    whole = fx.spark_sql(spark, SF, fx.stream_chunks_sql())
+    assert chunks.exceptAll(whole).count() == 0 and chunks.count() == whole.count()
