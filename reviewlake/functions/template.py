@@ -32,6 +32,21 @@ def fill_template(template, files, diff, language, reviews, mode: str = "safe")
     raise ValueError(f"unknown template mode {mode!r}")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, bound once: an expression named inside a lambda is evaluated again for every mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _bytes_of(text: Column, start: Column, length: Column) -> Column:
+    """Part of a text by byte positions (from 1), which needs no walk over its characters."""
+    return F.substring(text.cast("binary"), start, length).cast("string")
+
+
+def _place_of(tok: Column, s: Column) -> Column:
+    """Bytes before the first ``tok`` in ``s``; all of its bytes if there is none."""
+    return F.octet_length(F.call_function("substring_index", s, tok, F.lit(1)))
+
+
 def _fill_safe(tpl: Column, vals: list[Column]) -> Column:
     # The template's parts and the values are bound once, as the one element of an array: an
     # expression named inside a lambda is evaluated again for every element and every mention.
@@ -59,10 +74,13 @@ def _fill_sequential(tpl: Column, vals: list[Column]) -> Column:
 
 
 def _replace_first(s: Column, tok: Column, value: Column) -> Column:
-    pos = F.position(tok, s)
-    before, after = F.substring(s, F.lit(1), pos - 1), F.substr(s, pos + F.length(tok))
-    shown = F.when(F.contains(value, F.lit("$")), _expanded(value, tok, before, after)).otherwise(value)
-    return F.when(pos > 0, F.concat(before, shown, after)).otherwise(s)
+    def replaced(b: Column) -> Column:
+        size = F.octet_length(b["s"])
+        before, after = _bytes_of(b["s"], F.lit(1), b["at"]), _bytes_of(b["s"], b["at"] + F.octet_length(b["tok"]) + 1, size)
+        shown = F.when(F.contains(b["value"], F.lit("$")), _expanded(b["value"], b["tok"], before, after)).otherwise(b["value"])
+        return F.when(b["at"] < size, F.concat(before, shown, after)).otherwise(b["s"])
+
+    return _let(F.struct(s.alias("s"), tok.alias("tok"), value.alias("value"), _place_of(tok, s).alias("at")), replaced)
 
 
 def _expanded(value: Column, tok: Column, before: Column, after: Column) -> Column:

@@ -50,3 +50,13 @@ def test_turns_are_dealt_before_they_are_cut_up(spark):
     assert chunks.select(F.spark_partition_id()).distinct().count() > 1
     whole = fx.spark_sql(spark, SF, fx.stream_chunks_sql())
     assert chunks.exceptAll(whole).count() == 0 and chunks.count() == whole.count()
+
+
+def test_sequential_template_finds_each_place_once(spark):
+    vals = ["f😀", "d {language}", "评论", "{diff}评论"]
+    df = spark.createDataFrame([("代码 {reviews}{diff} {files} 😀{files}", *vals), ("x", *vals), (None, *vals), ("{language}{files}", None, *vals[1:])],
+                               "t string, f string, d string, l string, r string")
+    out = df.select(fill_template("t", "f", "d", "l", "r", mode="sequential").alias("p"))
+    assert [r[0] for r in out.collect()] == ["代码 {diff}评论d 评论 f😀 😀{files}", "x", None, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "locate(" not in plan and plan.count("substring_index(") == 1
