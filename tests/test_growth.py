@@ -60,3 +60,12 @@ def test_sequential_template_finds_each_place_once(spark):
     assert [r[0] for r in out.collect()] == ["代码 {diff}评论d 评论 f😀 😀{files}", "x", None, None]
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "locate(" not in plan and plan.count("substring_index(") == 1
+
+
+def test_position_window_carries_no_texts(spark):
+    files = fx.derived(spark, SF, "changed_files")
+    oracle_form = fx.spark_sql(spark, SF, fx.derived_cte(["changed_files"]) + "\nSELECT * FROM changed_files")
+    assert files.dtypes == oracle_form.dtypes
+    assert files.exceptAll(oracle_form).count() == 0 and files.count() == oracle_form.count()
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    assert "src/" not in plan[plan.index("Window"):]
