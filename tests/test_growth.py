@@ -45,11 +45,15 @@ def test_arrivals_are_worked_out_once(spark):
             F.pmod(F.xxhash64(F.col("id") % 10), F.lit(4))).collect()} <= {i}
 
 
-def test_turns_are_dealt_before_they_are_cut_up(spark):
-    chunks = fx.stream_chunks(spark, SF)
-    assert chunks.select(F.spark_partition_id()).distinct().count() > 1
-    whole = fx.spark_sql(spark, SF, fx.stream_chunks_sql())
+def test_turns_are_dealt_before_they_are_cut_up(spark, tmp_path):
+    turns = fx.TURNS_A_TASK * 3
+    spark.range(0, turns, 1, 1).selectExpr("id AS conv_id", "1L AS turn", "'assistant' AS role", "concat('text ', id) AS text").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    chunks = fx.stream_chunks(spark, str(tmp_path))
+    assert chunks.select(F.spark_partition_id()).distinct().count() == 3
+    whole = fx.spark_sql(spark, str(tmp_path), fx.stream_chunks_sql())
     assert chunks.exceptAll(whole).count() == 0 and chunks.count() == whole.count()
+    assert fx.stream_chunks(spark, SF).select(F.spark_partition_id()).distinct().count() == 1
 
 
 def test_sequential_template_finds_each_place_once(spark):
