@@ -53,14 +53,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not _stars(e):
         # large star: every node's larger neighbours point to its smallest
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.join(least, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "edges")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = written(both.join(least, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
         # small star: a node and its smaller neighbours point to the smallest of them
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionAll(least.select("u", F.col("m").alias("v"))).where("u > v"))
-        e = written(small.distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                                                F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        e = written(small.where("u > v").distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import text
 from .components import connected_components
-from .tables import broadcast, in_sketch, membership_sketch, written
+from .tables import broadcast, emptied, in_sketch, membership_sketch, written
 
 BANDS, ROWS = 24, 4   # a pair of similarity 0.8 shares no band with probability 3e-6
 # one bit of each slot, two longs: in which of the 96 slots two documents differ in that bit follows
@@ -126,9 +126,7 @@ def _candidate_sets(k: int, sketch):
                 h, offset = text.shingle_sets(text.words(part), k)
                 yield pd.DataFrame({"node": ids[first:first + len(part)],
                                     "parity": [parity(h[a:b]) for a, b in zip(offset[:-1], offset[1:])],
-                                    "shingles": [h[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])],
-                                    "halves": [np.unique((h[a:b] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                                               for a, b in zip(offset[:-1], offset[1:])]})
+                                    "shingles": [h[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])]})
     return run
 
 
@@ -199,13 +197,13 @@ def _groups(docs: DataFrame, lead: DataFrame, k: int, percent: int) -> DataFrame
 
     sketch = broadcast(spark, membership_sketch(members, "node"))
     wanted = members.select("node").distinct()
-    sets = (docs.withColumn("h", F.xxhash64("doc_id")).mapInPandas(_candidate_sets(k, sketch), "node long, parity array<long>, shingles binary, halves array<int>")
+    sets = (docs.withColumn("h", F.xxhash64("doc_id")).mapInPandas(_candidate_sets(k, sketch), "node long, parity array<long>, shingles binary")
             .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sets = written(sets, "sets")
     pairs = plausible(members.where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")))
     links = written(_confirmed(written(pairs, "pairs"), sets, percent), "links")
     rest = members.where("size > 2").join(profile, "node").select("key", "node", "n", "bits1", "bits2")
-    halves = sets.select("node", "parity", "halves")
+    parities = sets.select("node", "parity")
     rest = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
     groups, tested = written(connected_components(links), "groups"), 1
     while True:
@@ -217,23 +215,27 @@ def _groups(docs: DataFrame, lead: DataFrame, k: int, percent: int) -> DataFrame
             (F.col("lo") < F.col("hi")) & (F.col("last") > tested)).select("key", "head")
         rest = written(rest.join(several, "key").withColumn("main", F.col("c") == F.col("head")).drop("head"), "rest")
         if rest.isEmpty():
+            emptied(sets)
             return groups
         more = 8 * tested + 1
-        full = rest.join(halves, "node")
+        full = rest.join(parities, "node")
         # members of the first member's component, mostly nearly all, never meet each other
         sides = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
         pivot = full.where((F.col("rank") >= tested) & (F.col("rank") < more)).select(
             "key", F.explode(sides).alias("main"), F.col("node").alias("v"), F.col("rank").alias("v_rank"), F.col("c").alias("v_c"),
             F.col("n").alias("n_v"), F.col("bits1").alias("v1"), F.col("bits2").alias("v2"),
-            F.col("parity").alias("p_v"), F.col("halves").alias("h_v"))
+            F.col("parity").alias("p_v"))
         other = full.select("key", "main", F.col("node").alias("u"), "rank", "c", F.col("n").alias("n_u"),
-                            F.col("bits1").alias("u1"), F.col("bits2").alias("u2"), F.col("parity").alias("p_u"), F.col("halves").alias("h_u"))
+                            F.col("bits1").alias("u1"), F.col("bits2").alias("u2"), F.col("parity").alias("p_u"))
         pairs = other.join(pivot, ["key", "main"]).where((F.col("rank") > F.col("v_rank")) & (F.col("c") != F.col("v_c"))
-                                              & _close(percent) & _parities(percent) & _overlap(percent))
-        found = written(_confirmed(pairs.select("u", "v").distinct(), sets, percent), "links")
+                                              & _close(percent) & _parities(percent))
+        # a written table has a size: few pairs are sent to the sets, which then stay where they are
+        pairs = written(pairs.select("u", "v").distinct(), "pairs")
         tested = more
-        if not found.isEmpty():
-            groups = written(_merged(groups, found), "groups")
+        if not pairs.isEmpty():
+            found = written(_confirmed(pairs, sets, percent), "links")
+            if not found.isEmpty():
+                groups = written(_merged(groups, found), "groups")
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -262,15 +264,6 @@ def _parities(percent: int):
     return (100 + percent) * apart <= (100 - percent) * (F.col("n_u") + F.col("n_v"))
 
 
-def _overlap(percent: int):
-    """Whether the sets overlap enough, by half of each hash and with two to spare for equal halves.
-
-    Part of the join's condition, so that a bucket emits next to its links alone.
-    """
-    both = F.size(F.array_intersect("h_u", "h_v")) + 2
-    return 100 * both >= percent * (F.col("n_u") + F.col("n_v") - both)
-
-
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that have a smaller near duplicate; columns unchanged."""
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("__gone_id"))
