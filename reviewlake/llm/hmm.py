@@ -34,29 +34,39 @@ SWEEPS = 3            # Baum-Welch sweeps over all training texts
 SAMPLE_TEXTS = 256    # training texts that set the starting point, in SAMPLE_SWEEPS sweeps
 SAMPLE_SWEEPS = 20
 BATCH_BYTES = 24 << 20
+#: rows of distinct words that are handed to Spark at once
+WORD_ROWS = 1 << 16
 #: tokens that a step of the recursions holds at once; a longer text goes through in blocks of as many
 STEP_TOKENS = 1 << 18
 ENCODED = "batch long, doc_id long, held_out boolean, size int, codes binary, word long, local int, n long, shape int"
 
 
 def _flush(batch: int, held: list) -> Iterator[pd.DataFrame]:
-    """One batch: a row for each text with its words as numbers, and a row for each distinct word."""
-    word = np.concatenate([h["word"] for h in held])
-    shape = np.concatenate([h["shape"] for h in held])
-    size = np.concatenate([h["size"] for h in held])
-    ids = np.concatenate([h["id"] for h in held])
-    out = np.concatenate([h["out"] for h in held])
-    distinct, first, local = np.unique(word, return_index=True, return_inverse=True)
-    n = np.bincount(local[np.repeat(~out, size)], minlength=len(distinct))
-    local, shape = local.astype(np.int32), shape[first]
-    edge = np.concatenate(([0], np.cumsum(size)))
+    """One batch: a row for each text with its words as numbers, and a row for each distinct word.
+
+    The more often a word occurs in the batch, the smaller its number, so the sequences compress well.
+    """
+    word, first, at = np.unique(np.concatenate([h["word"] for h in held]), return_index=True, return_inverse=True)
+    shape = np.concatenate([h["shape"] for h in held])[first]
+    uses, n = (np.bincount(at, np.concatenate([h[x] for h in held]), len(word)).astype(np.int64) for x in ("uses", "n"))
+    order = np.argsort(-uses, kind="stable")
+    number = np.empty(len(word), dtype=np.int32)
+    number[order] = np.arange(len(word), dtype=np.int32)
+    at = number[at]
     names = [c.split()[0] for c in ENCODED.split(", ")]
     none = dict.fromkeys(names)
-    # as two frames of typed columns: one of mixed rows would box every number
-    yield pd.DataFrame(none | {"batch": batch, "doc_id": pd.array(ids, dtype="Int64"), "held_out": out, "size": size,
-                               "codes": [zlib.compress(local[a:b].tobytes(), 1) for a, b in zip(edge[:-1], edge[1:])]}, columns=names)
-    yield pd.DataFrame(none | {"batch": batch, "word": text.signed(distinct), "local": np.arange(len(distinct), dtype=np.int32),
-                               "n": n, "shape": shape}, columns=names, index=range(len(distinct)))
+    # as frames of typed columns: one of mixed rows would box every number
+    begin = 0
+    for h in held:
+        local = at[begin:begin + len(h["word"])][h["local"]]
+        begin += len(h["word"])
+        edge = np.concatenate(([0], np.cumsum(h["size"])))
+        yield pd.DataFrame(none | {"batch": batch, "doc_id": pd.array(h["id"], dtype="Int64"), "held_out": h["out"], "size": h["size"],
+                                   "codes": [zlib.compress(local[a:b].tobytes(), 1) for a, b in zip(edge[:-1], edge[1:])]}, columns=names)
+    for a in range(0, len(word), WORD_ROWS):
+        some = order[a:a + WORD_ROWS]
+        yield pd.DataFrame(none | {"batch": batch, "word": text.signed(word[some]), "local": number[some], "n": n[some],
+                                   "shape": shape[some]}, columns=names, index=range(len(some)))
 
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,11 +77,16 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = np.array([None if pd.isna(x) else int(x) for x in ids], dtype=object)
         for first, part in text.chunks(pdf["text"]):
             w = text.words(part)
-            last = w.end - 1
-            ends = (w.buf[w.start].astype(np.uint64) << np.uint64(16)) | (
-                w.buf[np.maximum(last - 1, w.start)].astype(np.uint64) << np.uint64(8)) | w.buf[last].astype(np.uint64)
-            held.append({"word": w.hash, "shape": (text.mix64(ends) % np.uint64(SHAPES)).astype(np.int32),
-                         "size": np.diff(w.offset), "id": ids[first:first + len(part)], "out": out[first:first + len(part)]})
+            # a chunk is held as its distinct words and the places of its words among them
+            word, at, local = np.unique(w.hash, return_index=True, return_inverse=True)
+            start, last = w.start[at], w.end[at] - 1
+            ends = (w.buf[start].astype(np.uint64) << np.uint64(16)) | (
+                w.buf[np.maximum(last - 1, start)].astype(np.uint64) << np.uint64(8)) | w.buf[last].astype(np.uint64)
+            size, held_out = np.diff(w.offset), out[first:first + len(part)]
+            held.append({"word": word, "local": local.astype(np.int32), "shape": (text.mix64(ends) % np.uint64(SHAPES)).astype(np.int32),
+                         "uses": np.bincount(local, minlength=len(word)).astype(np.int32),
+                         "n": np.bincount(local[np.repeat(~held_out, size)], minlength=len(word)).astype(np.int32),
+                         "size": size, "id": ids[first:first + len(part)], "out": held_out})
             bytes_held += len(w.buf)
             if bytes_held >= BATCH_BYTES:
                 yield from _flush(part_id + number, held)

@@ -1,12 +1,15 @@
 """What the dedup operators keep on disk, parse and write: their steps, on rows of their own."""
 
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
-from reviewlake.llm import components, line_dedup, near_dup, text
+from reviewlake.llm import components, hmm, line_dedup, near_dup, text
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +80,33 @@ def test_components_write_two_tables_a_round(spark, monkeypatch):
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {90: 90, 95: 90, 100: 90}
     assert len(rounds) > 1 and len(names) == 1 + 2 * (len(rounds) - 1)
+
+
+def test_batches_of_texts_are_held_as_distinct_words(monkeypatch):
+    monkeypatch.setattr(hmm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": lambda self: 3})())}))
+    monkeypatch.setattr(hmm, "WORD_ROWS", 500, raising=False)
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(f"word{x}" for x in rnd.zipf(1.5, 4000) % 3000) for _ in range(900)] + [None, ""]
+    ids = [None, *range(1, len(texts))]
+    out = [i % 7 == 2 for i in range(len(texts))]
+    pdf = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "text": texts, "held_out": out})
+    list(hmm._encode(iter([pdf[:2]])))
+    tracemalloc.start()
+    for _ in hmm._encode(iter([pdf])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    frames = list(hmm._encode(iter([pdf])))
+    assert peak < 5 * sum(len(t or "") for t in texts)
+    rows = pd.concat(frames)
+    seqs, words = rows[rows["word"].isna()], rows[rows["word"].notna()].sort_values("local")
+    assert all(len(f) <= 500 for f in frames if f["word"].notna().any()) and words["local"].tolist() == list(range(len(words)))
+    assert [None if pd.isna(x) else x for x in seqs["doc_id"]] == ids and seqs["held_out"].tolist() == out
+    w = text.words(text.encoded(texts))
+    word = words["word"].to_numpy(dtype=np.int64)
+    for i, (code, size) in enumerate(zip(seqs["codes"], seqs["size"])):
+        want = w.hash[w.offset[i]:w.offset[i + 1]].view(np.int64)
+        assert size == len(want) and np.array_equal(word[np.frombuffer(zlib.decompress(code), dtype=np.int32)], want)
+    learnt = np.concatenate([w.hash[w.offset[i]:w.offset[i + 1]].view(np.int64) for i in range(len(texts)) if not out[i]])
+    counted = dict(zip(*np.unique(learnt, return_counts=True)))
+    assert dict(zip(word, words["n"])) == {x: counted.get(x, 0) for x in word}
