@@ -1,6 +1,7 @@
 """What the dedup operators keep on disk, parse and write: their steps, on rows of their own."""
 
 import random
+import re
 import tracemalloc
 import zlib
 
@@ -82,6 +83,37 @@ def test_components_write_two_tables_a_round(spark, monkeypatch):
     assert len(rounds) > 1 and len(names) == 1 + 2 * (len(rounds) - 1)
 
 
+def test_sides_of_the_prefix_join_share_a_shuffle_and_the_smaller_has_fewer_rows(spark, monkeypatch):
+    made, real = {}, line_dedup.written
+
+    def written(df, name):
+        made[name] = df, real(df, name)
+        return made[name][1]
+    monkeypatch.setattr(line_dedup, "written", written)
+    # 40 words a line; lines 0 and 1 share 36 of them: 36 / 44 >= 80 %, lines 2 and 3 only 35: 35 / 45 < 80 %
+    lines = [[f"w{i}x{j}" for j in range(40)] for i in range(30)]
+    lines[1], lines[3] = lines[0][:36] + lines[1][36:], lines[2][:35] + lines[3][35:]
+    # 20 of 25 words, the smaller set later
+    lines[5] = lines[4][:20]
+    lines[4] = lines[4][:25]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(docs, least=1).collect()}
+    assert {i for i, x in got.items() if x} == {1, 5}
+    plan = made["pairs"][0]._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):].split("RepartitionByExpression")
+    assert len(below) == 3 and "rand(" in plan
+    shapes = [re.sub(r"#\d+L?", "", x.split("Relation", 1)[0]) for x in below[1:]]
+    assert re.sub(r"[\s:+-]", "", shapes[0]) == re.sub(r"[\s:+-]", "", shapes[1])
+    # classes of one text that keep their lines are not joined with all lines
+    assert made["fates"][1].count() == 2
+
+
+def test_number_of_lines_is_that_of_line_feeds(spark):
+    texts = [None, "", "\n", "a", "a\n", "\n\na\n\n", "a\r\nb c\x0b", "é\n" * 3]
+    got = line_dedup.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=1).collect()
+    assert {r.doc_id: r.n_lines for r in got} == {i: (t or "").count("\n") + 1 for i, t in enumerate(texts)}
+
+
 def test_batches_of_texts_are_held_as_distinct_words(monkeypatch):
     monkeypatch.setattr(hmm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": lambda self: 3})())}))
     monkeypatch.setattr(hmm, "WORD_ROWS", 500, raising=False)
