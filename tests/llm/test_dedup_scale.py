@@ -142,3 +142,29 @@ def test_batches_of_texts_are_held_as_distinct_words(monkeypatch):
     learnt = np.concatenate([w.hash[w.offset[i]:w.offset[i + 1]].view(np.int64) for i in range(len(texts)) if not out[i]])
     counted = dict(zip(*np.unique(learnt, return_counts=True)))
     assert dict(zip(word, words["n"])) == {x: counted.get(x, 0) for x in word}
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_words_are_ordered_by_their_count_in_all_texts(spark, tasks):
+    """Word number i stands in i texts; one of them twice in a text, one far oftener than the others."""
+    words = [f"rare{i}" for i in range(60)]
+    rows = [(i, f"{w} own{i}x{j}\n{w}" if i == 59 else f"{w} own{i}x{j}") for i, w in enumerate(words) for j in range(i)]
+    rows += [(60, "often " * 300), (61, None), (62, "")]
+    docs = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "mark long, doc_id long, text string").repartition(tasks)
+    rank = line_dedup._ranks(docs)
+    cells = line_dedup._cell(text.words([" ".join([*words, "often"]).encode()]).hash)
+    assert sorted(rank) == list(range(line_dedup.CELLS)) and len(set(cells)) == 61
+    assert (np.diff(rank[cells]) > 0).all()
+    some = np.flatnonzero(rank > rank[cells[58]])
+    assert set(cells[59:]) == set(some)
+
+
+def test_counters_hold_any_number():
+    one = pa.RecordBatch.from_pydict({"text": ["a " * 70_000 + "b " * 300 + "c"]})
+    got = list(line_dedup._counts(iter([one, one])))[0].to_pydict()
+    total = line_dedup._summed(pd.DataFrame({"block": 0, "counts": [got["counts"][i] for i in range(len(got["block"])) for _ in range(2)]}))
+    assert np.frombuffer(total["counts"][0], dtype=np.int64).sum() == 4 * 70_301
+    cells = line_dedup._cell(text.words([b"a b c"]).hash)
+    for cell, n in zip(cells, (140_000, 600, 2)):
+        row = got["counts"][cell // line_dedup.BLOCK]
+        assert np.frombuffer(row, dtype=f"u{len(row) // line_dedup.BLOCK}")[cell % line_dedup.BLOCK] == n
