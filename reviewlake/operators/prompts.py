@@ -48,7 +48,8 @@ def build_review_prompts(runs: DataFrame, settings: DataFrame, files: DataFrame,
     tenant's ignore list (P7, a narrow higher-order filter); the file
     aggregation repartitions them on (PR, tenant, position bucket), so its
     first level is salted: a PR with millions of files spreads over many tasks. Runs then
-    join the file texts on (PR, tenant) and the timeline on the PR key.
+    join the timeline on the PR key and the file texts on (PR, tenant), by which these are
+    already partitioned: the diffs, the longest texts, are not shuffled again for a join.
     """
     k = keys_list(keys)
     rs = resolve_run_settings(runs, settings).withColumn("error_code", eligibility_error())
@@ -57,8 +58,8 @@ def build_review_prompts(runs: DataFrame, settings: DataFrame, files: DataFrame,
     joined = files.join(pairs, k, "inner").where(~is_ignored("name", F.col("ignore_files")))
     fa = agg_file_texts(joined, k + ["tenant"], bucket_rows)
     tl = agg_timeline(feedback, k, feedback_mode).select(*k, "timeline")
-    out = (rs.join(fa, k + ["tenant"], "left")
-           .join(tl, k, "left")
+    out = rs.join(tl, k, "left").join(fa, k + ["tenant"], "left")
+    out = (out.select(*[c for c in out.columns if c != "timeline"], "timeline")
            .withColumn("error_code", F.coalesce(
                F.col("error_code"),
                F.when(F.coalesce(F.col("file_count"), F.lit(0)) == 0, F.lit("NO_FILES")))))

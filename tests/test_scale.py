@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from reviewlake.operators.feedback import agg_timeline, union_feedback
 from reviewlake.operators.files import agg_file_texts, anti_join_ignored, filter_ignored_files
+from reviewlake.operators.prompts import build_review_prompts
+from reviewlake.operators.requests import request_lines
+from reviewlake.operators.settings import fixture_settings
+from reviewlake.sinks.writers import OPEN_SERVICES, write_requests
 
 
 def _files(spark, n_hot=5000, n_cold=50):
@@ -217,3 +221,68 @@ def test_details_split_a_hot_pr_on_key_partitioned_input(spark):
     assert {r["pr_number"]: r["files"] for r in split.collect()} == whole
     assert "hashpartitioning(pr_number" in split._jdf.queryExecution().executedPlan().toString()
     assert "_b#" in split._jdf.queryExecution().executedPlan().toString().split("hashpartitioning", 1)[1]
+
+
+def _prompt_inputs(spark, n=40):
+    """Runs of ``n`` PRs (every other one with a second tenant), settings, files and feedback of their own."""
+    pr = spark.range(1, n + 1).withColumnRenamed("id", "pr_number")
+    both = pr.withColumn("tenant", F.lit("a")).unionAll(pr.where("pr_number % 2 = 0").withColumn("tenant", F.lit("b")))
+    runs = both.select(F.concat_ws("-", "pr_number", "tenant").alias("request_id"), "pr_number", "tenant",
+                       F.lit(dt.datetime(2024, 1, 1)).alias("run_ts"), F.lit(None).cast("string").alias("temp_ai_service"),
+                       F.lit(None).cast("string").alias("temp_review_prompt"))
+    stored = fixture_settings(spark.createDataFrame(
+        [("a", "openai", "gpt-4o", "1000", "*.md", True, True, "update"), ("b", "anthropic", "m-b", "50", "*.py", True, True, "update")],
+        "tenant string, ai_service string, model string, max_tokens string, ignore_files string, has_token boolean, has_key boolean, reason string"))
+    files = pr.select("pr_number", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("pos")).select(
+        "pr_number", "pos", F.concat(F.lit("f"), "pos", F.when(F.col("pos") % 2 == 0, ".py").otherwise(".js")).alias("name"),
+        F.lit("modified").alias("status"), F.lit(1).alias("additions"), F.lit(0).alias("deletions"), F.lit("@@ diff").alias("patch"))
+    reviews = pr.where("pr_number % 3 = 0").select("pr_number", F.lit(0).alias("pos"), F.lit("u").alias("author"), F.lit("APPROVED").alias("state"),
+                                                   F.concat(F.lit("note "), "pr_number").alias("body"), F.lit(dt.datetime(2024, 1, 2)).alias("submitted_at"))
+    return runs, stored, files, union_feedback(reviews, None, None, ["pr_number"])
+
+
+def test_file_texts_are_not_shuffled_for_the_timeline(spark):
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        out = build_review_prompts(*_prompt_inputs(spark), ["pr_number"])
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the last join is that of the file texts, by the key they are aggregated by
+    last = next(x for x in plan if "Join" in x)
+    assert "tenant" in last, last
+    names = out.columns
+    assert names[:2] == ["pr_number", "tenant"] and names.index("languages") < names.index("file_count") < names.index("timeline") < names.index("history")
+    got = {r.request_id: r for r in out.collect()}
+    assert len(got) == 60
+    for key, r in got.items():
+        n, tenant = key.split("-")
+        assert r.error_code is None and r.file_count == (4 if tenant == "a" else 2) and r.languages == ("py, js" if tenant == "a" else "js")
+        assert (f"note {n}" in r.prompt) == (int(n) % 3 == 0)
+
+
+def test_request_files_are_compressed_and_hold_every_line(spark, tmp_path):
+    services = [f"s{i:02d}" for i in range(OPEN_SERVICES + 4)] + [None]
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    reqs = spark.range(4200).select(
+        F.concat(F.lit("r"), "id").alias("request_id"), F.lit("https://x/y").alias("endpoint"),
+        F.get(F.lit(services), (F.col("id") % len(services)).cast("int")).alias("ai_service"),
+        F.when(F.col("id") % 100 != 7, F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("the same words again "), 40), F.lit('\\n"}'))).alias("body")).repartition(2)
+    path = write_requests(reqs, str(tmp_path / "gz"))
+    assert spark.conf.get(key, None) == before
+    want = {(r.ai_service, r.value) for r in request_lines(reqs).collect()}
+    assert len(want) == 4158
+    back = spark.read.option("basePath", path).text(path).select(F.col("service").cast("string"), "value")
+    assert {tuple(r) for r in back.collect()} == want and back.count() == len(want)
+    files = [x for x in (tmp_path / "gz").rglob("part-*")]
+    # one file a service and task, each packed
+    assert len(files) <= 2 * len(services) and all(x.name.endswith(".gz") for x in files)
+    assert sum(x.stat().st_size for x in files) < sum(len(v) for _, v in want) / 5
+    plain = write_requests(reqs, str(tmp_path / "plain"), compression="none")
+    assert {r.value for r in spark.read.text(plain).collect()} == {v for _, v in want}
+    assert all(x.name.endswith(".txt") for x in (tmp_path / "plain").rglob("part-*"))
