@@ -10,7 +10,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from reviewlake.llm import components, hmm, line_dedup, near_dup, text
+import corpus_pipeline
+from reviewlake.llm import components, hmm, line_dedup, near_dup, text, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +169,28 @@ def test_counters_hold_any_number():
     for cell, n in zip(cells, (140_000, 600, 2)):
         row = got["counts"][cell // line_dedup.BLOCK]
         assert np.frombuffer(row, dtype=f"u{len(row) // line_dedup.BLOCK}")[cell % line_dedup.BLOCK] == n
+
+
+def test_pipeline_orders_words_by_all_its_documents(spark, monkeypatch):
+    held, real = [], line_dedup.broadcast
+    monkeypatch.setattr(line_dedup, "broadcast", lambda s, value: held.append(value) or real(s, value))
+    words = [f"rare{i}" for i in range(40)]
+    rows = [(f"{w} own{i}x{j}", "s", "en") for i, w in enumerate(words) for j in range(i)]
+    docs = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "doc_id long, text string, source string, lang string").repartition(4)
+    # two words a line, one of them its own: no two lines are alike
+    assert corpus_pipeline.dedup_lines(spark, docs, "").count() == len(rows)
+    cells = line_dedup._cell(text.words([" ".join(words).encode()]).hash)
+    assert len(set(cells)) == 40 and (np.diff(held[0][cells]) > 0).all()
+
+
+def test_words_are_those_between_separators():
+    rnd = random.Random(8)
+    for _ in range(200):
+        part = [bytes(rnd.choice([rnd.randrange(256), 32, 10, 65, 122, 13, 0]) for _ in range(rnd.choice([0, 1, 40]))) for _ in range(3)]
+        for separators in (text.SPACES, toxicity.SEPARATORS):
+            for lower in (True, False):
+                low = [b.translate(text._LOWER) if lower else b for b in part]
+                want = [re.findall(rb"[^" + re.escape(bytes(np.flatnonzero(separators).tolist())) + rb"]+", b) for b in low]
+                w = text.words(part, separators, lower)
+                got = [w.buf[a:b].tobytes() for a, b in zip(w.start, w.end)]
+                assert [got[a:b] for a, b in zip(w.offset[:-1], w.offset[1:])] == want
